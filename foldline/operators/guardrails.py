@@ -102,7 +102,7 @@ def duplicate_summary(df: DataFrame, subset=None) -> DataFrame:
     g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
     s = g.agg(F.sum("_c").cast("long").alias("rows"), F.sum(F.col("_c") - 1).cast("long").alias("duplicates"))
     return s.select(F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
-                    (F.col("duplicates") / F.col("rows")).alias("fraction"))
+                    F.try_divide(F.col("duplicates"), F.col("rows")).alias("fraction"))
 
 
 def duplicate_findings(df: DataFrame, dataset: str, cfg: AuditConfig = AuditConfig()) -> DataFrame:
