@@ -26,13 +26,32 @@ from pyspark.sql import functions as F
 _BKT = "_fl_bkt"
 
 
+BYTES_PER_BUCKET = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan (no job is run); None if unavailable."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - estimate unavailable
+        return None
+
+
 def default_buckets(df: DataFrame) -> int:
-    """One range bucket per shuffle partition (at least 1)."""
+    """Range buckets so that each holds about ``BYTES_PER_BUCKET`` of the input.
+
+    Small inputs get one bucket (a plain window, no quantile pass); large inputs get up to
+    four buckets per shuffle partition, so a key holding a third of the rows is still cut
+    into many tasks. Without an estimate, one bucket per shuffle partition.
+    """
     try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - defensive
-        n = 8
-    return max(1, n)
+        parts = 8
+    est = estimated_bytes(df)
+    if est is None:
+        return max(1, parts)
+    return int(max(1, min(4 * parts, -(-est // BYTES_PER_BUCKET))))
 
 
 def _as_cols(cols) -> list[Column]:
@@ -172,17 +191,34 @@ def cumsum_within(df: DataFrame, keys: Sequence[str], order_value: Column, value
     return res.drop(_BKT)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      n_buckets=None, out_prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolation percentiles (numpy/pandas default) per key, distributed.
+MAX_EXACT_DISTINCT = 1_000_000
 
-    Rows are ranked with ``rank_within`` (no group is ever held in one task) and only the
-    two neighbouring order statistics of each requested position are joined back.
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                      n_buckets=None, out_prefix: str = "q", method: str = "auto") -> DataFrame:
+    """Exact linear-interpolation percentiles (numpy/pandas default) per key.
+
+    ``method="auto"`` first measures the largest number of distinct values in any group
+    (HyperLogLog, one cheap pass). When it is bounded (≤ 1M) Spark's exact ``percentile``
+    aggregate is used: its buffer is a value → count map, partially aggregated map-side and
+    falling back to sort-based aggregation under memory pressure. Above the bound (or with
+    ``method="rank"``) rows are ranked with ``rank_within`` — no group is ever held in one
+    task — and only the two order statistics around each position are joined back.
     Returns one row per key with columns ``{out_prefix}_{i}`` in ``probs`` order.
     """
     keys = list(keys)
     d = df.select(*keys, F.col(value).cast("double").alias("_fl_v")).filter(
         F.col("_fl_v").isNotNull() & ~F.isnan("_fl_v"))
+    if method == "auto":
+        est = estimated_bytes(d)
+        if est is not None and est <= BYTES_PER_BUCKET:
+            method = "aggregate"  # the whole input is small: no group can be large
+        else:
+            row = d.groupBy(*keys).agg(F.approx_count_distinct("_fl_v", 0.05).alias("_d")).agg(F.max("_d")).first()
+            method = "aggregate" if (row[0] or 0) <= MAX_EXACT_DISTINCT else "rank"
+    if method == "aggregate":
+        q = d.groupBy(*keys).agg(F.percentile("_fl_v", [float(p) for p in probs]).alias("_fl_q"))
+        return q.select(*keys, *[F.col("_fl_q")[i].alias(f"{out_prefix}_{i}") for i in range(len(probs))])
     r = rank_within(d, keys, F.col("_fl_v"), out="_fl_rk", n_buckets=n_buckets)
     n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_fl_n"))
     specs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])

@@ -50,6 +50,17 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
 
 
+def sql_normal_cdf(z: str) -> str:
+    """DuckDB twin of ``normal_cdf`` (same erf approximation)."""
+    z = f"({z})"
+    x = f"(abs({z}) / sqrt(2.0))"
+    k = f"(1.0 / (1.0 + 0.3275911 * {x}))"
+    poly = (f"({k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + "
+            f"{k} * 1.061405429)))))")
+    erf = f"(1.0 - {poly} * exp(-{x} * {x}))"
+    return f"CASE WHEN {z} >= 0 THEN 0.5 * (1 + {erf}) ELSE 0.5 * (1 - {erf}) END"
+
+
 def sql_t_two_sided_p(t: str, dof: str) -> str:
     """DuckDB twin of ``t_two_sided_p`` (gamma-function form of the same series)."""
     t, dof = f"({t})", f"({dof})"

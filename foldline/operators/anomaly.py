@@ -19,10 +19,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.functions.hashing import h15, uniform
 from foldline.functions.ordered import exact_percentiles, rank_within
 
 N_TREES = 200
@@ -67,20 +66,26 @@ def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str],
     return df.select(*[F.col(k) for k in key], F.array(*parts).alias("x"))
 
 
+def _draw(*parts) -> Column:
+    """Fast uniform draw in [0, 1) from xxhash64 (no oracle needs these draws)."""
+    h = F.xxhash64(*parts)
+    return (F.when(h < 0, -(h + 1)).otherwise(h)).cast("double") / F.lit(9.223372036854776e18)
+
+
 def _sample(feats: DataFrame, key: Sequence[str], n_trees: int, sample: int, seed: int) -> DataFrame:
     n = feats.count()
     need = n_trees * sample
-    if n <= 4 * need:
+    if n <= need:
         # small table: each tree draws its own rows; a per-tree hashed pre-filter keeps ≈ 3 · 256
         # candidates per tree before the (tiny) per-tree rank, so nothing of size rows × trees is shuffled
         q = min(1.0, 3.0 * sample / max(n, 1))
         t = feats.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        t = t.withColumn("_u", uniform(F.lit(seed), F.col("tree"), *[F.col(k) for k in key])).where(F.col("_u") < q)
+        t = t.withColumn("_u", _draw(F.lit(seed), F.col("tree"), *[F.col(k) for k in key])).where(F.col("_u") < q)
         r = rank_within(t, ["tree"], F.col("_u"), tiebreak=list(key), out="_rk", n_buckets=1)
         return r.where(F.col("_rk") < sample).select("tree", "x")
     # large table: one draw per row picks a pool of ≈ 1.2 · trees · 256 rows, dealt to trees in draw order
     frac = min(1.0, 1.2 * need / n)
-    pool = feats.withColumn("_u", uniform(F.lit(seed), *[F.col(k) for k in key])).where(F.col("_u") < frac)
+    pool = feats.withColumn("_u", _draw(F.lit(seed), *[F.col(k) for k in key])).where(F.col("_u") < frac)
     r = rank_within(pool, [], F.col("_u"), tiebreak=list(key), out="_rk", n_buckets=1)
     return r.where(F.col("_rk") < need).select((F.col("_rk") % n_trees).cast("int").alias("tree"), "x")
 
@@ -128,7 +133,7 @@ def fit_forest(feats: DataFrame, key: Sequence[str], n_trees: int = N_TREES, sam
 def score(feats: DataFrame, forest: list[dict], key: Sequence[str], sample: int = SAMPLE) -> DataFrame:
     """``key…, anomaly_score`` = 2^(−E[h(x)] / c(ψ)) with Arrow-batched scoring."""
     forest_np = [(np.array(t["feat"]), np.array(t["thr"]), np.array(t["left"]), np.array(t["right"]),
-                  np.array(t["size"])) for t in forest]
+                  np.array([c_factor(x) for x in t["size"]])) for t in forest]
     denom = c_factor(min(sample, max((t["n"] for t in forest), default=sample)))
     key = list(key)
 
@@ -136,7 +141,7 @@ def score(feats: DataFrame, forest: list[dict], key: Sequence[str], sample: int
         for pdf in it:
             X = np.array(pdf["x"].tolist(), dtype=float) if len(pdf) else np.zeros((0, 0))
             depth = np.zeros(len(pdf))
-            for feat, thr, left, right, size in forest_np:
+            for feat, thr, left, right, cdepth in forest_np:
                 nodes = np.zeros(len(pdf), dtype=int)
                 d = np.zeros(len(pdf))
                 active = feat[nodes] >= 0
@@ -147,7 +152,7 @@ def score(feats: DataFrame, forest: list[dict], key: Sequence[str], sample: int
                     nodes[idx] = np.where(go_left, left[nodes[idx]], right[nodes[idx]])
                     d[idx] += 1
                     active = feat[nodes] >= 0
-                depth += d + np.array([c_factor(s) for s in size[nodes]])
+                depth += d + cdepth[nodes]
             mean = depth / max(len(forest_np), 1)
             out = pdf[key].copy()
             out["anomaly_score"] = np.power(2.0, -mean / denom) if denom > 0 else 0.5

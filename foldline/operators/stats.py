@@ -79,6 +79,10 @@ def bootstrap_ci(long: DataFrame, keys: Sequence[str], order: Sequence[str], n_b
         "_pos", F.row_number().over(w) - 1)
     sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
+    # the key table is tiny and lands in one partition; spread the resamples before the
+    # second (draw-level) explode so the hashing runs on every core / executor
+    n_part = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = draws.repartition(n_part, "_b", *keys)
     draws = draws.select(*keys, "_n", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
     draws = draws.withColumn("_pos", h8(F.lit(seed), *[F.col(k) for k in keys], F.col("_b"), F.col("_j")) % F.col("_n"))
     picked = null_safe_join(draws, vals.select(*keys, "_pos", "value"), keys + ["_pos"])

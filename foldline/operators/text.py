@@ -122,8 +122,10 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
         x_tr, _ = tfidf_vectors(w_tr, voc)
         x_te, _ = tfidf_vectors(w_te, voc)
         lab = folds.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
+        train_set = x_tr.join(lab, "doc").cache()
         t0 = time.time()
-        model = LogisticRegression(maxIter=100, regParam=reg).fit(x_tr.join(lab, "doc"))
+        model = LogisticRegression(maxIter=100, regParam=reg).fit(train_set)
+        train_set.unpersist()
         fit_times.append((g, time.time() - t0))
         p = model.transform(x_te.join(lab, "doc")).select(
             F.lit(g).alias("fold"), F.col("label").cast("int").alias("y_true"),

@@ -362,3 +362,73 @@ def stx_time_split_events(spark, sf_dir):
     """STX-02: expanding-window time-series splits (5) over events by timestamp."""
     e = _t(spark, sf_dir, "events").select("event_id", "ts")
     return S.time_series_split(e, "ts", ["event_id"], n_splits=5).select("event_id", "split", "role")
+
+
+# ======================================================================================
+# Dataset catalogue (PRJ-05/06/08b/17/18, JOI-05)
+# ======================================================================================
+
+CATALOGUE_TABLES = ["customer", "events", "labels", "lineitem", "orders", "part"]
+CATALOGUE_SCHEMAS = {
+    **Q.SCHEMAS,
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+}
+CATALOGUE_SOURCE = "driver"
+CATALOGUE_LICENSE = "unknown"
+
+
+def _catalogue_row(spark, sf_dir, table):
+    from foldline.operators.guardrails import infer_audit_target
+    df = _t(spark, sf_dir, table)
+    target = P.guess_target_column(df)
+    audit = infer_audit_target(df)
+    dt = df.schema[target].dataType
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(target).alias("k")).first()
+    numeric = isinstance(dt, (T.NumericType,))
+    task = "regression" if numeric and stats["k"] > P.REGRESSION_MIN_DISTINCT else "classification"
+    return (table, "tabular", task, int(stats["n"]), len(df.columns) - 1,
+            int(stats["k"]) if task == "classification" else None, target, audit)
+
+
+def _catalogue_sql():
+    parts = []
+    for table in CATALOGUE_TABLES:
+        cols = CATALOGUE_SCHEMAS[table]
+        flags = []
+        for pos, (c, t) in enumerate(cols):
+            v = f"CAST({c} AS VARCHAR)"
+            tok = (f"(count({c}) > 0 AND coalesce(bool_and({v} IS NULL OR trim({v}) = '' OR "
+                   f"lower(trim({v})) IN ('yes','no','true','false','0','1')), true))")
+            flags.append(f"SELECT {pos} AS pos, '{c}' AS c, (count(DISTINCT {c}) BETWEEN 1 AND 2 OR {tok}) AS b FROM {table}")
+        last = cols[-1][0]
+        target = (f"coalesce((SELECT c FROM f WHERE b AND lower(c) LIKE 'i%' ORDER BY pos LIMIT 1), "
+                  f"(SELECT c FROM f WHERE b ORDER BY pos LIMIT 1), '{last}')")
+        names = [c.lower() for c, _ in cols]
+        cand = next((c for c in ["target", "class", "label", "variety", "species", "diagnosis", "survived", "salary"]
+                     if c in names), None)
+        audit = f"'{cand}'" if cand else f"(SELECT CASE WHEN count(DISTINCT {last}) <= 50 THEN '{last}' END FROM {table})"
+        num = {c for c, t in cols if t in ("int", "bigint", "double")}
+        k_expr = " ".join(f"WHEN tg = '{c}' THEN (SELECT count(DISTINCT {c}) FROM {table})" for c, _ in cols)
+        parts.append(f"""(WITH f AS ({" UNION ALL ".join(flags)}),
+tgt AS (SELECT {target} AS tg),
+k AS (SELECT tg, CASE {k_expr} END AS k FROM tgt)
+SELECT '{table}' AS name, 'tabular' AS modality,
+  CASE WHEN tg IN ({", ".join(f"'{c}'" for c in num) or "''"}) AND k > 20 THEN 'regression' ELSE 'classification' END AS task,
+  (SELECT count(*) FROM {table}) AS n_samples, CAST({len(cols) - 1} AS BIGINT) AS n_features,
+  CASE WHEN NOT (tg IN ({", ".join(f"'{c}'" for c in num) or "''"}) AND k > 20) THEN k END AS n_classes,
+  tg AS target, {audit} AS audit_target, '{CATALOGUE_SOURCE}' AS source, '{CATALOGUE_LICENSE}' AS license FROM k)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("prj_dataset_catalogue", _catalogue_sql())
+def prj_dataset_catalogue(spark, sf_dir):
+    """PRJ-05/06/08/17/18 + JOI-05: one catalogue row per driver table (guessed and audit targets,
+    task, samples, features, classes), with source/license from a registry and an 'unknown' default."""
+    rows = [_catalogue_row(spark, sf_dir, t) for t in CATALOGUE_TABLES]
+    cat = spark.createDataFrame(rows, "name string, modality string, task string, n_samples long, n_features long, "
+                                      "n_classes long, target string, audit_target string")
+    registry = spark.createDataFrame([], "name string, source string, license string")
+    from foldline.operators.reports import registry_lookup
+    out = registry_lookup(cat, registry, "name", ["source"], default=CATALOGUE_SOURCE)
+    out = out.withColumn("license", F.coalesce("license", F.lit(CATALOGUE_LICENSE)))
+    return out.orderBy("modality", "name")

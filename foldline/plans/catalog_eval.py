@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldline.functions.hashing import sql_h8, sql_h15
-from foldline.functions.stats import sql_t_two_sided_p
+from foldline.functions.stats import sql_normal_cdf, sql_t_two_sided_p
 from foldline.operators import metrics as M
 from foldline.operators import reports as R
 from foldline.operators import splits as S
@@ -296,9 +296,25 @@ def agg_classifier_means_lineitem(spark, sf_dir):
     return ST.classifier_means(D.fold_metrics_df(spark, sf_dir))
 
 
-@query("stx_wilcoxon_lineitem", None)
+_WX_KEYS = "framework_a, framework_b, metric"
+
+
+@query("stx_wilcoxon_lineitem", f"""WITH fl AS {FL},
+j AS (SELECT a.framework AS framework_a, b.framework AS framework_b, a.metric, a.value - b.value AS d
+      FROM fl a JOIN fl b ON a.metric = b.metric AND a.framework < b.framework AND a.seed = b.seed AND a.fold = b.fold
+      WHERE a.metric IN ('f1_macro', 'accuracy', 'fit_time_sec', 'predict_time_sec') AND a.value - b.value <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY {_WX_KEYS} ORDER BY abs(d)) AS rk,
+             count(*) OVER (PARTITION BY {_WX_KEYS}, abs(d)) AS t FROM j),
+s AS (SELECT {_WX_KEYS}, count(*) AS n, sum(CASE WHEN d > 0 THEN rk + (t - 1) / 2.0 ELSE 0.0 END) AS w_plus,
+             sum(CASE WHEN d < 0 THEN rk + (t - 1) / 2.0 ELSE 0.0 END) AS w_minus FROM r GROUP BY ALL),
+tc AS (SELECT {_WX_KEYS}, sum(t * t * t - t) AS tc FROM (SELECT {_WX_KEYS}, abs(d) AS a, count(*) AS t FROM j GROUP BY ALL) x GROUP BY ALL),
+z AS (SELECT s.*, CASE WHEN n * (n + 1) * (2 * n + 1) / 24.0 - tc / 48.0 > 0
+                       THEN (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tc / 48.0) END AS z
+      FROM s JOIN tc USING (framework_a, framework_b, metric))
+SELECT framework_a, framework_b, metric, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round(z, 6) AS z,
+       round(CASE WHEN z IS NOT NULL THEN least(1.0, 2 * ({sql_normal_cdf('z')})) END, 6) AS p_value FROM z""")
 def stx_wilcoxon_lineitem(spark, sf_dir):
-    """STX-06: paired Wilcoxon signed-rank with the normal approximation (rows-only check)."""
+    """STX-06: paired Wilcoxon signed-rank (average ranks, tie-corrected normal approximation)."""
     return ST.wilcoxon_signed_rank(D.fold_long_df(spark, sf_dir).where(F.col("metric").isin(ST.COMPARISON_METRICS)))
 
 

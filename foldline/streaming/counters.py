@@ -22,10 +22,18 @@ def _bucket_name(le: float) -> str:
     return "le_" + str(le).replace(".", "_")
 
 
+def _event_time(events: DataFrame, ts: str, watermark: str | None) -> DataFrame:
+    """Event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ; the session time zone is UTC)."""
+    e = events
+    if dict(e.dtypes).get(ts) == "timestamp_ntz":
+        e = e.withColumn(ts, F.col(ts).cast("timestamp"))
+    return e.withWatermark(ts, watermark) if watermark else e
+
+
 def request_counts(events: DataFrame, ts: str, path: Column, status: Column, window: str = "10 minutes",
                    watermark: str | None = None) -> DataFrame:
     """STR-01: ``window_start, window_end, path, status, n`` per tumbling window."""
-    e = events.withWatermark(ts, watermark) if watermark else events
+    e = _event_time(events, ts, watermark)
     g = e.groupBy(F.window(ts, window).alias("w"), path.alias("path"), status.alias("status")).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
     return g.select(F.unix_timestamp("w.start").alias("window_start"), F.unix_timestamp("w.end").alias("window_end"),
@@ -35,7 +43,7 @@ def request_counts(events: DataFrame, ts: str, path: Column, status: Column, win
 def latency_histogram(events: DataFrame, ts: str, latency: Column, window: str = "10 minutes",
                       watermark: str | None = None) -> DataFrame:
     """STR-02: cumulative bucket counts (≤ 0.05 … ≤ 5, +Inf), count and sum per window."""
-    e = events.withWatermark(ts, watermark) if watermark else events
+    e = _event_time(events, ts, watermark)
     aggs = [F.sum(F.when(latency <= le, 1).otherwise(0)).cast("long").alias(_bucket_name(le)) for le in LATENCY_BUCKETS]
     aggs += [F.count(F.lit(1)).cast("long").alias("le_inf"), F.sum(latency).alias("latency_sum")]
     g = e.groupBy(F.window(ts, window).alias("w")).agg(*aggs)
