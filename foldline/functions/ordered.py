@@ -27,12 +27,14 @@ _BKT = "_fl_bkt"
 
 
 BYTES_PER_BUCKET = 128 * 1024 * 1024
+ROWS_PER_BUCKET = 2_000_000
+UNKNOWN_SIZE = 1 << 62  # Catalyst's default size (Long.MaxValue) means "no estimate"
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan (no job is run); None if unavailable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # pragma: no cover - estimate unavailable
         return None
 
@@ -48,10 +50,28 @@ def default_buckets(df: DataFrame) -> int:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - defensive
         parts = 8
+    cap = 4 * parts
     est = estimated_bytes(df)
-    if est is None:
-        return max(1, parts)
-    return int(max(1, min(4 * parts, -(-est // BYTES_PER_BUCKET))))
+    if est is not None and est < UNKNOWN_SIZE:
+        return int(max(1, min(cap, -(-est // BYTES_PER_BUCKET))))
+    # cached / checkpointed / RDD-backed plans report "unknown" (Long.MaxValue): count rows,
+    # stopping as soon as the cap is certain
+    n = df.limit(ROWS_PER_BUCKET * cap + 1).count()
+    return int(max(1, min(cap, -(-n // ROWS_PER_BUCKET))))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster only when it has fewer partitions than the default
+    parallelism (e.g. one small file = one scan task). Heavy per-row work that runs before the
+    first shuffle — unpivots, hashing, regex tokenising, Arrow UDFs — then uses every core.
+    On large inputs (many splits) this is a no-op and adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - plans without an RDD view
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def _as_cols(cols) -> list[Column]:
@@ -191,51 +211,65 @@ def cumsum_within(df: DataFrame, keys: Sequence[str], order_value: Column, value
     return res.drop(_BKT)
 
 
-MAX_EXACT_DISTINCT = 1_000_000
+# Spark's exact ``percentile`` keeps a value → count map per group and sorts it at the end;
+# beyond a few tens of thousands of distinct values per group the bucketed rank is faster.
+MAX_EXACT_DISTINCT = 20_000
+TINY_BYTES = 4 * 1024 * 1024
+
+
+def order_statistics(counts: DataFrame, keys: Sequence[str], value: str, count_cols: dict[str, Column],
+                     targets: DataFrame, ranks: dict[str, str], n_buckets=None) -> DataFrame:
+    """Order statistics from value counts: for each named rank column r, the smallest value whose
+    cumulative count (over ``count_cols[r]``) reaches ``r + 1``.
+
+    ``counts`` holds one row per (keys, value) with count columns; ``targets`` one row per key with
+    the 0-based rank columns; ``ranks`` maps each rank column to the count column it is read from.
+    The cumulative sums are bucketed (``cumsum_within``), so no key is held in one task.
+    """
+    keys = list(keys)
+    cum = cumsum_within(counts, keys, F.col(value), {f"_cum_{c}": e for c, e in count_cols.items()},
+                        n_buckets=n_buckets)
+    j = null_safe_join(cum, targets, keys)
+    aggs = [F.min(F.when(F.col(f"_cum_{cc}") >= F.col(rk) + 1, F.col(value))).alias(rk) for rk, cc in ranks.items()]
+    return j.groupBy(*keys).agg(*aggs)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      n_buckets=None, out_prefix: str = "q", method: str = "auto") -> DataFrame:
+                      n_buckets=None, out_prefix: str = "q", method: str = "counts") -> DataFrame:
     """Exact linear-interpolation percentiles (numpy/pandas default) per key.
 
-    ``method="auto"`` first measures the largest number of distinct values in any group
-    (HyperLogLog, one cheap pass). When it is bounded (≤ 1M) Spark's exact ``percentile``
-    aggregate is used: its buffer is a value → count map, partially aggregated map-side and
-    falling back to sort-based aggregation under memory pressure. Above the bound (or with
-    ``method="rank"``) rows are ranked with ``rank_within`` — no group is ever held in one
-    task — and only the two order statistics around each position are joined back.
+    Values are first counted per (key, value) — a map-side-combined aggregate, so duplicates and
+    hot keys collapse before any shuffle — then a bucketed cumulative count over the distinct
+    values locates the two order statistics around each position (n − 1)·p. Nothing is sorted
+    row by row and no group is held in one task. ``method="aggregate"`` uses Spark's built-in
+    exact ``percentile`` instead (fine for small, low-cardinality groups).
     Returns one row per key with columns ``{out_prefix}_{i}`` in ``probs`` order.
     """
     keys = list(keys)
     d = df.select(*keys, F.col(value).cast("double").alias("_fl_v")).filter(
         F.col("_fl_v").isNotNull() & ~F.isnan("_fl_v"))
-    if method == "auto":
-        est = estimated_bytes(d)
-        if est is not None and est <= BYTES_PER_BUCKET:
-            method = "aggregate"  # the whole input is small: no group can be large
-        else:
-            row = d.groupBy(*keys).agg(F.approx_count_distinct("_fl_v", 0.05).alias("_d")).agg(F.max("_d")).first()
-            method = "aggregate" if (row[0] or 0) <= MAX_EXACT_DISTINCT else "rank"
     if method == "aggregate":
         q = d.groupBy(*keys).agg(F.percentile("_fl_v", [float(p) for p in probs]).alias("_fl_q"))
         return q.select(*keys, *[F.col("_fl_q")[i].alias(f"{out_prefix}_{i}") for i in range(len(probs))])
-    r = rank_within(d, keys, F.col("_fl_v"), out="_fl_rk", n_buckets=n_buckets)
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_fl_n"))
-    specs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    t = n.select(*keys, "_fl_n", F.explode(specs).alias("_s"))
-    pos = (F.col("_fl_n") - 1) * F.col("_s.p")
-    t = t.select(*keys, F.col("_s.i").alias("_fl_i"), pos.alias("_fl_pos"))
-    t = t.withColumn("_fl_lo", F.floor("_fl_pos").cast("long")).withColumn("_fl_hi", F.ceil("_fl_pos").cast("long"))
-    need = t.select(*keys, F.explode(F.array_distinct(F.array("_fl_lo", "_fl_hi"))).alias("_fl_rk")).distinct()
-    vals = null_safe_join(r, need, [*keys, "_fl_rk"])
-    lo = null_safe_join(t, vals.withColumnRenamed("_fl_rk", "_fl_lo").withColumnRenamed("_fl_v", "_fl_vlo"),
-                        [*keys, "_fl_lo"])
-    both = null_safe_join(lo, vals.withColumnRenamed("_fl_rk", "_fl_hi").withColumnRenamed("_fl_v", "_fl_vhi"),
-                          [*keys, "_fl_hi"])
-    q = F.col("_fl_vlo") + (F.col("_fl_pos") - F.col("_fl_lo")) * (F.col("_fl_vhi") - F.col("_fl_vlo"))
-    both = both.select(*keys, "_fl_i", q.alias("_fl_q"))
-    return both.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_fl_i") == i, F.col("_fl_q"))).alias(f"{out_prefix}_{i}") for i in range(len(probs))])
+    cnt = d.groupBy(*keys, "_fl_v").agg(F.count(F.lit(1)).alias("_fl_c"))
+    tot = cnt.groupBy(*keys).agg(F.sum("_fl_c").alias("_fl_n"))
+    tcols, ranks = [], {}
+    for i, p in enumerate(probs):
+        pos = (F.col("_fl_n") - 1) * F.lit(float(p))
+        tcols += [pos.alias(f"_fl_pos{i}"), F.floor(pos).cast("long").alias(f"_fl_lo{i}"),
+                  F.ceil(pos).cast("long").alias(f"_fl_hi{i}")]
+        ranks[f"_fl_lo{i}"] = "c"
+        ranks[f"_fl_hi{i}"] = "c"
+    targets = tot.select(*keys, *tcols)
+    st = order_statistics(cnt, keys, "_fl_v", {"c": F.col("_fl_c")}, targets.drop(*[f"_fl_pos{i}" for i in range(len(probs))]),
+                          ranks, n_buckets=n_buckets)
+    # st holds the order-statistic *values* under the rank column names
+    out = null_safe_join(st, targets.select(*keys, *[f"_fl_pos{i}" for i in range(len(probs))]), keys)
+    res = []
+    for i in range(len(probs)):
+        lo, hi, pos = F.col(f"_fl_lo{i}"), F.col(f"_fl_hi{i}"), F.col(f"_fl_pos{i}")
+        res.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(f"{out_prefix}_{i}"))
+    return out.select(*keys, *res)
 
 
 def string_order_value(c: Column) -> Column:

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldline.functions.ordered import exact_percentiles, rank_within
+from foldline.functions.ordered import exact_percentiles, rank_within, spread
+from foldline.session import checkpoint_dir
 
 N_TREES = 200
 SAMPLE = 256
@@ -43,6 +44,7 @@ def c_factor(n: float) -> float:
 def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                      max_categories: int = 1000) -> DataFrame:
     """``key…, x`` with x = [scaled, median-imputed numerics] + one-hot categoricals (as array<double>)."""
+    df = spread(df.select(*key, *numeric, *categorical))  # the Arrow scoring below is per-partition
     num = list(numeric)
     parts = []
     if num:
@@ -167,7 +169,10 @@ def isolation_forest(df: DataFrame, key: Sequence[str], numeric: Sequence[str],
     """ANO-01: ``key…, anomaly_score, is_anomaly`` (flag = score above the (1 − contamination) quantile)."""
     feats = prepare_features(df, key, numeric, categorical)
     forest = fit_forest(feats, key, n_trees, SAMPLE, seed)
-    s = score(feats, forest, key)
+    # scoring is the expensive Python step and is read twice (threshold, then the rows):
+    # a reliable checkpoint in the shared folder runs it once and cuts the lineage
+    checkpoint_dir(df.sparkSession)
+    s = score(feats, forest, key).checkpoint(eager=True)
     thr = exact_percentiles(s.withColumn("_g", F.lit(0)), ["_g"], "anomaly_score", [1 - contamination],
                             out_prefix="t").drop("_g")
     return s.crossJoin(thr).withColumn("is_anomaly", F.col("anomaly_score") > F.col("t_0")).drop("t_0")  # 1 row

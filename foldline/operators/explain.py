@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from foldline.functions.hashing import h15, uniform
 from foldline.operators.reports import top_contributions
 
+MAX_BACKGROUND = 10000
+
 
 def linear_attributions(df: DataFrame, key: Sequence[str], features: Sequence[str],
                         coefficients: dict[str, float], means: dict[str, float]) -> DataFrame:
@@ -54,7 +56,10 @@ def monte_carlo_shapley(model, df: DataFrame, key: str, features: Sequence[str],
     """
     feats = list(features)
     p = len(feats)
-    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)  # small
+    if background.limit(MAX_BACKGROUND + 1).count() > MAX_BACKGROUND:
+        raise ValueError(f"background larger than {MAX_BACKGROUND} rows; sample it first (sample_n)")
+    # the background is bounded (checked above), so one ordered window and a broadcast are safe
+    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
     nb = bg.count()
     rows = df.select(key, *feats)
     perm = rows.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.names import safe_col
-from foldline.functions.ordered import exact_percentiles
+from foldline.functions.ordered import order_statistics, spread
 
 MAX_CATEGORIES = 10000
 RARE_TOKEN = "__rare__"
@@ -33,7 +33,8 @@ def _long(df: DataFrame, fold_col: str, columns: Sequence[str], as_string: bool
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"),
                                  (F.col(c).cast("string") if as_string else F.col(c).cast("double")).alias("value"))
                         for c in columns])
-    return df.select(F.col(fold_col).alias("_f"), F.explode(entries).alias("_e")).select(
+    src = spread(df.select(fold_col, *columns))
+    return src.select(F.col(fold_col).alias("_f"), F.explode(entries).alias("_e")).select(
         "_f", "_e.column_name", "_e.value")
 
 
@@ -58,15 +59,52 @@ def training_moments(df: DataFrame, fold_col: str, columns: Sequence[str], k: in
                       "mean", F.sqrt(F.col("_m2") / F.col("n")).alias("std"))
 
 
+def training_quantiles(df: DataFrame, fold_col: str, columns: Sequence[str], k: int, probs: Sequence[float],
+                       n_buckets=None) -> DataFrame:
+    """``fold, column_name, q_0 …`` exact (linear-interpolation) quantiles of each fold's training rows.
+
+    No row is copied into the k − 1 training sets: values are counted once per (column, value)
+    with one count column per fold (map-side combined), training counts are sums over the other
+    folds, and each order statistic is the smallest value whose cumulative training count
+    reaches its rank (bucketed cumulative sums over the distinct values).
+    """
+    long = _long(df, fold_col, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    cnt = long.groupBy("column_name", "value").agg(
+        *[F.sum(F.when(F.col("_f") == g, 1).otherwise(0)).alias(f"_c{g}") for g in range(k)])
+    tot = cnt.groupBy("column_name").agg(*[F.sum(f"_c{g}").alias(f"_n{g}") for g in range(k)])
+    count_cols = {f"t{g}": sum((F.col(f"_c{f}") for f in range(k) if f != g), F.lit(0)) for g in range(k)}
+    tcols, pcols, ranks = [], [], {}
+    for g in range(k):
+        n_tr = sum((F.col(f"_n{f}") for f in range(k) if f != g), F.lit(0))
+        for i, p in enumerate(probs):
+            pos = (n_tr - 1) * F.lit(float(p))
+            tcols += [F.floor(pos).cast("long").alias(f"_lo_{g}_{i}"), F.ceil(pos).cast("long").alias(f"_hi_{g}_{i}")]
+            pcols.append(pos.alias(f"_pos_{g}_{i}"))
+            ranks[f"_lo_{g}_{i}"] = f"t{g}"
+            ranks[f"_hi_{g}_{i}"] = f"t{g}"
+    targets = tot.select("column_name", *tcols)
+    st = order_statistics(cnt, ["column_name"], "value", count_cols, targets, ranks, n_buckets=n_buckets)
+    st = st.join(tot.select("column_name", *pcols), "column_name")
+    rows = []
+    for g in range(k):
+        qs = []
+        for i in range(len(probs)):
+            lo, hi, pos = F.col(f"_lo_{g}_{i}"), F.col(f"_hi_{g}_{i}"), F.col(f"_pos_{g}_{i}")
+            qs.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(f"q_{i}"))
+        rows.append(F.struct(F.lit(g).alias("fold"), *qs))
+    return st.select("column_name", F.explode(F.array(*rows)).alias("_r")).select(
+        F.col("_r.fold").cast("int").alias("fold"), "column_name", *[f"_r.q_{i}" for i in range(len(probs))])
+
+
 def training_medians(df: DataFrame, fold_col: str, columns: Sequence[str], k: int, approx: bool = False,
                      n_buckets=None) -> DataFrame:
     """``fold, column_name, median`` of each fold's training rows (exact by default)."""
-    long = _long(df, fold_col, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ex = long.select("column_name", "value", _to_training_sets(long, F.col("_f"), k).alias("fold"))
     if approx:
+        long = _long(df, fold_col, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        ex = long.select("column_name", "value", _to_training_sets(long, F.col("_f"), k).alias("fold"))
         return ex.groupBy("fold", "column_name").agg(F.percentile_approx("value", 0.5, 100000).alias("median"))
-    q = exact_percentiles(ex, ["fold", "column_name"], "value", [0.5], n_buckets=n_buckets, out_prefix="_q")
-    return q.select(F.col("fold").cast("int").alias("fold"), "column_name", F.col("_q_0").alias("median"))
+    q = training_quantiles(df, fold_col, columns, k, [0.5], n_buckets=n_buckets)
+    return q.select("fold", "column_name", F.col("q_0").alias("median"))
 
 
 def training_modes(df: DataFrame, fold_col: str, columns: Sequence[str], k: int) -> DataFrame:
@@ -114,11 +152,9 @@ def quantile_edges(df: DataFrame, fold_col: str, column: str, k: int, n_bins: in
                    n_buckets=None) -> DataFrame:
     """FEA-06 quantile strategy: ``fold, edges`` (exact training percentiles at 0, 1/n, …, 1;
     edges closer than 1e-8 to the previous one are dropped)."""
-    long = _long(df, fold_col, [column]).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ex = long.select("value", _to_training_sets(long, F.col("_f"), k).alias("fold"))
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = exact_percentiles(ex, ["fold"], "value", probs, n_buckets=n_buckets, out_prefix="_q")
-    arr = F.array(*[F.col(f"_q_{i}") for i in range(n_bins + 1)])
+    q = training_quantiles(df, fold_col, [column], k, probs, n_buckets=n_buckets)
+    arr = F.array(*[F.col(f"q_{i}") for i in range(n_bins + 1)])
     kept = F.filter(arr, lambda e, i: F.when(i == 0, F.lit(True)).otherwise(
         e - F.element_at(arr, F.greatest(i, F.lit(1))) > 1e-8))
     return q.select(F.col("fold").cast("int").alias("fold"), kept.alias("edges"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldline.functions.ordered import lag_within
+from foldline.functions.ordered import lag_within, spread
 
 # Fixed values that must equal the reference's for the same decisions:
 # target-name candidates of the audit, in priority order.
@@ -115,25 +115,60 @@ def duplicate_findings(df: DataFrame, dataset: str, cfg: AuditConfig = AuditConf
 
 # --- GRD-02 / GRD-03 -------------------------------------------------------------------
 
+def _families(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for c in cols:
+        dt = df.schema[c].dataType
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
+                           T.DateType, T.TimestampType, T.TimestampNTZType)):
+            fam = "long"
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            fam = "double"
+        else:
+            fam = "string"
+        out.setdefault(fam, []).append(c)
+    return out
+
+
+def _family_value(df: DataFrame, c: str, fam: str):
+    dt = df.schema[c].dataType
+    if fam == "long":
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(F.col(c).cast("timestamp"))
+        if isinstance(dt, T.DateType):
+            return F.unix_date(F.col(c)).cast("long")
+        return F.col(c).cast("long")
+    if fam == "double":
+        return F.col(c).cast("double")
+    return F.col(c).cast("string")
+
+
 def proxy_evidence(df: DataFrame, target: str, columns=None) -> DataFrame:
     """Per audited column: distinct values, max/mean distinct targets per value, rows, target classes.
 
     Columns: ``column_name, n_values, max_targets, mean_targets, rows, target_classes``.
     """
     cols = [c for c in (columns or atomic_columns(df)) if c != target]
-    tcol = F.col(target).cast("string")
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                        for c in cols])
-    long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
-        "_e.column_name", "_e.value", "_t")
-    triples = long.distinct()
-    per_value = triples.groupBy("column_name", "value").agg(F.count("_t").alias("n_targets"))
-    per_col = per_value.groupBy("column_name").agg(
-        F.count("value").cast("long").alias("n_values"),
-        F.max("n_targets").cast("long").alias("max_targets"),
-        F.avg(F.when(F.col("value").isNotNull() & (F.col("n_targets") > 0), F.col("n_targets"))).alias("mean_targets"))
     totals = df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
                     F.countDistinct(F.col(target)).cast("long").alias("target_classes"))
+    df = spread(df.select(target, *cols))
+    tcol = F.col(target).cast("string")
+    per_col = None
+    # one unpivot per value family keeps values in a cheap, exact native type (no double →
+    # string formatting); each family reads only its own columns
+    for fam, members in _families(df, cols).items():
+        entries = F.array(*[F.struct(F.lit(c).alias("column_name"), _family_value(df, c, fam).alias("value"))
+                            for c in members])
+        long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
+            "_e.column_name", "_e.value", "_t")
+        triples = long.distinct()
+        per_value = triples.groupBy("column_name", "value").agg(F.count("_t").alias("n_targets"))
+        pc = per_value.groupBy("column_name").agg(
+            F.count("value").cast("long").alias("n_values"),
+            F.max("n_targets").cast("long").alias("max_targets"),
+            F.avg(F.when(F.col("value").isNotNull() & (F.col("n_targets") > 0), F.col("n_targets"))
+                  ).alias("mean_targets"))
+        per_col = pc if per_col is None else per_col.unionByName(pc)
     return per_col.crossJoin(F.broadcast(totals))  # totals is exactly one row
 
 

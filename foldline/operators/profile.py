@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.functions.names import safe_col
-from foldline.functions.ordered import rank_within, string_order_value
+from foldline.functions.ordered import rank_within, spread, string_order_value
 
 # Fixed values shared with the reference's rules.
 BINARY_TOKENS = ["yes", "no", "true", "false", "0", "1"]
@@ -62,7 +62,7 @@ def column_profile(df: DataFrame, columns=None) -> DataFrame:
     """
     cols = list(columns or df.columns)
     dtypes = dict(df.dtypes)
-    long = _unpivot_strings(df, cols)
+    long = _unpivot_strings(spread(df.select(*cols)), cols)
     per = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_c"))
     agg = per.groupBy("column_name").agg(
         F.sum("_c").cast("long").alias("rows"),

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.hashing import h15, uniform
-from foldline.functions.ordered import cumsum_within, null_safe_join, rank_within
+from foldline.functions.ordered import cumsum_within, null_safe_join, rank_within, spread
 
 DEFAULT_SEEDS = (42, 77)
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
     """SPL-03: one copy of every row per seed (explode of a literal array, no join)."""
-    return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    return spread(df).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
 
 def kfold(df: DataFrame, id_cols: Sequence[str], k: int = 5, seeds: Sequence[int] = (42,),

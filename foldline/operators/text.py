@@ -28,7 +28,8 @@ def english_stop_words(spark) -> list[str]:
 
 def tokens(df: DataFrame, doc_col: str, text_col: str, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``doc, term`` one row per token occurrence (lower-cased, whole text)."""
-    t = df.select(F.col(doc_col).alias("doc"), F.explode(
+    from foldline.functions.ordered import spread
+    t = spread(df.select(doc_col, text_col)).select(F.col(doc_col).alias("doc"), F.explode(
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("term"))
     if stop_words:
         t = t.where(~F.col("term").isin(list(stop_words)))
@@ -109,28 +110,32 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
 
     folds = stratified_kfold(df.select(doc_col, text_col, label_col), [doc_col], label_col, k=k, seeds=[seed])
     folds = folds.drop("seed").cache()
-    preds = []
-    fit_times = []
     from pyspark.ml.functions import vector_to_array
-    for g in range(k):
+    lab = folds.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
+
+    def one(g: int):
         train = folds.where(F.col("fold") != g)
         test = folds.where(F.col("fold") == g)
         tf_train = tokens(train, doc_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
         voc = fit_vocabulary(train, tf_train, max_features).cache()
-        w_tr = tfidf(train, doc_col, text_col, vocabulary=voc)
-        w_te = tfidf(test, doc_col, text_col, vocabulary=voc)
-        x_tr, _ = tfidf_vectors(w_tr, voc)
-        x_te, _ = tfidf_vectors(w_te, voc)
-        lab = folds.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
+        x_tr, _ = tfidf_vectors(tfidf(train, doc_col, text_col, vocabulary=voc), voc)
+        x_te, _ = tfidf_vectors(tfidf(test, doc_col, text_col, vocabulary=voc), voc)
         train_set = x_tr.join(lab, "doc").cache()
         t0 = time.time()
         model = LogisticRegression(maxIter=100, regParam=reg).fit(train_set)
+        fit_s = time.time() - t0
         train_set.unpersist()
-        fit_times.append((g, time.time() - t0))
         p = model.transform(x_te.join(lab, "doc")).select(
             F.lit(g).alias("fold"), F.col("label").cast("int").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability")[1].alias("score"))
-        preds.append(p)
+        return (g, fit_s), p.cache()
+
+    # independent folds are submitted concurrently; the cluster runs their jobs side by side
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        results = list(pool.map(one, range(k)))
+    fit_times = [r[0] for r in results]
+    preds = [r[1] for r in results]
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)

@@ -22,13 +22,18 @@ _LI_TIE = ["l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
 
 def _li_folds(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    # the hash key plus every remaining column as tie-break: identical rows may swap, harmlessly
     from foldline.functions.hashing import h15
-    from foldline.functions.ordered import rank_within
+    from foldline.functions.ordered import rank_within, spread
+    li = spread(_t(spark, sf_dir, "lineitem"))
+    # the hash key plus every remaining column as tie-break: identical rows may swap, harmlessly
     d = li.withColumn("_h", h15(F.lit(42), *[F.col(c) for c in _LI_ID]))
     r = rank_within(d, [], F.col("_h"), tiebreak=_LI_ID + _LI_TIE, out="_rk")
-    return r.withColumn("fold", (F.col("_rk") % K).cast("int")).drop("_h", "_rk")
+    folds = r.withColumn("fold", (F.col("_rk") % K).cast("int")).drop("_h", "_rk")
+    # every fold statistic reads the assignment several times: materialise it once in the
+    # shared checkpoint folder (cuts the lineage; survives executor loss)
+    from foldline.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return folds.checkpoint(eager=True)
 
 
 def _train_join(cols: str) -> str:

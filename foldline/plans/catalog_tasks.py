@@ -164,6 +164,66 @@ def trn_cv_gbt_orders(spark, sf_dir):
     return r.folds
 
 
+_ORD_FEATS = ["price", "yr", "prio"]
+
+
+def _orders_xy(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", (F.col("o_totalprice") / 1.0e5).alias("price"),
+                    (F.year("o_orderdate") - 1995).cast("double").alias("yr"),
+                    F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"),
+                    (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+
+
+def _orders_model(xy):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    return LogisticRegression(maxIter=20).fit(VectorAssembler(inputCols=_ORD_FEATS, outputCol="features").transform(xy))
+
+
+@query("exp_shapley_orders", None)
+def exp_shapley_orders(spark, sf_dir):
+    """EXP-02/03: Monte-Carlo Shapley values of a fitted model for 400 sampled orders (200 background rows)."""
+    xy = _orders_xy(spark, sf_dir)
+    model = _orders_model(xy)
+    rows = S.sample_n(xy, ["o_orderkey"], 400, seed=42)
+    bg = S.sample_n(xy, ["o_orderkey"], 200, seed=7)
+    return EX.monte_carlo_shapley(model, rows, "o_orderkey", _ORD_FEATS, bg, n_perm=10)
+
+
+@query("exp_lime_orders", None)
+def exp_lime_orders(spark, sf_dir):
+    """EXP-04: LIME-style local surrogates (200 perturbations each) for 50 sampled orders, top terms."""
+    xy = _orders_xy(spark, sf_dir)
+    model = _orders_model(xy)
+    rows = S.sample_n(xy, ["o_orderkey"], 50, seed=42)
+    return EX.lime(model, rows, "o_orderkey", _ORD_FEATS, n_samples=200)
+
+
+@query("trn_random_search_orders", None)
+def trn_random_search_orders(spark, sf_dir):
+    """TRN-04/06: sampled parameter maps scored by 3-fold CV (CrossValidator on a hashed fold column)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from foldline.operators import training as TR
+    xy = VectorAssembler(inputCols=_ORD_FEATS, outputCol="features").transform(_orders_xy(spark, sf_dir))
+    space = {"regParam": {"type": "log", "low": 1e-4, "high": 1.0}, "maxIter": {"type": "int", "low": 5, "high": 30}}
+    _, scores = TR.random_search(xy, LogisticRegression(), space, "classification", n_iter=4, k=3, key="o_orderkey")
+    return spark.createDataFrame([(str(sorted(p.items())), float(s)) for p, s in scores], "params string, f1 double")
+
+
+@query("trn_budgeted_search_orders", None)
+def trn_budgeted_search_orders(spark, sf_dir):
+    """TRN-07: time-budgeted search over an estimator list; leaderboard of CV scores."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
+    from pyspark.ml.feature import VectorAssembler
+    from foldline.operators import training as TR
+    xy = VectorAssembler(inputCols=_ORD_FEATS, outputCol="features").transform(_orders_xy(spark, sf_dir))
+    cands = {"logreg": LogisticRegression(maxIter=20), "tree": DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=5),
+             "gaussian_nb": NaiveBayes(modelType="gaussian")}
+    return TR.budgeted_search(xy, cands, "classification", seconds=300, k=3)
+
+
 @query("trn_text_cv_documents", None)
 def trn_text_cv_documents(spark, sf_dir):
     """TRN-11: TF-IDF + logistic regression, stratified 5-fold, on documents ⋈ quality labels."""
