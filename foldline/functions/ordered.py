@@ -92,8 +92,11 @@ def _numeric(df: DataFrame, value: Column) -> Column:
     """A double that is monotone in ``value`` (timestamps/dates via epoch microseconds/days)."""
     from pyspark.sql import types as T
     dt = df.select(value.alias("_v")).schema[0].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # wall-clock micros since the epoch, independent of the session time zone
+        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), value).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(value).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(value).cast("double")
     return value.cast("double")

@@ -133,8 +133,10 @@ def _families(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 def _family_value(df: DataFrame, c: str, fam: str):
     dt = df.schema[c].dataType
     if fam == "long":
-        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            return F.unix_micros(F.col(c).cast("timestamp"))
+        if isinstance(dt, T.TimestampNTZType):  # exact wall-clock micros, no time-zone folding
+            return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(c))
+        if isinstance(dt, T.TimestampType):
+            return F.unix_micros(F.col(c))
         if isinstance(dt, T.DateType):
             return F.unix_date(F.col(c)).cast("long")
         return F.col(c).cast("long")
@@ -239,6 +241,8 @@ def _parsed(df: DataFrame, c: str):
     dt = df.schema[c].dataType
     if isinstance(dt, T.StringType):
         return F.try_to_timestamp(F.col(c))
+    if isinstance(dt, T.TimestampNTZType):
+        return F.col(c)  # compare wall-clock values directly (no time-zone conversion)
     return F.col(c).cast("timestamp")
 
 

@@ -23,11 +23,21 @@ def _bucket_name(le: float) -> str:
 
 
 def _event_time(events: DataFrame, ts: str, watermark: str | None) -> DataFrame:
-    """Event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ; the session time zone is UTC)."""
+    """Watermarked streams need TIMESTAMP event time (a TIMESTAMP_NTZ column is read in the
+    session time zone); batch twins keep the wall-clock column as is."""
+    if not watermark:
+        return events
     e = events
     if dict(e.dtypes).get(ts) == "timestamp_ntz":
         e = e.withColumn(ts, F.col(ts).cast("timestamp"))
-    return e.withWatermark(ts, watermark) if watermark else e
+    return e.withWatermark(ts, watermark)
+
+
+def _epoch_seconds(df: DataFrame, c: str) -> Column:
+    """Seconds since the epoch; wall-clock (time-zone independent) for TIMESTAMP_NTZ."""
+    if dict(df.select(F.col(c).alias("_x")).dtypes)["_x"] == "timestamp_ntz":
+        return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(c))
+    return F.unix_timestamp(F.col(c))
 
 
 def request_counts(events: DataFrame, ts: str, path: Column, status: Column, window: str = "10 minutes",
@@ -36,8 +46,8 @@ def request_counts(events: DataFrame, ts: str, path: Column, status: Column, win
     e = _event_time(events, ts, watermark)
     g = e.groupBy(F.window(ts, window).alias("w"), path.alias("path"), status.alias("status")).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
-    return g.select(F.unix_timestamp("w.start").alias("window_start"), F.unix_timestamp("w.end").alias("window_end"),
-                    "path", "status", "n")
+    return g.select(_epoch_seconds(g, "w.start").alias("window_start"),
+                    _epoch_seconds(g, "w.end").alias("window_end"), "path", "status", "n")
 
 
 def latency_histogram(events: DataFrame, ts: str, latency: Column, window: str = "10 minutes",
@@ -47,7 +57,7 @@ def latency_histogram(events: DataFrame, ts: str, latency: Column, window: str =
     aggs = [F.sum(F.when(latency <= le, 1).otherwise(0)).cast("long").alias(_bucket_name(le)) for le in LATENCY_BUCKETS]
     aggs += [F.count(F.lit(1)).cast("long").alias("le_inf"), F.sum(latency).alias("latency_sum")]
     g = e.groupBy(F.window(ts, window).alias("w")).agg(*aggs)
-    return g.select(F.unix_timestamp("w.start").alias("window_start"), *[c for c in g.columns if c != "w"])
+    return g.select(_epoch_seconds(g, "w.start").alias("window_start"), *[c for c in g.columns if c != "w"])
 
 
 def score_requests(events: DataFrame, key: str, features_json: str) -> DataFrame:
