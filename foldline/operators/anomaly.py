@@ -43,28 +43,40 @@ def c_factor(n: float) -> float:
 
 def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
                      max_categories: int = 1000) -> DataFrame:
-    """``key…, x`` with x = [scaled, median-imputed numerics] + one-hot categoricals (as array<double>)."""
+    """``key…, x`` with x = [scaled, median-imputed numerics] + one-hot categoricals (as array<double>).
+
+    One aggregate gives counts, moments and category cardinalities; exact medians are computed
+    only for columns that actually have missing values; category lists (checked to be small)
+    come from one more aggregate. Statistics are applied as literals.
+    """
     df = spread(df.select(*key, *numeric, *categorical))  # the Arrow scoring below is per-partition
-    num = list(numeric)
+    num, cat = list(numeric), list(categorical)
     parts = []
-    if num:
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in num:
+        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mu_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
+    for c in cat:
+        aggs.append(F.approx_count_distinct(F.col(c)).alias(f"k_{c}"))
+    st = df.agg(*aggs).first()
+    missing = [c for c in num if st[f"n_{c}"] < st["_rows"]]
+    med = {}
+    if missing:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
-                                             for c in num])).alias("e")).select("e.c", "e.v").where(
-            F.col("v").isNotNull() & ~F.isnan("v"))
-        med = exact_percentiles(long, ["c"], "v", [0.5], out_prefix="m")
-        mom = long.groupBy("c").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
-        st = {r["c"]: (r["m_0"], r["mu"], r["sd"]) for r in med.join(mom, "c").collect()}  # one row per column
-        for c in num:
-            m, mu, sd = st.get(c, (0.0, 0.0, 1.0))
-            x = F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(m))
-            # imputation then scaling with the imputed column's moments is approximated by the observed ones
-            parts.append(((x - F.lit(mu)) / F.lit(sd if sd else 1.0)))
-    for c in categorical:
-        vals = df.select(F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
-        if vals.limit(max_categories + 1).count() > max_categories:
-            raise ValueError(f"{c}: too many categories for one-hot")
-        for v in sorted(r["v"] for r in vals.collect()):
-            parts.append(F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0))
+                                             for c in missing])).alias("e")).select("e.c", "e.v")
+        med = {r["c"]: r["m_0"] for r in exact_percentiles(long, ["c"], "v", [0.5], out_prefix="m").collect()}
+    for c in num:
+        mu, sd = st[f"mu_{c}"] or 0.0, st[f"sd_{c}"] or 1.0
+        x = F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(med.get(c, mu)))
+        parts.append((x - F.lit(mu)) / F.lit(sd))
+    too_many = [c for c in cat if st[f"k_{c}"] > max_categories]
+    if too_many:
+        raise ValueError(f"{too_many}: too many categories for one-hot")
+    if cat:
+        sets = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in cat]).first()  # bounded above
+        for c in cat:
+            for v in sorted(sets[c]):
+                parts.append(F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0))
     return df.select(*[F.col(k) for k in key], F.array(*parts).alias("x"))
 
 

@@ -80,14 +80,25 @@ def atomic_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _ATOMIC)]
 
 
-def infer_audit_target(df: DataFrame) -> str | None:
-    """Candidate names first (case-insensitive); else the last column if it has <= 50 distinct values."""
+# Catalogue variant (PRJ-07): its own candidate order and an unconditional last-column fallback.
+CATALOGUE_TARGET_CANDIDATES = ["target", "class", "label", "species", "variety", "diagnosis", "survived", "salary"]
+
+
+def infer_audit_target(df: DataFrame, policy: str = "audit") -> str | None:
+    """Candidate names first (case-insensitive); else the last column if it has <= 50 distinct values.
+
+    ``policy="catalogue"`` (PRJ-07) uses the catalogue's candidate order and always falls back to
+    the last column.
+    """
     lower = {}
     for c in df.columns:
-        lower.setdefault(c.lower(), c)
-    for cand in AUDIT_TARGET_CANDIDATES:
+        lower[c.lower()] = c
+    cands = CATALOGUE_TARGET_CANDIDATES if policy == "catalogue" else AUDIT_TARGET_CANDIDATES
+    for cand in cands:
         if cand in lower:
             return lower[cand]
+    if policy == "catalogue":
+        return df.columns[-1] if df.columns else None
     tail = df.columns[-1]
     # exact distinct count, stopped early: only whether it exceeds the limit matters
     n = df.select(tail).where(F.col(tail).isNotNull()).distinct().limit(FALLBACK_TARGET_MAX_DISTINCT + 1).count()

@@ -177,6 +177,21 @@ def calibration_bins(pred: DataFrame, keys: Sequence[str], y_true: str, score: s
         F.avg(F.col(y_true).cast("double")).alias("positive_rate"))
 
 
+def custom_metrics(pred: DataFrame, keys: Sequence[str], metrics: dict, y_true: str = "y_true",
+                   y_pred: str = "y_pred") -> DataFrame:
+    """UDF-01: user metric callables ``f(y_true: pd.Series, y_pred: pd.Series) -> float`` run as
+    grouped-aggregate pandas UDFs (Arrow batches), one column per metric, all groups in one pass."""
+    import pandas as pd
+
+    aggs = []
+    for name, fn in metrics.items():
+        @F.pandas_udf("double")
+        def _m(t: pd.Series, p: pd.Series, _fn=fn) -> float:
+            return float(_fn(t, p))
+        aggs.append(_m(F.col(y_true), F.col(y_pred)).alias(name))
+    return pred.groupBy(*keys).agg(*aggs)
+
+
 def evaluate(pred: DataFrame, keys: Sequence[str], task: str, y_true: str = "y_true", y_pred: str = "y_pred",
              score: str | None = None, n_buckets=None) -> DataFrame:
     """UDF-01 / TRN-03 helper: every metric of the task for every group."""

@@ -22,14 +22,32 @@ COLUMN_ALIASES = {"model": "framework", "roc_auc": "roc_auc_ovr", "average_preci
                   "fit_time": "fit_time_sec", "predict_time": "predict_time_sec"}
 
 
-def read_table(spark: SparkSession, path: str, schema=None, sanitize: bool = True) -> DataFrame:
-    """SRC-01: header CSV (schema given or inferred), NaN → null, legacy target rename, clean names."""
+def read_table(spark: SparkSession, path: str, schema=None, sanitize: bool = True,
+               nrows: int | None = None) -> DataFrame:
+    """SRC-01/05: header CSV (schema given or inferred), NaN → null, legacy target rename, clean
+    names; ``nrows`` bounds the scan (the chunked/bounded read of the reference)."""
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
     df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    if nrows is not None:
+        df = df.limit(nrows)
     df = legacy_target_rename(nan_to_null(df))
     return sanitize_columns(df) if sanitize else df
 
 
+# Canonical metric order of report tables (presence-aware: only columns that exist are kept).
+STANDARD_METRICS = ["f1_macro", "accuracy", "roc_auc_ovr", "avg_precision_ovr", "fit_time_sec",
+                    "predict_time_sec", "f1", "precision", "recall"]
+
+
+def project_metrics(df: DataFrame, keys: Sequence[str] = ("framework",)) -> DataFrame:
+    """PRJ-20: keys, then the standard metrics present in canonical order, then other numeric
+    metric columns sorted by name."""
+    present = [m for m in STANDARD_METRICS if m in df.columns]
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")}
+    extras = sorted(c for c in df.columns if c not in present and c not in keys and c in numeric)
+    return df.select(*[k for k in keys if k in df.columns], *present, *extras)
+
+
 def first_existing(spark: SparkSession, candidates: Sequence[str], env: str = "CSV_PATH") -> str:
     """SRC-02: the env path if set, else the first candidate that exists (Hadoop FS check)."""
     paths = ([os.environ[env]] if os.environ.get(env) else []) + list(candidates)

@@ -209,6 +209,22 @@ def test_sources_and_sinks(spark, sf_dir):
     assert {r["k"]: r["v"] for r in up.collect()} == {"a": 1, "b": 3}
 
 
+def test_folded_helpers(spark):
+    from foldline.operators.guardrails import infer_audit_target
+    from foldline.operators.metrics import custom_metrics
+    from foldline.operators.training import positive_probability_column
+    from foldline.sources.readers import project_metrics
+    df = spark.createDataFrame([(1, 2.0, "a")], "Species int, x double, Variety string")
+    assert infer_audit_target(df) == "Variety" and infer_audit_target(df, policy="catalogue") == "Species"
+    assert positive_probability_column(["predict", "p0", "p1"], ["0", "1"]) == "p1"
+    assert positive_probability_column(["predict", "no", "yes"], ["no", "yes"]) == "yes"
+    m = spark.createDataFrame([("a", 0.5, 1.0, 9.0, 0.1)], "framework string, accuracy double, zeta double, f1_macro double, alpha double")
+    assert project_metrics(m).columns == ["framework", "f1_macro", "accuracy", "alpha", "zeta"]
+    pred = spark.createDataFrame([("g", 1, 1), ("g", 0, 1), ("h", 0, 0)], "k string, y_true int, y_pred int")
+    got = {r["k"]: r["acc"] for r in custom_metrics(pred, ["k"], {"acc": lambda t, p: (t == p).mean()}).collect()}
+    assert got == {"g": 0.5, "h": 1.0}
+
+
 def test_names_traps():
     from foldline.functions.names import safe_col, sanitized_names
     assert [n for _, n in sanitized_names(["a b", "a_b", "a__b", "Unnamed: 0", "***"])] == ["a_b", "a_b_1", "a_b_2", "col"]
