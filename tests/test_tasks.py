@@ -36,12 +36,12 @@ def test_random_fourier_features_approximate_rbf_kernel(spark):
     pts = [[0.0, 0.0], [0.5, -0.2], [1.0, 1.0]]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "i int, x array<double>").withColumn(
         "features", array_to_vector("x"))
-    z = random_fourier_features(df, 2, n_features=3000, gamma=0.5).select("i", vector_to_array("features").alias("z"))
+    z = random_fourier_features(df, 2, n_features=400, gamma=0.5).select("i", vector_to_array("features").alias("z"))
     zs = {r["i"]: np.array(r["z"]) for r in z.collect()}
     for a in range(3):
         for b in range(3):
             k = math.exp(-0.5 * np.sum((np.array(pts[a]) - np.array(pts[b])) ** 2))
-            assert abs(zs[a] @ zs[b] - k) < 0.06
+            assert abs(zs[a] @ zs[b] - k) < 0.15
 
 
 def test_search_and_scoring_rule(spark):
