@@ -110,7 +110,7 @@ def infer_audit_target(df: DataFrame, policy: str = "audit") -> str | None:
 def duplicate_summary(df: DataFrame, subset=None) -> DataFrame:
     """One row ``(rows, duplicates, fraction)``: repeats after the first over ``subset`` (default: all)."""
     cols = list(subset) if subset else df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))  # partial aggregation map-side
     s = g.agg(F.sum("_c").cast("long").alias("rows"), F.sum(F.col("_c") - 1).cast("long").alias("duplicates"))
     return s.select(F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
                     F.try_divide(F.col("duplicates"), F.col("rows")).alias("fraction"))
@@ -166,22 +166,25 @@ def proxy_evidence(df: DataFrame, target: str, columns=None) -> DataFrame:
                     F.countDistinct(F.col(target)).cast("long").alias("target_classes"))
     df = spread(df.select(target, *cols))
     tcol = F.col(target).cast("string")
-    per_col = None
-    # one unpivot per value family keeps values in a cheap, exact native type (no double →
-    # string formatting); each family reads only its own columns
-    for fam, members in _families(df, cols).items():
-        entries = F.array(*[F.struct(F.lit(c).alias("column_name"), _family_value(df, c, fam).alias("value"))
-                            for c in members])
-        long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
-            "_e.column_name", "_e.value", "_t")
-        triples = long.distinct()
-        per_value = triples.groupBy("column_name", "value").agg(F.count("_t").alias("n_targets"))
-        pc = per_value.groupBy("column_name").agg(
-            F.count("value").cast("long").alias("n_values"),
-            F.max("n_targets").cast("long").alias("max_targets"),
-            F.avg(F.when(F.col("value").isNotNull() & (F.col("n_targets") > 0), F.col("n_targets"))
-                  ).alias("mean_targets"))
-        per_col = pc if per_col is None else per_col.unionByName(pc)
+    # one unpivot for all columns; the value is a typed struct (long | double | string) with only
+    # its family's field set, so values stay in a cheap, exact native type (no double → string
+    # formatting) and the whole audit is one explode and one shuffle
+    fams = {c: fam for fam, members in _families(df, cols).items() for c in members}
+    nul = {"long": F.lit(None).cast("long"), "double": F.lit(None).cast("double"), "string": F.lit(None).cast("string")}
+
+    def typed(c):
+        return F.struct(*[(_family_value(df, c, f) if fams[c] == f else nul[f]).alias(f) for f in ("long", "double", "string")])
+
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), typed(c).alias("value"),
+                                 F.col(c).isNull().alias("is_null")) for c in cols])
+    long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
+        "_e.column_name", "_e.value", "_e.is_null", "_t")
+    triples = long.distinct()
+    per_value = triples.groupBy("column_name", "value", "is_null").agg(F.count("_t").alias("n_targets"))
+    per_col = per_value.groupBy("column_name").agg(
+        F.count(F.when(~F.col("is_null"), 1)).cast("long").alias("n_values"),
+        F.max("n_targets").cast("long").alias("max_targets"),
+        F.avg(F.when(~F.col("is_null") & (F.col("n_targets") > 0), F.col("n_targets"))).alias("mean_targets"))
     return per_col.crossJoin(F.broadcast(totals))  # totals is exactly one row
 
 
