@@ -71,7 +71,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         n = df.rdd.getNumPartitions()
     except Exception:  # pragma: no cover - plans without an RDD view
         return df
-    return df.repartition(target) if n < target else df
+    if n >= target:
+        return df
+    # hash of the row's atomic columns: deterministic on retry without the local sort that a
+    # round-robin repartition needs for the same guarantee
+    from pyspark.sql import types as T
+    atomic = [f.name for f in df.schema.fields
+              if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType,
+                                         T.TimestampType, T.TimestampNTZType, T.BinaryType))]
+    if not atomic:
+        return df.repartition(target)
+    return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in atomic]))
 
 
 def _as_cols(cols) -> list[Column]:
