@@ -36,6 +36,21 @@ def tokens(df: DataFrame, doc_col: str, text_col: str, stop_words: Sequence[str]
     return t
 
 
+def term_counts(df: DataFrame, doc_col: str, text_col: str, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``doc, term, tf``: raw term counts of whole texts (map-side combined per doc and term)."""
+    return tokens(df, doc_col, text_col, stop_words).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def weights_from_counts(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``doc, term, tf, idf, weight`` for the vocabulary's terms, L2-normalised per doc."""
+    j = tf.join(F.broadcast(vocabulary.select("term", "idf")), "term")  # vocabulary <= max_features rows
+    j = j.withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = j.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    out = j.join(norm, "doc")
+    return out.select("doc", "term", F.col("tf").cast("long").alias("tf"), "idf",
+                      (F.col("_w") / F.col("_norm")).alias("weight"))
+
+
 def tfidf(df: DataFrame, doc_col: str, text_col: str, max_features: int = MAX_FEATURES,
           stop_words: Sequence[str] | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """``doc, term, tf, idf, weight`` with smooth idf ln((1+n)/(1+df)) + 1 and L2-normalised rows.
@@ -43,21 +58,17 @@ def tfidf(df: DataFrame, doc_col: str, text_col: str, max_features: int = MAX_FE
     The vocabulary is the ``max_features`` most frequent terms (ties by term), unless a fitted
     ``vocabulary`` (``term, idf``) is passed — then unseen terms are ignored (transform mode).
     """
-    tok = tokens(df, doc_col, text_col, stop_words)
-    tf = tok.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = term_counts(df, doc_col, text_col, stop_words)
     if vocabulary is None:
         vocabulary = fit_vocabulary(df, tf, max_features)
-    j = tf.join(F.broadcast(vocabulary.select("term", "idf")), "term")  # vocabulary <= max_features rows
-    j = j.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = j.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    out = j.join(norm, "doc")
-    return out.select("doc", "term", F.col("tf").cast("long").alias("tf"), "idf",
-                      (F.col("_w") / F.col("_norm")).alias("weight"))
+    return weights_from_counts(tf, vocabulary)
 
 
-def fit_vocabulary(docs: DataFrame, tf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``term, df, count, idf`` of the top ``max_features`` terms by corpus count (ties by term)."""
-    n_docs = docs.count()
+def fit_vocabulary(docs: DataFrame | int, tf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """``term, df, count, idf`` of the top ``max_features`` terms by corpus count (ties by term).
+
+    ``docs`` is the document frame (counted) or the number of documents."""
+    n_docs = docs if isinstance(docs, int) else docs.count()
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("count"))
     top = stats.orderBy(F.col("count").desc(), "term").limit(max_features)  # bounded top-k
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
@@ -95,7 +106,7 @@ def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame,
 
 
 def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col: str, k: int = 5, seed: int = 42,
-                          max_features: int = MAX_FEATURES, reg: float = 0.0) -> DataFrame:
+                          max_features: int = MAX_FEATURES, reg: float | None = None) -> DataFrame:
     """TRN-11: TF-IDF (vocabulary fitted per training fold) + logistic regression, stratified k-fold.
 
     Returns per-fold ``fold, n, accuracy, f1_macro, roc_auc, avg_precision, fit_time_sec``;
@@ -113,16 +124,27 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
     from pyspark.ml.functions import vector_to_array
     lab = folds.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
 
+    # tokenise every whole text once; folds reuse the materialised term counts
+    from foldline.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    tf_all = term_counts(folds, doc_col, text_col).checkpoint(eager=True)
+    fold_docs = folds.select(F.col(doc_col).alias("doc"), "fold")
+    sizes = {r["fold"]: r["n"] for r in fold_docs.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def one(g: int):
-        train = folds.where(F.col("fold") != g)
-        test = folds.where(F.col("fold") == g)
-        tf_train = tokens(train, doc_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-        voc = fit_vocabulary(train, tf_train, max_features).cache()
-        x_tr, _ = tfidf_vectors(tfidf(train, doc_col, text_col, vocabulary=voc), voc)
-        x_te, _ = tfidf_vectors(tfidf(test, doc_col, text_col, vocabulary=voc), voc)
+        tr_docs = fold_docs.where(F.col("fold") != g).select("doc")
+        te_docs = fold_docs.where(F.col("fold") == g).select("doc")
+        tf_tr = tf_all.join(tr_docs, "doc", "left_semi")
+        tf_te = tf_all.join(te_docs, "doc", "left_semi")
+        n_train = sum(n for f, n in sizes.items() if f != g)
+        voc = fit_vocabulary(n_train, tf_tr, max_features).cache()
+        x_tr, _ = tfidf_vectors(weights_from_counts(tf_tr, voc), voc)
+        x_te, _ = tfidf_vectors(weights_from_counts(tf_te, voc), voc)
         train_set = x_tr.join(lab, "doc").cache()
+        # L2 strength of C = 1 in the (sum-of-losses) primal form: regParam = 1 / (C · n_train)
+        rp = reg if reg is not None else 1.0 / max(n_train, 1)
         t0 = time.time()
-        model = LogisticRegression(maxIter=100, regParam=reg).fit(train_set)
+        model = LogisticRegression(maxIter=100, regParam=rp).fit(train_set)
         fit_s = time.time() - t0
         train_set.unpersist()
         p = model.transform(x_te.join(lab, "doc")).select(
