@@ -163,4 +163,10 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
         allp = allp.unionByName(p)
     m = evaluate(allp, ["fold"], "classification", score="score", n_buckets=1)
     ft = df.sparkSession.createDataFrame(fit_times, "fold int, fit_time_sec double")
-    return m.join(ft, "fold")
+    res = m.join(ft, "fold")
+    # k summary rows: materialise them, then release the per-fold caches held by this session
+    out = df.sparkSession.createDataFrame(res.collect(), res.schema)
+    for p in preds:
+        p.unpersist()
+    folds.unpersist()
+    return out
