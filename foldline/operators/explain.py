@@ -48,7 +48,9 @@ def sample_details(attr: DataFrame, key: str, prediction: DataFrame, k: int = 10
 
 def monte_carlo_shapley(model, df: DataFrame, key: str, features: Sequence[str], background: DataFrame,
                         n_perm: int = 10, seed: int = 42, output: str = "probability", index: int = 1) -> DataFrame:
-    """EXP-02: ``key, feature, shapley`` for any fitted Spark ML model over assembled ``features``.
+    """EXP-02 (and EXP-03 for tree models): ``key, feature, shapley`` for any fitted Spark ML model.
+
+    UDF-05: the model's ``transform`` plays the reference's ``predict_fn`` on the exploded frame.
 
     For each explained row and permutation π a background row b is drawn (hashed); points
     z_0 = b, z_j = z_{j−1} with feature π_j taken from x. One ``transform`` scores all points;

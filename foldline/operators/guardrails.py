@@ -225,6 +225,7 @@ def path_token_columns(df: DataFrame, target: str, cfg: AuditConfig = AuditConfi
     if n_tok == 0:
         return empty
     if n_tok <= cfg.broadcast_token_limit:
+        # JOI-07: substring theta-join in semi-join form against the (counted, small) token set
         hits = long.join(F.broadcast(tokens), F.instr(F.col("value"), F.col("tok")) > 0, "left_semi")
         return hits.select("column_name").distinct()
     # many tokens: exact substring equi-join, one candidate substring per (position, token length)

@@ -101,6 +101,7 @@ def ranking_metrics(pred: DataFrame, keys: Sequence[str], y_true: str, score: st
         "_q", F.when(F.col("_y") == F.col("_pl"), 0).otherwise(F.col("_c")))
     dist = h.groupBy(*keys, "_s").agg(F.sum("_p").alias("pos"), F.sum("_q").alias("neg"), F.max("_k").alias("_k"))
     dist = dist.where(F.col("_s").isNotNull())
+    # WIN-11: cumulative sums over distinct scores in descending order (bucketed, exact)
     cum = cumsum_within(dist, keys, -F.col("_s"), {"tp": F.col("pos"), "fp": F.col("neg")}, n_buckets=n_buckets)
     tot = dist.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = null_safe_join(cum, tot, keys)

@@ -194,6 +194,7 @@ def latency_quantiles(folds: DataFrame, key: str = "framework", col: str = "pred
 def classifier_means(folds: DataFrame, key: str = "framework") -> DataFrame:
     """AGG-13: mean accuracy and f1 per classifier, rows with a missing mean dropped, sorted by accuracy."""
     a = folds.groupBy(key).agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("f1"))
+    # WIN-10: multi-key sort of a report table (explicit tie-break key)
     return a.na.drop(subset=["accuracy", "f1"]).orderBy(F.col("accuracy").desc(), key)
 
 

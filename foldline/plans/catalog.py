@@ -432,3 +432,17 @@ def prj_dataset_catalogue(spark, sf_dir):
     out = registry_lookup(cat, registry, "name", ["source"], default=CATALOGUE_SOURCE)
     out = out.withColumn("license", F.coalesce("license", F.lit(CATALOGUE_LICENSE)))
     return out.orderBy("modality", "name")
+
+
+@query("stx_ingest_texts", """WITH u AS (SELECT text, 0 AS o FROM documents UNION ALL SELECT text, 1 FROM benchmark
+                   UNION ALL SELECT text, 2 FROM conversations),
+w AS (SELECT text, min(o) AS o FROM u GROUP BY text)
+SELECT CASE o WHEN 0 THEN 'documents' WHEN 1 THEN 'benchmark' ELSE 'conversations' END AS source, count(*) AS n
+FROM w GROUP BY 1""")
+def stx_ingest_texts(spark, sf_dir):
+    """STX-05: ingest texts from three sources, union by name, de-duplicate whole texts (earliest source wins)."""
+    from foldline.sources.readers import ingest_sources
+    frames = [_t(spark, sf_dir, "documents").select("text", "lang"), _t(spark, sf_dir, "benchmark").select("text"),
+              _t(spark, sf_dir, "conversations").select("text", "role")]
+    u = ingest_sources(frames, key=["text"], source_names=["documents", "benchmark", "conversations"])
+    return u.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))

@@ -62,7 +62,9 @@ def first_existing(spark: SparkSession, candidates: Sequence[str], env: str = "C
 
 def discover_datasets(spark: SparkSession, root: str, max_datasets: int | None = None, prefer_small: bool = False,
                       max_size_mb: float | None = None, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """SRC-03: ``(selected, skipped_large)`` of ``path, length, dataset`` under ``root`` (recursive)."""
+    """SRC-03: ``(selected, skipped_large)`` of ``path, length, dataset`` under ``root`` (recursive).
+
+    ``dataset`` is the PRJ-19 slug: file stem, lower-cased, spaces → ``_``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
              .load(root).select("path", "length").dropDuplicates(["path"]))
     slug = F.regexp_replace(F.lower(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)), " ", "_")
@@ -108,6 +110,26 @@ def read_fold_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     return nan_to_null(raw.drop("_file"))
 
 
+def ingest_sources(frames: Sequence[DataFrame], key: Sequence[str] | None = None,
+                   source_names: Sequence[str] | None = None) -> DataFrame:
+    """STX-05: multi-source ingest — union by name (missing columns → null), tag the source, and
+    de-duplicate on ``key`` (else on all data columns) keeping the row of the earliest source.
+
+    Database tables arrive the same way through ``spark.read.jdbc``. The de-duplication is one
+    map-side-combined aggregate (``min`` of a struct led by the source order), so it is
+    deterministic, unlike an arbitrary ``dropDuplicates`` survivor."""
+    out = None
+    for i, df in enumerate(frames):
+        tagged = df.withColumn("_source", F.lit(source_names[i] if source_names else str(i))).withColumn(
+            "_src_order", F.lit(i))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    data_cols = [c for c in out.columns if c not in ("_source", "_src_order")]
+    keys = list(key) if key else data_cols
+    rest = [c for c in out.columns if c not in keys and c != "_src_order"]
+    g = out.groupBy(*keys).agg(F.min(F.struct("_src_order", *rest)).alias("_r"))
+    return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def read_json_reports(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
     """SRC-06: multi-line JSON documents; malformed files are dropped."""
     r = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED")

@@ -225,6 +225,19 @@ def test_folded_helpers(spark):
     assert got == {"g": 0.5, "h": 1.0}
 
 
+def test_ingest_sources_and_spread(spark):
+    from foldline.functions.ordered import default_buckets, spread
+    from foldline.sources.readers import ingest_sources
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "t string, v int")
+    b = spark.createDataFrame([("y", "late"), ("z", "new")], "t string, w string")
+    u = {r["t"]: (r["_source"], r["v"], r["w"]) for r in ingest_sources([a, b], key=["t"], source_names=["a", "b"]).collect()}
+    assert u == {"x": ("a", 1, None), "y": ("a", 2, None), "z": ("b", None, "new")}
+    one = spark.range(1000).coalesce(1)
+    s = spread(one, 4)
+    assert s.rdd.getNumPartitions() == 4 and s.count() == 1000
+    assert default_buckets(one) == 1
+
+
 def test_names_traps():
     from foldline.functions.names import safe_col, sanitized_names
     assert [n for _, n in sanitized_names(["a b", "a_b", "a__b", "Unnamed: 0", "***"])] == ["a_b", "a_b_1", "a_b_2", "col"]
