@@ -107,7 +107,8 @@ _OH = [("l_returnflag", ["A", "N", "R"]), ("l_linestatus", ["F", "O"])]
 
 
 @query("fea_onehot_lineitem", "SELECT l_orderkey, l_linenumber, fold, " + ", ".join(
-    f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {c}_{v}" for c, vs in _OH for v in vs) + f" FROM {LI_FOLDS_SQL} f")
+    f"CAST(CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {c}_{v}" for c, vs in _OH for v in vs)
+    + f" FROM {LI_FOLDS_SQL} f")
 def fea_onehot_lineitem(spark, sf_dir):
     """FEA-08: one-hot with categories learnt from each training fold (unseen → all zeros)."""
     f = _li_folds(spark, sf_dir)
