@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldline.functions.hashing import h15, sql_h15, sql_h8
+from foldline.functions.hashing import sql_h15, sql_h8
 from foldline.functions.names import safe_col_expr
 from foldline.operators import guardrails as G
-from foldline.operators import metrics as M
 from foldline.operators import profile as P
 from foldline.operators import reports as R
 from foldline.operators import splits as S
-from foldline.operators import stats as ST
 from foldline.plans import derived as D
 from foldline.plans import sqlgen as Q
 

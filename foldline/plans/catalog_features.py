@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from foldline.functions.hashing import sql_h15
 from foldline.operators import features as FE
-from foldline.operators import splits as S
 from foldline.operators import text as TX
 from foldline.plans.catalog import _t, query
 
@@ -221,4 +220,3 @@ def stx_mutual_info_lineitem(spark, sf_dir):
                                  "l_returnflag")
 
 
-_ = S

@@ -9,7 +9,6 @@ from foldline.operators import explain as EX
 from foldline.operators import forecast as FC
 from foldline.operators import media as MD
 from foldline.operators import splits as S
-from foldline.plans import derived as D
 from foldline.plans.catalog import _t, query
 from foldline.functions.hashing import sql_h15
 from foldline.streaming import counters as SC
@@ -232,4 +231,3 @@ def trn_text_cv_documents(spark, sf_dir):
     return text_cross_validation(d, "doc_id", "text", "quality", k=5)
 
 
-_ = D

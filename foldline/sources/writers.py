@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from foldline.operators.guardrails import audit_index
 from foldline.operators.reports import upsert
@@ -69,4 +68,3 @@ def with_lineage_cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-_ = F
