@@ -231,3 +231,15 @@ def trn_text_cv_documents(spark, sf_dir):
     return text_cross_validation(d, "doc_id", "text", "quality", k=5)
 
 
+
+
+@query("trn_classifier_panel_part", None)
+def trn_classifier_panel_part(spark, sf_dir):
+    """TRN-02: random forest (500), decision tree (depth 5, min leaf 5), logistic regression and
+    Gaussian NB on the same stratified folds and fold-safe preprocessing (part: size above 25)."""
+    from foldline.operators import training as TR
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_brand", "p_type",
+                                         (F.col("p_size") > 25).cast("int").alias("big"))
+    spec = TR.make_spec(p, ["p_partkey"], "big", "classification")
+    cfg = TR.ExperimentConfig(name="panel", seeds=(42,), k=3, parallelism=3)
+    return TR.classifier_panel(spec, cfg, kinds=("rf", "tree", "logreg", "nb"))
