@@ -26,3 +26,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold_of(id_col: str, folds: int):
     """``crc32`` of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int, max_chars: int) -> list:
+    """A bounded sample to fit on: at most ``per_class`` documents of each label whose fold ``train`` accepts
+    and whose text has at most ``max_chars`` characters, in the order of a hash of their id.
+
+    Returns ``[(doc_id, text, label)]`` in that order. Scoring is never limited this way."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
+    own = own.where(F.col("y").isin(0, 1) & train).groupBy("doc_id").agg(F.max("y").alias("y"))
+    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("n"))
+    size = size.where(F.col("n") <= max_chars).select("doc_id").distinct()
+    known = own.join(size, "doc_id").withColumn("draw", F.xxhash64(F.lit("sample"), F.col("doc_id")))
+    picked = None
+    for y in (0, 1):
+        part = known.where(F.col("y") == y).orderBy("draw", "doc_id").limit(per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    # at most 2 * per_class rows of three numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "draw").agg(
+        F.min("text").alias("text")).collect()
+    return [(r["doc_id"], r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"]))]
+
+
+def fit_logistic(x, y, l2: float = 1.0, steps: int = 50):
+    """Weights (bias last) of an L2-regularised logistic regression, by Newton steps."""
+    import numpy as np
+
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+    ridge[-1] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + ridge * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

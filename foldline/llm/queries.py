@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from foldline.llm.cosine import OP7_SQL, op7_near_duplicates
 from foldline.llm.jaccard import OP4_SQL, op4_jaccard_join
+from foldline.llm.lm import op10_lm_scores
 from foldline.llm.mixing import op3_mix
 from foldline.llm.packing import op2_pack
+from foldline.llm.quality import op5_quality
 from foldline.llm.secrets import OP6_SQL, op6_secrets
 from foldline.llm.tokenfile import op9_token_file
 from foldline.llm.topk import OP1_SQL, op1_top_k
+from foldline.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_pack": (op2_pack, None),
     "op3_mix": (op3_mix, None),
     "op4_jaccard_join": (op4_jaccard_join, OP4_SQL),
+    "op5_quality": (op5_quality, None),
     "op6_secrets": (op6_secrets, OP6_SQL),
     "op7_near_duplicates": (op7_near_duplicates, OP7_SQL),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_token_file": (op9_token_file, None),
+    "op10_lm_scores": (op10_lm_scores, None),
 }
