@@ -8,7 +8,8 @@ toxic text and hardly in ordinary text (log-likelihood ratio and rate ratio); co
 instead of occurrences discounts copies.
 
 Every window of ``WINDOW`` words of a text is compressed with both; a document's features are
-the largest and mean difference, the root-scaled sum and the shares of windows above some differences. A logistic
+the largest and mean difference, the root-scaled sum, and shares and counts of windows above some
+differences. A logistic
 regression on training documents that no dictionary has seen turns them into a calibrated score.
 
 Fitting uses a bounded sample: ``TRAIN_DOCS`` documents per class at most, of ``TRAIN_CHARS`` characters at
@@ -30,13 +31,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foldline.llm.common import fit_logistic, fold_of, labelled_sample, table
 from foldline.llm.textops import slices
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-WINDOW = 16              # words
+WINDOW = 12              # words
 TRAIN_DOCS = 4000        # of each class
 TRAIN_CHARS = 60_000
 DICT_BYTES = 8192
@@ -122,8 +124,9 @@ class Distance:
         ordinary, toxic = self.of
         d = np.array([len(ordinary(w)) - len(toxic(w)) for w in _windows(text)], dtype=np.float64)
         if not len(d):
-            return [0.0] * 7
-        return [d.max(), d.mean(), d.sum() / math.sqrt(len(d)), *[(d >= t).mean() for t in (1, 2, 3, 4)]]
+            return [0.0] * 12
+        return [d.max(), d.mean(), d.sum() / math.sqrt(len(d)), *[(d >= t).mean() for t in (1, 2, 3, 4)],
+                *[math.log1p((d >= t).sum()) for t in (2, 3, 4, 5)], math.log1p(len(d))]
 
 
 def fit(sample: list) -> dict | None:
@@ -139,10 +142,11 @@ def fit(sample: list) -> dict | None:
     x = np.array([distance.features(t) for _, t, _ in rest])
     y = np.array([s[2] for s in rest], dtype=np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return {"ordinary": ordinary, "toxic": toxic, "mean": mean, "scale": scale, "w": fit_logistic((x - mean) / scale, y)}
+    return {"ordinary": ordinary, "toxic": toxic, "mean": mean, "scale": scale, "w": fit_logistic((x - mean) / scale, y, l2=2.0)}
 
 
 def _score(model: dict | None):
+    """Adds ``score`` to the rows; ``text`` stays where it was."""
     def run(batches):
         distance = Distance(model["ordinary"], model["toxic"]) if model else None
         for b in slices(batches, "text"):
@@ -151,9 +155,7 @@ def _score(model: dict | None):
                 s = 1 / (1 + np.exp(-np.clip(x @ model["w"][:-1] + model["w"][-1], -30, 30)))
             else:
                 s = np.zeros(b.num_rows)
-            at = b.schema.get_field_index("text")
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], pa.array(s)],
-                                             names=[*[n for n in b.schema.names if n != "text"], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
     return run
 
 
@@ -162,11 +164,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     return fit(labelled_sample(docs, labels, "toxic", train, TRAIN_DOCS, TRAIN_CHARS))
 
 
-def toxicity_scores(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs (doc_id, text)``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(model), "doc_id long, score double")
-    return out.select("doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
+def toxicity_scores(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, keep=("doc_id",)) -> DataFrame:
+    """``held_out, score, predicted`` beside the columns ``keep`` of every row of ``docs (doc_id, text)``."""
+    rows = docs.select(*[F.col(c) for c in keep if c not in ("doc_id", "text")],
+                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(_score(model), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return out.select(*keep, (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
