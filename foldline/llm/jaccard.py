@@ -16,10 +16,14 @@ A document's set are its distinct ``k``-word shingles (64-bit hashes). Two docum
    (``min >= percent * max / 100``), by position (what can still follow the shared shingle) and by suffix
    (``sum(min(range counts))`` bounds the intersection).
 4. *Verification.* Each proposed pair is verified once on the whole sets; links give components.
-5. *Residue.* Pairs that stars did not propose matter only between different components. The
-   shingles whose documents lie in several components propose all those pairs, same filters, verified
-   once. So copies, however many, never meet pairwise, and no link between
-   different components is lost.
+5. *More stars.* Shingles whose documents still lie in several components propose stars around other
+   documents, ``STARS`` rounds in all; only pairs of different components are verified.
+6. *Residue.* What stars did not propose matters between different components only. The shingles whose
+   documents still lie in several components propose all those pairs, same filters, verified once. So copies,
+   however many, never meet pairwise, and no link between different components is lost.
+
+Whole sets are computed anew for the documents of proposed pairs; a bit table of their ids (8 bits per document, at
+most ``MAX_BITS``) lets the scan skip most others, so texts are never shuffled.
 
 Edge cases: null and empty texts, and texts of blanks, have an empty set and link with nothing; a shorter text
 than k words has one shingle; rows with a null doc_id count shingles, link with nothing and have a null
@@ -39,13 +43,15 @@ from pyspark.sql import functions as F
 
 from foldline.llm.common import stored, table
 from foldline.llm.graph import components
-from foldline.llm.textops import batch_words, shingle_hashes, slices
+from foldline.llm.textops import batch_words, mix, shingle_hashes, slices
 
 K = 4
 PERCENT = 85
 CELLS = 1 << 22
 SLICES = 64              # parts in which counters travel
 RANGES = 64
+STARS = 4
+MAX_BITS = 1 << 30       # of the bit table of ids that is broadcast
 SHARE_BYTES = 8 << 20    # packed prefix bytes that a bucket holds, about
 
 
@@ -243,11 +249,35 @@ def _suffix(percent: int):
 
 # --- 4. verification ----------------------------------------------------------------------
 
-def _sets(k: int):
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bit_table(ids: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` places the ids fall on: one table of at most that many bits per partition, added up."""
     def run(batches):
-        for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b, k)], pa.binary())], names=["doc_id", "set"])
+        on = np.zeros(bits, dtype=bool)
+        for b in batches:
+            on[_place(np.asarray(b.column(0)).astype(np.int64), bits)] = True
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(on).tobytes(), 1)], pa.binary())], names=["bits"])
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in ids.mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zstandard.decompress(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def _sets(k: int, shared, bits: int):
+    """The sets of the texts whose id falls on a place of the bit table."""
+    def run(batches):
+        on = np.unpackbits(shared.value).view(bool)
+        for b in batches:
+            ids = b.column("doc_id")
+            known = np.array(ids.is_valid(), dtype=bool)
+            known[known] = on[_place(np.asarray(ids.drop_null()).astype(np.int64), bits)]
+            for part in slices([b.filter(pa.array(known))], "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part, k)], pa.binary())], names=["doc_id", "set"])
     return run
 
 
@@ -264,8 +294,9 @@ def _verify(percent: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, k: int, percent: int):
+    def __init__(self, docs: DataFrame, k: int, percent: int, n_docs: int):
         self.docs, self.k, self.percent = docs, k, percent
+        self.bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (8 * n_docs).bit_length()))
 
     def verified(self, pairs: DataFrame, ranges: DataFrame) -> DataFrame:
         """Links among distinct candidate pairs ``a, b``: suffix filter, then the whole sets, once per pair."""
@@ -274,12 +305,24 @@ class _Join:
         r2 = ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
         pairs = stored(pairs.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs")
         ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        sets = stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.k), "doc_id long, set binary"), "sets")
+        shared = self.docs.sparkSession.sparkContext.broadcast(_bit_table(ids, self.bits))
+        sets = self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary")
+        sets = stored(sets.join(ids, "doc_id", "left_semi"), "sets")
         both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
                 .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"))
         return stored(both.mapInArrow(_verify(self.percent), "a long, b long").distinct(), "verified")
 
 
+def _labelled(links: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of the links, and the entries of shingles whose documents lie in several of them, each with
+    its document's component ``c``."""
+    comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    e = entries.drop("c").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    e = stored(e.withColumn("c", F.coalesce("component", "doc")).drop("component"), "labelled")
+    mixed = e.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("gram")
+    return comp, stored(e.join(stored(mixed, "mixed"), "gram", "left_semi"), "residue")
+
+
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text)``."""
     spark = docs.sparkSession
@@ -300,25 +343,24 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int
                .mapInArrow(_shared, "gram long, doc long, n int, place int").distinct())
     entries = stored(entries, "entries")
 
-    join = _Join(rows, k, percent)
-    lead = entries.groupBy("gram").agg(F.min(F.struct("doc", "n", "place")).alias("lead"))
-    star = entries.join(stored(lead, "lead"), "gram").where(F.col("doc") != F.col("lead.doc"))
-    star = star.select(F.col("lead.doc").alias("a"), F.col("doc").alias("b"), "n", "place",
-                       F.col("lead.n").alias("n2"), F.col("lead.place").alias("place2"))
-    links = join.verified(star.where(_plausible(percent)).select("a", "b"), ranges)
-    comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    join = _Join(rows, k, percent, sized.count())
+    links, comp, e = None, None, entries.withColumn("c", F.col("doc"))
+    for i in range(STARS):
+        first_of = F.min(F.struct(F.xxhash64(F.lit(i), "doc").alias("draw"), "doc", "n", "place", "c"))
+        lead = stored(e.groupBy("gram").agg(first_of.alias("lead")), "lead")
+        star = e.join(lead, "gram").where(F.col("c") != F.col("lead.c"))
+        star = star.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"), "n", "place",
+                           F.col("lead.n").alias("n2"), F.col("lead.place").alias("place2"))
+        star = star.where(_plausible(percent)).select("a", "b")
+        new = join.verified(star if links is None else star.join(links, ["a", "b"], "left_anti"), ranges)
+        links = new if links is None else links.unionByName(new)
+        comp, e = _labelled(links, entries if i == 0 else e)
 
     # what the stars have not proposed matters between different components only
-    e = entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    e = stored(e, "labelled")
-    mixed = e.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("gram")
-    e = stored(e.join(mixed, "gram", "left_semi"), "residue")
     f = e.select("gram", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
     rest = (e.withColumnRenamed("doc", "a").join(f, "gram").where("a < b and c <> c2").where(_plausible(percent)).select("a", "b"))
-    rest = rest.join(links, ["a", "b"], "left_anti")
-    more = join.verified(rest, ranges)
-    both = links.unionByName(more)
-    comp = stored(components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    links = links.unionByName(join.verified(rest, ranges))
+    comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     classes = folded.join(comp, folded["rep"] == comp["node"], "left").select(
         "n", "digest", F.coalesce("component", "rep").alias("component_id"))
