@@ -50,7 +50,7 @@ PERCENT = 85
 CELLS = 1 << 22
 SLICES = 64              # parts in which counters travel
 RANGES = 64
-STARS = 4
+STARS = 2
 MAX_BITS = 1 << 30       # of the bit table of ids that is broadcast
 SHARE_BYTES = 8 << 20    # packed prefix bytes that a bucket holds, about
 
