@@ -129,7 +129,7 @@ _OUT = "query_id long, vec_id long, score long"
 
 
 def _answers(qid, score, ids, floor):
-    ok = (ids != np.iinfo(np.int64).max) & (score >= floor[:, None])
+    ok = (score > -np.inf) & (score >= floor[:, None])
     at = np.nonzero(ok)
     return pa.table({"query_id": pa.array(qid[at[0]], pa.int64()), "vec_id": pa.array(ids[at], pa.int64()),
                      "score": pa.array([int(x) for x in score[at]], pa.int64())})
