@@ -182,6 +182,8 @@ def kmeans_edges(df: DataFrame, fold_col: str, column: str, k: int, n_bins: int
     for g in range(k):
         tr = base.where(F.col("_f") != g)
         mm = tr.agg(F.min("x"), F.max("x")).first()
+        if mm[0] is None:              # nothing to fit on outside this fold
+            continue
         vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(tr)
         model = KMeans(k=n_bins, seed=seed, initMode="k-means||").fit(vec)
         centres = sorted(float(c[0]) for c in model.clusterCenters())
@@ -224,17 +226,28 @@ def training_categories(df: DataFrame, fold_col: str, columns: Sequence[str], k:
     return out
 
 
+def indicator_names(pairs: Sequence[tuple[str, str]], taken: Sequence[str]) -> dict[tuple[str, str], str]:
+    """A clean name for each (column, category), numbered where cleaning makes names meet each other or ``taken``."""
+    used, out = set(taken), {}
+    for c, v in pairs:
+        base = name = safe_col(f"{c}_{v}")
+        i = 2
+        while name in used:
+            name, i = f"{base}_{i}", i + 1
+        used.add(name)
+        out[(c, v)] = name
+    return out
+
+
 def one_hot(df: DataFrame, fold_col: str, columns: Sequence[str], categories: dict[int, dict[str, list[str]]],
             drop_original: bool = True) -> DataFrame:
     """FEA-08: one indicator per training category (all kept); unseen values → all zeros."""
-    out = df
-    for c in columns:
-        allv = sorted({v for f in categories.values() for v in f.get(c, [])})
-        for v in allv:
-            known = [f for f, cols in categories.items() if v in cols.get(c, [])]
-            ok = F.col(fold_col).isin(known)
-            out = out.withColumn(safe_col(f"{c}_{v}"),
-                                 F.when(ok & (F.col(c).cast("string") == v), 1.0).otherwise(0.0))
+    pairs = [(c, v) for c in columns for v in sorted({v for f in categories.values() for v in f.get(c, [])})]
+    added = {}
+    for (c, v), name in indicator_names(pairs, df.columns).items():
+        known = [f for f, cols in categories.items() if v in cols.get(c, [])]
+        added[name] = F.when(F.col(fold_col).isin(known) & (F.col(c).cast("string") == v), 1.0).otherwise(0.0)
+    out = df.withColumns(added) if added else df
     return out.drop(*columns) if drop_original else out
 
 

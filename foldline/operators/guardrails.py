@@ -36,23 +36,22 @@ FALLBACK_TARGET_MAX_DISTINCT = 50
 
 _ATOMIC = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
+# issue id -> (what was found, what to do about it)
 DESCRIPTIONS = {
-    "duplicate_rows": ("Found {n} duplicated records. Duplicates across folds can leak validation data.",
-                       "Deduplicate before splitting or ensure GroupKFold/GroupShuffleSplit."),
-    "deterministic_proxy": ("Column '{column}' deterministically maps to target '{target}'.",
-                            "Drop the proxy feature or treat it as leakage."),
-    "high_cardinality_proxy": ("Column '{column}' almost uniquely identifies rows, risking leakage if fold "
-                               "splits are random.", "Use GroupKFold on that column or remove it."),
-    "path_token_leakage": ("File-path like columns include target tokens; image/audio pipelines should "
-                           "sanitize paths before splitting.",
-                           "Strip target strings from paths or hash filenames pre-split."),
-    "temporal_split_warning": ("Timestamp columns are not strictly sorted; ensure TimeSeriesSplit or blocking "
-                               "is used to avoid look-ahead leakage.",
-                               "Generate chronological folds via TimeSeriesSplit before training."),
-    "missing_target": ("No obvious target column found; skipping leakage-specific checks.",
-                       "Specify the target explicitly when running experiments."),
-    "cross_fold_duplicates": ("Identical rows were assigned to different folds.",
-                              "Split by a group key (GroupKFold) or deduplicate before splitting."),
+    "duplicate_rows": ("{n} rows repeat another row; a copy on the other side of a split is seen in training.",
+                       "Remove the copies, or keep equal rows together by splitting on a group key."),
+    "deterministic_proxy": ("Every value of '{column}' occurs with a single value of '{target}'.",
+                            "Leave the column out unless it is known before the outcome."),
+    "high_cardinality_proxy": ("'{column}' is close to a row identifier, and a model can memorise it.",
+                               "Leave it out, or split by it so that no value is on both sides."),
+    "path_token_leakage": ("Values of the target are spelled out in path-like columns.",
+                           "Replace paths by opaque names before they reach a feature."),
+    "temporal_split_warning": ("Rows don't follow the order of their time column, so a random split mixes past and future.",
+                               "Order by time and train on the earlier part only."),
+    "missing_target": ("No column could be taken for the target, so checks against it were left out.",
+                       "Name the target column."),
+    "cross_fold_duplicates": ("Equal rows lie in different folds.",
+                              "Assign folds by a key that equal rows share."),
 }
 
 FINDING_SCHEMA = T.StructType([

@@ -16,6 +16,7 @@ from foldline.functions.ordered import (lag_within, null_safe_join, rank_within,
                                        string_order_value)
 
 PARETO_TOLERANCE = 1e-10
+RANK_DIGITS = 9          # scores are ranked at this precision, so that summation order can't decide a tie
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
@@ -27,15 +28,16 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
 
 def top_k(board: DataFrame, k: int = 5, by: str = "accuracy", tiebreak: Sequence[str] = ("framework",)) -> DataFrame:
     """WIN-01: top-k rows by ``by`` desc (nulls dropped) with a 1-based ``rank``."""
-    t = board.where(F.col(by).isNotNull()).orderBy(F.col(by).desc(), *tiebreak).limit(k)
-    w = Window.orderBy(F.col(by).desc(), *tiebreak)  # k rows only
+    best = F.round(F.col(by), RANK_DIGITS).desc()
+    t = board.where(F.col(by).isNotNull()).orderBy(best, *tiebreak).limit(k)
+    w = Window.orderBy(best, *tiebreak)  # k rows only
     return t.withColumn("rank", F.row_number().over(w))
 
 
 def winners(board: DataFrame, group: str = "dataset", by: str = "accuracy",
             tiebreak: Sequence[str] = ("framework",)) -> DataFrame:
     """WIN-02: best row per group (nulls last, ties by framework)."""
-    w = Window.partitionBy(group).orderBy(F.col(by).desc_nulls_last(), *tiebreak)
+    w = Window.partitionBy(group).orderBy(F.round(F.col(by), RANK_DIGITS).desc_nulls_last(), *tiebreak)
     return board.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

@@ -88,8 +88,9 @@ def labelled_text(df: DataFrame, label_col: str = "label", text_col: str = "text
     return d.withColumn(label_col, lab.cast("int"))
 
 
-def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int]:
-    """Sparse ``features`` vectors per doc from TF-IDF rows (term index = rank in the vocabulary)."""
+def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Sparse ``features`` vectors per doc from TF-IDF rows (term index = rank in the vocabulary). Every row of
+    ``docs (doc)`` gets a vector; without a term of the vocabulary it is zero."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql import Window
     # the vocabulary has at most max_features rows, so one ordered window over it is bounded
@@ -98,8 +99,12 @@ def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame,
     j = weights.join(F.broadcast(voc), "term")
     grouped = j.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
 
+    if docs is not None:
+        grouped = docs.select("doc").join(grouped, "doc", "left")
+
     @F.udf(VectorUDT())
     def to_vec(entries):
+        entries = entries or []
         return SparseVector(size, [e["idx"] for e in entries], [e["weight"] for e in entries])
 
     return grouped.select("doc", to_vec("_e").alias("features")), size
@@ -138,8 +143,8 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
         tf_te = tf_all.join(te_docs, "doc", "left_semi")
         n_train = sum(n for f, n in sizes.items() if f != g)
         voc = fit_vocabulary(n_train, tf_tr, max_features).cache()
-        x_tr, _ = tfidf_vectors(weights_from_counts(tf_tr, voc), voc)
-        x_te, _ = tfidf_vectors(weights_from_counts(tf_te, voc), voc)
+        x_tr, _ = tfidf_vectors(weights_from_counts(tf_tr, voc), voc, tr_docs)
+        x_te, _ = tfidf_vectors(weights_from_counts(tf_te, voc), voc, te_docs)
         train_set = x_tr.join(lab, "doc").cache()
         # L2 strength of C = 1 in the (sum-of-losses) primal form: regParam = 1 / (C · n_train)
         rp = reg if reg is not None else 1.0 / max(n_train, 1)

@@ -322,15 +322,15 @@ def stx_wilcoxon_lineitem(spark, sf_dir):
 # Reports (WIN/JOI/SET)
 # ======================================================================================
 
-@query("win_top5_orders", f"""SELECT dataset, framework, round(accuracy, 6) AS accuracy, CAST(row_number() OVER (ORDER BY accuracy DESC, framework, dataset) AS INTEGER) AS rank
-FROM (SELECT * FROM {D.LEADERBOARD_SQL} lb WHERE accuracy IS NOT NULL ORDER BY accuracy DESC, framework, dataset LIMIT 5) t""")
+@query("win_top5_orders", f"""SELECT dataset, framework, round(accuracy, 6) AS accuracy, CAST(row_number() OVER (ORDER BY round(accuracy, 9) DESC, framework, dataset) AS INTEGER) AS rank
+FROM (SELECT * FROM {D.LEADERBOARD_SQL} lb WHERE accuracy IS NOT NULL ORDER BY round(accuracy, 9) DESC, framework, dataset LIMIT 5) t""")
 def win_top5_orders(spark, sf_dir):
     """WIN-01: top-5 (dataset, framework) rows by accuracy with 1-based rank."""
     return R.top_k(D.leaderboard_df(spark, sf_dir), 5, "accuracy", tiebreak=["framework", "dataset"])
 
 
 @query("win_winners_orders", f"""SELECT dataset, framework, round(accuracy, 6) AS accuracy FROM (
-  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC NULLS LAST, framework) AS rn FROM {D.LEADERBOARD_SQL} lb) x WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(accuracy, 9) DESC NULLS LAST, framework) AS rn FROM {D.LEADERBOARD_SQL} lb) x WHERE rn = 1""")
 def win_winners_orders(spark, sf_dir):
     """WIN-02: winning framework per dataset (nulls last, ties by name)."""
     return R.winners(D.leaderboard_df(spark, sf_dir))

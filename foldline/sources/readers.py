@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from foldline.functions.names import sanitize_columns
 from foldline.operators.profile import legacy_target_rename, nan_to_null
 
-# Fixed alias table of metric and framework column names (reference naming).
-COLUMN_ALIASES = {"model": "framework", "roc_auc": "roc_auc_ovr", "average_precision": "avg_precision_ovr",
-                  "avg_precision": "avg_precision_ovr", "f1": "f1_macro", "acc": "accuracy",
-                  "fit_time": "fit_time_sec", "predict_time": "predict_time_sec"}
+# Metric column aliases and the framework name of tables that carry none.
+COLUMN_ALIASES = {"f1_score": "f1", "f1score": "f1", "accuracy_score": "accuracy", "roc_auc": "roc_auc_ovr",
+                  "avg_prec": "avg_precision_ovr", "average_precision": "avg_precision_ovr"}
+DEFAULT_FRAMEWORK = "UNKNOWN"
 
 
 def read_table(spark: SparkSession, path: str, schema=None, sanitize: bool = True,
@@ -82,26 +82,30 @@ def discover_datasets(spark: SparkSession, root: str, max_datasets: int | None =
 
 
 def standardize_metrics(df: DataFrame, default_framework: str | None = None) -> DataFrame:
-    """PRJ-03: alias columns (coalescing when both spellings exist) and inject ``framework``."""
+    """PRJ-03: ``framework`` (from ``model``, else the default), aliased metric columns (coalesced when both
+    spellings exist), and no repeated rows."""
     out = df
+    if "framework" not in out.columns and "model" in out.columns:
+        out = out.withColumnRenamed("model", "framework")
     for old, new in COLUMN_ALIASES.items():
         if old in out.columns:
             if new in out.columns:
                 out = out.withColumn(new, F.coalesce(F.col(new), F.col(old))).drop(old)
             else:
                 out = out.withColumnRenamed(old, new)
-    if "framework" not in out.columns and default_framework is not None:
-        out = out.withColumn("framework", F.lit(default_framework))
-    return out
+    if "framework" not in out.columns:
+        out = out.withColumn("framework", F.lit(default_framework or DEFAULT_FRAMEWORK))
+    return out.distinct()
 
 
 def read_fold_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     """SRC-04: all ``*_folds.csv`` in one scan; framework = the file's single framework value, else its stem."""
     raw = spark.read.option("header", True).option("inferSchema", True).csv(pattern).withColumn(
         "_file", F.col("_metadata.file_path"))
+    named = "framework" in raw.columns or "model" in raw.columns
     raw = standardize_metrics(raw)
     stem = F.regexp_replace(F.regexp_extract("_file", r"([^/]+)\.csv$", 1), "_folds$", "")
-    if "framework" in raw.columns:
+    if named:
         per = raw.groupBy("_file").agg(F.countDistinct("framework").alias("_k"), F.first("framework", True).alias("_f"))
         raw = raw.join(F.broadcast(per), "_file")  # one row per file
         raw = raw.withColumn("framework", F.when(F.col("_k") == 1, F.col("_f")).otherwise(stem)).drop("_k", "_f")

@@ -190,7 +190,7 @@ def test_sources_and_sinks(spark, sf_dir):
     assert sel.count() >= 1 and skipped.count() == 0
     # fold-metric files: one with a framework column, one without (stem used)
     os.makedirs(f"{base}/m")
-    pd.DataFrame({"fold": [1, 2], "framework": ["X", "X"], "acc": [0.9, 0.8]}).to_csv(f"{base}/m/X_folds.csv", index=False)
+    pd.DataFrame({"fold": [1, 2], "framework": ["X", "X"], "accuracy_score": [0.9, 0.8]}).to_csv(f"{base}/m/X_folds.csv", index=False)
     pd.DataFrame({"fold": [1, 2], "accuracy": [0.7, 0.6]}).to_csv(f"{base}/m/Y_folds.csv", index=False)
     fm = RD.read_fold_metrics(spark, f"{base}/m/*_folds.csv")
     assert sorted({r["framework"] for r in fm.collect()}) == ["X", "Y"] and "accuracy" in fm.columns
@@ -243,3 +243,62 @@ def test_names_traps():
     assert [n for _, n in sanitized_names(["a b", "a_b", "a__b", "Unnamed: 0", "***"])] == ["a_b", "a_b_1", "a_b_2", "col"]
     assert [n for _, n in sanitized_names(["a", "a", "a_1"])] == ["a", "a_2", "a_1"]
     assert safe_col("__x--y__") == "x_y"
+
+
+def test_wav_channels_and_sample_widths():
+    from foldline.operators.media import pcm_to_mono
+
+    x = np.array([0.0, 0.5, -0.5, 0.25])
+    for width in (1, 2, 3, 4):
+        full = float(1 << (8 * width - 1))
+        ints = np.round(x * full).astype(np.int64)
+        raw = b"".join(int(v + 128).to_bytes(1, "little") if width == 1 else int(v).to_bytes(width, "little", signed=True)
+                       for v in ints for _ in range(2))
+        assert np.allclose(pcm_to_mono(raw, width, 2), x)
+
+
+def test_metric_aliases_default_framework_and_repeats(spark):
+    from foldline.sources.readers import standardize_metrics
+
+    df = spark.createDataFrame([(0.5, 0.6, 0.7)] * 2, "f1_score double, accuracy_score double, avg_prec double")
+    got = [r.asDict() for r in standardize_metrics(df).collect()]
+    assert got == [{"f1": 0.5, "accuracy": 0.6, "avg_precision_ovr": 0.7, "framework": "UNKNOWN"}]
+
+
+def test_one_hot_keeps_categories_whose_clean_names_meet(spark):
+    from foldline.operators import features as FE
+
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(["a b", "a_b", "a-b", "中", "日"] * 2)], "id int, c string, fold int")
+    cats = FE.training_categories(df, "fold", ["c"], 2)
+    out = FE.one_hot(df, "fold", ["c"], cats, drop_original=False)
+    marks = [x for x in out.columns if x not in ("id", "c", "fold")]
+    assert len(marks) == 5 and all(sum(r[m] for m in marks) == 1.0 for r in out.collect())
+
+
+def test_kmeans_edges_without_training_rows(spark):
+    from foldline.operators import features as FE
+
+    df = spark.createDataFrame([(float(i % 9), 1) for i in range(40)], "x double, fold int")
+    got = {r["fold"]: r["edges"] for r in FE.kmeans_edges(df, "fold", "x", 2, n_bins=3).collect()}
+    assert list(got) == [0] and len(got[0]) == 4
+
+
+def test_importances_of_a_multinomial_model(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from foldline.operators.training import _importances
+
+    df = spark.createDataFrame([(float(i % 3), Vectors.dense([float(i % 3), 1.0])) for i in range(30)], ["label", "features"])
+    got = _importances(LogisticRegression(maxIter=5).fit(df), ["x", "y"])
+    assert [n for n, _ in got] == ["x", "y"] and got[0][1] > 0
+
+
+def test_text_vectors_of_documents_without_known_terms(spark):
+    from foldline.operators import text as TX
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "!!"), (3, "beta")], "doc int, text string")
+    tf = TX.term_counts(docs, "doc", "text")
+    voc = TX.fit_vocabulary(3, tf)
+    vec, size = TX.tfidf_vectors(TX.weights_from_counts(tf, voc), voc, docs)
+    got = {r["doc"]: r["features"].numNonzeros() for r in vec.collect()}
+    assert got == {1: 2, 2: 0, 3: 1} and size == 2
