@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 PASSAGE = 64             # words
 PAIRS = 48               # hashed byte pairs
 HIDDEN, GATE = 24, 12
-TRAIN_DOCS = 4000        # of each class
+TRAIN_DOCS = 3000        # of each class
 TRAIN_CHARS = 60_000
 EPOCHS = 30
 

@@ -39,7 +39,7 @@ from foldline.llm.textops import slices
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 WINDOW = 12              # words
-TRAIN_DOCS = 4000        # of each class
+TRAIN_DOCS = 3000        # of each class
 TRAIN_CHARS = 60_000
 DICT_BYTES = 8192
 GRAM = 5
