@@ -118,7 +118,9 @@ def fit(sample: list, seed: int = 7) -> dict | None:
     """The network and the scaling of its inputs; None without both classes."""
     if len({y for _, _, y in sample}) < 2:
         return None
-    x, bags = features(pa.array([t for _, t, _ in sample], pa.string()))
+    parts = [features(pa.array([t for _, t, _ in sample[i:i + 64]], pa.string())) for i in range(0, len(sample), 64)]
+    x = np.concatenate([p[0] for p in parts])
+    bags = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     y = np.array([s[2] for s in sample], dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -8, 8)
