@@ -70,32 +70,34 @@ def _tokens(path: str, blank: bool, end_id: int):
         enc = encoder(path, blank)
         for b in slices(batches, "text"):
             flat, off = enc.encode(b.column("text").to_pylist())
-            ids = [np.append(flat[off[k]:off[k + 1]], np.uint32(end_id)).astype("<u4") for k in range(b.num_rows)]
+            flat = np.insert(flat, off[1:], np.uint32(end_id))
+            off = off + np.arange(len(off))
+            ids = [flat[off[k]:off[k + 1]] for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([svb_pack(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
+                [b.column("doc_id"), pa.array([pack_ids(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
     return run
 
 
-def svb_pack(ids: np.ndarray) -> bytes:
-    """One document's ids as count, control bytes and data bytes."""
-    controls, data = svb_encode(ids)
-    return len(ids).to_bytes(8, "little") + controls + data
+def pack_ids(ids: np.ndarray) -> bytes:
+    """One document's ids in 2 or 4 bytes each, after one byte that tells the width."""
+    wide = len(ids) and int(ids.max()) > 0xFFFF
+    return (b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
-def svb_unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:8], "little")
-    cut = 8 + -(-n // 4)
-    return svb_decode(blob[8:cut], blob[cut:], n)
+def unpack_ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1)
 
 
 def _count(batches):
-    total = np.zeros(0, dtype=np.int64)
+    total, held = np.zeros(0, dtype=np.int64), []
     for b in batches:
         for blob in b.column("ids"):
-            got = np.bincount(svb_unpack(blob.as_py()))
-            if len(got) > len(total):
-                total, got = got.astype(np.int64), total
-            total[:len(got)] += got
+            held.append(unpack_ids(blob.as_py()))
+        flat = np.concatenate(held) if held else np.zeros(0, dtype=np.uint16)
+        got, held = np.bincount(flat), []
+        if len(got) > len(total):
+            total, got = got.astype(np.int64), total
+        total[:len(got)] += got
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -117,7 +119,7 @@ def _blocks(rank_of: np.ndarray, block_ids: int):
         for b in batches:
             for doc_id, blob in zip(b.column("doc_id").to_pylist(), b.column("ids")):
                 doc_ids.append(doc_id)
-                ids.append(svb_unpack(blob.as_py()))
+                ids.append(unpack_ids(blob.as_py()))
                 held += len(ids[-1])
                 if held >= block_ids:
                     yield row()
