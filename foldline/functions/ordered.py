@@ -4,16 +4,19 @@ Ranks, lags, running maxima and cumulative sums "within a key, in an order" are
 building blocks of folds, ROC/PR areas, Pareto fronts, exact quantiles and
 monotonicity checks. A plain ``Window.partitionBy(key).orderBy(x)`` sends every row of
 a key to one task, so one hot key (a class holding a third of all rows) becomes one
-straggler. Here every such window is split by a *range bucket* of the order value:
+straggler. Here every such window is split by a *range bucket* of the whole order
+(order value and tiebreak columns together, whatever their types):
 
-1. approximate quantiles of the order value give ``B - 1`` global bounds (one cheap pass);
-2. the window runs per ``(key, bucket)`` — a hot key is cut into ``B`` tasks;
+1. a small random sample of the order columns gives ``B - 1`` global bounds (at most
+   ``SAMPLE_PER_BUCKET`` rows per bucket reach the driver);
+2. the window runs per ``(key, bucket)`` — a hot key, or one tied order value, is cut into ``B`` tasks;
 3. a per-``(key, bucket)`` summary (one row per non-empty bucket, so tiny) carries the
    prefix (offset, running max, last value) across bucket borders and is joined back.
 
-Results are exact: the bucket is a monotone function of the first order column, so the
-lexicographic order is preserved across buckets. ``n_buckets=1`` degenerates to the
-plain window and is used for tables that are small by construction.
+Results are exact for any bounds: the bucket is a monotone function of the order columns, so the
+order is preserved across buckets. The same path serves every input size; the bucket count follows
+the session's shuffle partitions. ``n_buckets=1`` asks for the plain window, for tables that are
+bounded by construction.
 """
 
 from __future__ import annotations
@@ -26,52 +29,28 @@ from pyspark.sql import functions as F
 _BKT = "_fl_bkt"
 
 
-BYTES_PER_BUCKET = 128 * 1024 * 1024
-ROWS_PER_BUCKET = 2_000_000
-UNKNOWN_SIZE = 1 << 62  # Catalyst's default size (Long.MaxValue) means "no estimate"
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job is run); None if unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return None
+MAX_BUCKETS = 4096        # of one ordered operator (per key, so a task count of keys x buckets)
+SAMPLE_PER_BUCKET = 20    # expected sampled rows per bucket, collected to choose the bounds
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Range buckets so that each holds about ``BYTES_PER_BUCKET`` of the input.
-
-    Small inputs get one bucket (a plain window, no quantile pass); large inputs get up to
-    four buckets per shuffle partition, so a key holding a third of the rows is still cut
-    into many tasks. Without an estimate, one bucket per shuffle partition.
-    """
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover - defensive
-        parts = 8
-    cap = 4 * parts
-    est = estimated_bytes(df)
-    if est is not None and est < UNKNOWN_SIZE:
-        return int(max(1, min(cap, -(-est // BYTES_PER_BUCKET))))
-    # cached / checkpointed / RDD-backed plans report "unknown" (Long.MaxValue): count rows,
-    # stopping as soon as the cap is certain
-    n = df.limit(ROWS_PER_BUCKET * cap + 1).count()
-    return int(max(1, min(cap, -(-n // ROWS_PER_BUCKET))))
+    """Range buckets at every input size: one per shuffle partition, at most ``MAX_BUCKETS``."""
+    return max(2, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster only when it has fewer partitions than the default
-    parallelism (e.g. one small file = one scan task). Heavy per-row work that runs before the
-    first shuffle — unpivots, hashing, regex tokenising, Arrow UDFs — then uses every core.
-    On large inputs (many splits) this is a no-op and adds no shuffle.
+    """Repartition a small ``df`` over the cluster (e.g. one small file = one scan task), so that heavy
+    per-row work before the first shuffle — unpivots, hashing, regex tokenising, Arrow UDFs — uses every
+    core. An input with a quarter of a full scan split per core or more is left as it is. Only the sizes
+    of the plan's leaves are read; no job runs.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - plans without an RDD view
-        return df
-    if n >= target:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    if 4 * size >= target * split:
         return df
     # hash of the row's atomic columns: deterministic on retry without the local sort that a
     # round-robin repartition needs for the same guarantee
@@ -88,39 +67,60 @@ def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def range_bounds(df: DataFrame, value: Column, n_buckets: int, accuracy: int = 10000) -> list[float]:
-    """Approximate, de-duplicated quantile bounds of ``value`` (one aggregate, tiny result)."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(_numeric(df, value), probs, accuracy).alias("q")).first()
-    qs = row["q"] if row is not None and row["q"] is not None else []
-    return sorted({float(q) for q in qs if q is not None})
+def _order_fields(df: DataFrame, order: Sequence[Column]) -> list[tuple[Column, str]]:
+    """The leading order columns whose values can be written as literals, with their types."""
+    from pyspark.sql import types as T
+    fields = []
+    for c, f in zip(order, df.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)]).schema):
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.NullType)):
+            break
+        fields.append((c, f.dataType.simpleString()))
+    return fields
 
 
-def _numeric(df: DataFrame, value: Column) -> Column:
-    """A double that is monotone in ``value`` (timestamps/dates via epoch microseconds/days)."""
-    from pyspark.sql import types as T
-    dt = df.select(value.alias("_v")).schema[0].dataType
-    if isinstance(dt, T.TimestampNTZType):
-        # wall-clock micros since the epoch, independent of the session time zone
-        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), value).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(value).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(value).cast("double")
-    return value.cast("double")
-
-
-def with_bucket(df: DataFrame, value: Column, n_buckets: int) -> tuple[DataFrame, int]:
-    """Add ``_fl_bkt`` = number of bounds <= value (nulls go to bucket 0)."""
-    bounds = range_bounds(df, value, n_buckets)
+def _literal(value, dtype: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {dtype})"
+    return f"CAST(CAST(X'{bytes(value).hex()}' AS STRING) AS {dtype})"
+
+
+def range_bounds(df: DataFrame, order: Sequence[Column], n_buckets: int) -> list[str]:
+    """SQL struct literals of up to ``n_buckets - 1`` different bounds of the order columns, ascending.
+
+    Counting prunes every column, and the order columns are computed for sampled rows only."""
+    fields = _order_fields(df, order)
+    if n_buckets <= 1 or not fields:
+        return []
+    n = df.count()
+    want = SAMPLE_PER_BUCKET * n_buckets
+    rows = df if n <= want else df.sample(fraction=want / n, seed=7)
+    texts = [c.cast("string").cast("binary").alias(f"_t{i}") for i, (c, _) in enumerate(fields)]
+    picked = rows.select(*[c.alias(f"_o{i}") for i, (c, _) in enumerate(fields)], *texts).orderBy(
+        *[f"_o{i}" for i in range(len(fields))]).select(*[f"_t{i}" for i in range(len(fields))]).collect()
+    bounds = [picked[len(picked) * i // n_buckets] for i in range(1, n_buckets)] if picked else []
+    made = ["named_struct(" + ", ".join(f"'o{i}', {_literal(r[i], t)}" for i, (_, t) in enumerate(fields)) + ")"
+            for r in bounds]
+    return list(dict.fromkeys(made))
+
+
+def with_bucket(df: DataFrame, order: Sequence[Column], n_buckets: int) -> tuple[DataFrame, int]:
+    """Add ``_fl_bkt`` = number of bounds <= the row's order columns (nulls come first, as in the window).
+
+    The sorted bounds are searched in two levels, so a row meets about ``2 * sqrt(n_buckets)`` of them."""
+    bounds = range_bounds(df, order, n_buckets)
     if not bounds:
         return df.withColumn(_BKT, F.lit(0)), 1
-    arr = F.array(*[F.lit(b) for b in bounds])
-    v = _numeric(df, value)
-    bkt = F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(arr, lambda b: b <= v)))
-    return df.withColumn(_BKT, bkt), len(bounds) + 1
+    fields = _order_fields(df, order)
+    own = F.struct(*[c.cast(t).alias(f"o{i}") for i, (c, t) in enumerate(fields)])
+    step = max(1, round(len(bounds) ** 0.5))
+    every = F.sort_array(F.expr(f"array({', '.join(bounds)})"))
+    heads = F.array(*[F.element_at(every, i + 1) for i in range(0, len(bounds), step)])
+    groups = F.array(*[F.slice(every, i + 1, step) for i in range(0, len(bounds), step)])
+    b = df.withColumn("_fl_own", own).withColumn(
+        "_fl_head", F.size(F.filter(heads, lambda x: x <= F.col("_fl_own"))))
+    inside = F.size(F.filter(F.element_at(groups, F.col("_fl_head")), lambda x: x <= F.col("_fl_own")))
+    bkt = F.when(F.col("_fl_head") == 0, F.lit(0)).otherwise((F.col("_fl_head") - 1) * step + inside)
+    return b.withColumn(_BKT, bkt).drop("_fl_own", "_fl_head"), len(bounds) + 1
 
 
 def _resolve_buckets(df: DataFrame, n_buckets) -> int:
@@ -147,7 +147,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_value: Column,
     """0-based row number within ``keys`` ordered by (order_value, *tiebreak)."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
-    b, nb = with_bucket(df, order_value, nb)
+    b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak))
     x = b.withColumn("_fl_rin", F.row_number().over(w) - 1)
     if nb == 1:
@@ -164,7 +164,7 @@ def lag_within(df: DataFrame, keys: Sequence[str], order_value: Column, value: C
     """``lag(value, 1)`` within ``keys`` in (order_value, *tiebreak) order."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
-    b, nb = with_bucket(df, order_value, nb)
+    b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     order = [order_value, *_as_cols(tiebreak)]
     w = Window.partitionBy(*keys, _BKT).orderBy(*order)
     x = b.withColumn(out, F.lag(value, 1).over(w))
@@ -186,7 +186,7 @@ def running_max_within(df: DataFrame, keys: Sequence[str], order_value: Column,
     """Max of ``value`` over all earlier rows within ``keys`` (and the row itself if inclusive)."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
-    b, nb = with_bucket(df, order_value, nb)
+    b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak)).rowsBetween(
         Window.unboundedPreceding, end)
@@ -205,7 +205,7 @@ def cumsum_within(df: DataFrame, keys: Sequence[str], order_value: Column, value
     """Inclusive running sums ``{out_name: value}`` within ``keys`` in order."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
-    b, nb = with_bucket(df, order_value, nb)
+    b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     x = b
@@ -224,12 +224,6 @@ def cumsum_within(df: DataFrame, keys: Sequence[str], order_value: Column, value
     return res.drop(_BKT)
 
 
-# Spark's exact ``percentile`` keeps a value → count map per group and sorts it at the end;
-# beyond a few tens of thousands of distinct values per group the bucketed rank is faster.
-MAX_EXACT_DISTINCT = 20_000
-TINY_BYTES = 4 * 1024 * 1024
-
-
 def order_statistics(counts: DataFrame, keys: Sequence[str], value: str, count_cols: dict[str, Column],
                      targets: DataFrame, ranks: dict[str, str], n_buckets=None) -> DataFrame:
     """Order statistics from value counts: for each named rank column r, the smallest value whose
@@ -283,13 +277,3 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         lo, hi, pos = F.col(f"_fl_lo{i}"), F.col(f"_fl_hi{i}"), F.col(f"_fl_pos{i}")
         res.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(f"{out_prefix}_{i}"))
     return out.select(*keys, *res)
-
-
-def string_order_value(c: Column) -> Column:
-    """Numeric key monotone in byte-wise string order: the first 7 UTF-8 bytes, right-padded.
-
-    Lets string-ordered windows be range-bucketed like numeric ones (ties in the prefix
-    stay in one bucket and are ordered there by the full string).
-    """
-    hx = F.rpad(F.substring(F.hex(c.cast("string")), 1, 14), 14, "0")
-    return F.conv(hx, 16, 10).cast("bigint")

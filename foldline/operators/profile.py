@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.functions.names import safe_col
-from foldline.functions.ordered import rank_within, spread, string_order_value
+from foldline.functions.ordered import rank_within, spread
 
 # Fixed values shared with the reference's rules.
 BINARY_TOKENS = ["yes", "no", "true", "false", "0", "1"]
@@ -226,8 +226,7 @@ def label_encode(df: DataFrame, column: str, out: str | None = None, n_buckets=N
     """PRJ-12: codes 0..k-1 by sorted value (nulls stay null); distinct values ranked distributed."""
     out = out or f"{column}_code"
     vals = df.select(F.col(column).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    order = F.col("_v") if _is_numeric(df.schema[column].dataType) else string_order_value(F.col("_v"))
-    codes = rank_within(vals, [], order, tiebreak=["_v"], out=out, n_buckets=n_buckets)
+    codes = rank_within(vals, [], F.col("_v"), out=out, n_buckets=n_buckets)
     return df.join(codes.withColumnRenamed("_v", column), column, "left")
 
 

@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldline.functions.ordered import (lag_within, null_safe_join, rank_within, running_max_within,
-                                       string_order_value)
+from foldline.functions.ordered import lag_within, null_safe_join, rank_within, running_max_within
 
 PARETO_TOLERANCE = 1e-10
 RANK_DIGITS = 9          # scores are ranked at this precision, so that summation order can't decide a tie
@@ -123,4 +122,4 @@ def metric_alignment(long: DataFrame, x_metric: str, y_metric: str, key: str = "
 def label_rank(df: DataFrame, column: str, out: str = "code", n_buckets=None) -> DataFrame:
     """Distinct values with 0-based codes in sorted order (shared by PRJ-12 / SRC-07)."""
     vals = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
-    return rank_within(vals, [], string_order_value(F.col(column)), tiebreak=[column], out=out, n_buckets=n_buckets)
+    return rank_within(vals, [], F.col(column), out=out, n_buckets=n_buckets)

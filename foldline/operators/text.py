@@ -166,7 +166,7 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
-    m = evaluate(allp, ["fold"], "classification", score="score", n_buckets=1)
+    m = evaluate(allp, ["fold"], "classification", score="score")
     ft = df.sparkSession.createDataFrame(fit_times, "fold int, fit_time_sec double")
     res = m.join(ft, "fold")
     # k summary rows: materialise them, then release the per-fold caches held by this session

@@ -51,10 +51,39 @@ def test_exact_percentiles_match_numpy(li, method):
         assert np.allclose(got, expect, rtol=0, atol=1e-9)
 
 
-def test_string_order_value_is_monotone(spark):
-    words = ["", "a", "ab", "abc", "b", "ba", "é", "zz", "Z", "a b"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    rows = df.select("w", O.string_order_value(F.col("w")).alias("k")).collect()
-    srt = sorted(rows, key=lambda r: r["w"].encode())
-    keys = [r["k"] for r in srt]
-    assert keys == sorted(keys)
+def test_string_orders_with_a_long_common_prefix_fill_the_buckets(spark):
+    df = spark.range(1000).select(F.format_string("user_%06d", F.col("id")).alias("w"), "id").repartition(5)
+    b, nb = O.with_bucket(df, [F.col("w")], 8)
+    sizes = [r["count"] for r in b.groupBy("_fl_bkt").count().collect()]
+    assert nb == 8 and len(sizes) == 8 and max(sizes) < 300
+    assert O.rank_within(df, [], F.col("w"), out="r", n_buckets=8).where("r <> id").count() == 0
+
+
+def test_tied_order_values_are_split_by_the_tiebreak(spark):
+    df = spark.range(4000).select(F.lit(1).alias("size"), F.xxhash64("id").alias("h"), "id").repartition(3)
+    b, _ = O.with_bucket(df, [F.col("size"), F.col("h")], 16)
+    sizes = [r["count"] for r in b.groupBy("_fl_bkt").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1000
+
+
+@pytest.mark.parametrize("dtype", ["string", "double", "decimal(12,3)", "timestamp", "timestamp_ntz", "date", "boolean",
+                                   "binary", "long"])
+def test_typed_order_keys_with_nulls(spark, dtype):
+    make = {"string": "concat('it\\'s \"', id % 37)", "double": "if(id % 11 = 0, double('NaN'), id / 7.0)",
+            "decimal(12,3)": "id / 7.0", "timestamp": "timestamp_seconds(id * 86399)",
+            "timestamp_ntz": "to_timestamp_ntz('2024-01-01') + make_interval(0, 0, 0, id)",
+            "date": "date_add(date'1969-06-01', cast(id as int))", "boolean": "id % 2 = 0",
+            "binary": "unhex(hex(id))", "long": "id - 250"}[dtype]
+    df = spark.range(500).selectExpr("id", f"if(id % 13 = 0, null, cast({make} as {dtype})) AS v").repartition(4)
+    a = O.rank_within(df, [], F.col("v"), tiebreak=["id"], n_buckets=6).select("id", "rank")
+    b = O.rank_within(df, [], F.col("v"), tiebreak=["id"], n_buckets=1).select("id", "rank")
+    assert a.exceptAll(b).count() == 0 and a.count() == 500
+
+
+def test_default_is_bucketed_at_every_size_and_empty_input_works(spark):
+    from foldline.operators.splits import group_kfold
+    small = spark.range(40).selectExpr("id", "id % 3 AS g")
+    assert O.default_buckets(small) > 1
+    assert O.rank_within(small.where("id < 0"), ["g"], F.col("id")).count() == 0
+    groups = spark.range(3000).selectExpr("id div 3 AS g")
+    assert group_kfold(groups, "g", 5).groupBy("fold").count().count() == 5
