@@ -84,7 +84,7 @@ SELECT (SELECT count(*) FROM p) AS n,
        round((SELECT avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END) FROM lab), 6) AS f1_macro,
        round((SELECT avg(auc) FROM per), 6) AS roc_auc_ovr, round((SELECT avg(ap) FROM per), 6) AS avg_precision_ovr""")
 def met_multiclass_embeddings(spark, sf_dir):
-    """MET-01/03/10 + one-vs-rest ROC-AUC/AP: label vs argmax of the first 10 embedding values."""
+    """MET-01/03/10 + one-vs-rest ROC-AUC/AP: label vs argmax of ten class scores over the whole vector."""
     p = D.emb_preds_df(spark, sf_dir).withColumn("grp", F.lit(1))
     c = M.classification_metrics(p, ["grp"], "y_true", "y_pred").select("grp", "n", "accuracy", "f1_macro")
     r = M.ovr_ranking_metrics(p, ["grp"], "y_true", "scores")

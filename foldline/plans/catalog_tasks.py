@@ -13,20 +13,20 @@ from foldline.plans.catalog import _t, query
 from foldline.functions.hashing import sql_h15
 from foldline.streaming import counters as SC
 
-DIMS = [f"e{i}" for i in range(10)]
+DIMS = [f"e{i}" for i in range(64)]
 
 
 def _emb_cols(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("label").cast("double").alias("y"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(10)])
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 _EMB_COLS_SQL = "(SELECT vec_id, CAST(label AS DOUBLE) AS y, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(10)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM embeddings)"
 _ATTR_SQL = f"""WITH e AS {_EMB_COLS_SQL},
-c AS (SELECT {", ".join(f"covar_pop(e{i}, y) / var_pop(e{i}) AS s{i}, avg(e{i}) AS m{i}" for i in range(10))} FROM e),
-a AS ({" UNION ALL ".join(f"SELECT vec_id, 'e{i}' AS feature, coalesce(s{i}, 0.0) * (e{i} - m{i}) AS value FROM e, c" for i in range(10))})"""
+c AS (SELECT {", ".join(f"covar_pop(e{i}, y) / var_pop(e{i}) AS s{i}, avg(e{i}) AS m{i}" for i in range(64))} FROM e),
+a AS ({" UNION ALL ".join(f"SELECT vec_id, 'e{i}' AS feature, coalesce(s{i}, 0.0) * (e{i} - m{i}) AS value FROM e, c" for i in range(64))})"""
 
 
 @query("exp_additive_attributions_embeddings", _ATTR_SQL + """

@@ -8,6 +8,9 @@ sample or a made-up input.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +45,24 @@ DOC_PREDS_SQL = """(SELECT d.doc_id, d.lang, d.source, l.quality AS y_true,
 
 # --- multiclass prediction table: embeddings -------------------------------------------
 
+# The score of class c is the sum of components c, c + 10, c + 20, ... of the whole vector.
+
+EMB_DIMS, EMB_CLASSES = 64, 10
+
+
 def emb_preds_df(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    s = F.slice("embedding", 1, 10)
-    return e.select("vec_id", F.col("label").alias("y_true"), s.alias("scores"), argmax(s).alias("y_pred"))
+    v = [F.col("embedding")[i].cast("double") for i in range(EMB_DIMS)]
+    s = F.array(*[reduce(operator.add, v[c::EMB_CLASSES]) for c in range(EMB_CLASSES)])
+    e = e.select("vec_id", F.col("label").alias("y_true"), s.alias("scores"))
+    return e.withColumn("y_pred", argmax(F.col("scores")))
 
 
-EMB_PREDS_SQL = """(SELECT vec_id, label AS y_true, list_slice(embedding, 1, 10) AS scores,
-       CAST(list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS INTEGER) AS y_pred
-  FROM embeddings)"""
+_EMB_SCORES = "list_value(" + ", ".join(
+    " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(c, EMB_DIMS, EMB_CLASSES))
+    for c in range(EMB_CLASSES)) + ")"
+EMB_PREDS_SQL = f"""(SELECT vec_id, y_true, scores, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS y_pred
+  FROM (SELECT vec_id, label AS y_true, {_EMB_SCORES} AS scores FROM embeddings) s)"""
 
 
 # --- regression prediction table: part --------------------------------------------------
