@@ -235,7 +235,7 @@ def test_ingest_sources_and_spread(spark):
     one = spark.range(1000).coalesce(1)
     s = spread(one, 4)
     assert s.rdd.getNumPartitions() == 4 and s.count() == 1000
-    assert default_buckets(one) == 1
+    assert default_buckets(one) > 1  # small inputs take the bucketed path too
 
 
 def test_names_traps():
