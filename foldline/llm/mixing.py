@@ -9,13 +9,13 @@ Entropy balancing looks for token rates r close to 1 (relative entropy weighted
 ``lam += target / (size * exp(lam)) - 1``, run side by side over the distributed table of sources.
 
 Rounding: every document gets ``floor(r)`` copies. The words still missing are taken as one more copy
-of documents in the order of a hash of their id, as long as they fit (a running sum, split over hash
-ranges so that a hot source is no single task); then the gap, smaller than one document, is closed greedily by
-a few further documents of each size class, from the largest class down. Rounding depends on ids and sizes
-only, so reruns agree.
+of documents in the order of a hash of their id. Documents larger than what is missing are set aside, the others
+are taken as long as they fit (a running sum, split over hash ranges so that a hot source is no single task), and
+the draw is repeated over the documents not yet taken that fit the rest, until none does: what stays missing is less than
+the smallest document without an additional copy. Rounding depends on ids and sizes only, so reruns agree.
 
-Edge cases: null text has size 0; documents of size 0 are taken 0 words but keep ``floor(r)`` copies; a null
-source is a source of its own, the last; null doc_ids take part; repeated rows count one by one; an
+Edge cases: null text has size 0; documents of size 0 are taken 0 words and take part in the first draw
+only, where words are missing or the source has none; a null source is a source of its own, the last; null doc_ids take part; repeated rows count one by one; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -31,7 +31,6 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_RATE = 3
 BINS = 256
 NEWTON_STEPS = 80
-SPARES = 8               # documents of a size class that may close the gap
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -83,6 +82,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, text
     return mix_sizes(sizes, weights, max_rate)
 
 
+def _draw(rest: DataFrame, bins: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of ``rest`` that fit their source's gap, and whether they are ``took`` in order up to the first that does
+    not fit beside those before it."""
+    fits = rest.join(bins.join(left, "key"), ["key", "bin"]).where("size >= least and size <= gap")
+    within = Window.partitionBy("key", "bin").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    fits = fits.withColumn("run", F.sum("size").over(within))
+    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = fits.groupBy("key", "bin").agg(F.max("run").alias("n"))
+    before = before.select("key", "bin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return fits.join(before, ["key", "bin"]).withColumn("took", F.col("before") + F.col("run") <= F.col("gap"))
+
+
 def mix_sizes(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """The mix over a stored table ``doc_id, source, size``."""
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -98,38 +109,29 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
 
     d = sizes.withColumn("key", name).withColumn("draw", F.xxhash64(F.lit("mix"), F.coalesce("doc_id", F.lit(-1))))
     d = d.withColumn("bin", F.pmod("draw", F.lit(BINS)).cast("int"))
-    within = Window.partitionBy("key", "bin").orderBy("draw", "doc_id", "size")
-    d = d.withColumn("run", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("place", F.row_number().over(within))
-    bins = sizes.withColumn("key", name).withColumn(
-        "bin", F.pmod(F.xxhash64(F.lit("mix"), F.coalesce("doc_id", F.lit(-1))), F.lit(BINS)).cast("int"))
-    bins = bins.groupBy("key", "bin").agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    bins = stored(bins.join(src.drop("source"), "key"), "bins")           # BINS rows per source
-    d = d.join(bins, ["key", "bin"]).withColumn("extra", F.col("before") + F.col("run") <= F.col("missing"))
-    d = stored(d, "drawn")
-
-    left = d.groupBy("key").agg(F.max("missing").alias("missing"),
-                                F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got"))
-    left = left.select("key", (F.col("missing") - F.col("got")).alias("gap"))
-    row = F.struct("draw", "doc_id", "size", "bin", "place")
-    spare = (d.where(~F.col("extra") & (F.col("size") > 0)).withColumn("band", F.floor(F.log2("size")).cast("int"))
-             .groupBy("key", "band", F.pmod("bin", F.lit(SPARES)).alias("n")).agg(F.min(row).alias("row")))
-    picks = spare.join(left, "key").groupBy("key").agg(
-        F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("band", "row")), asc=False).alias("rows"))
-    empty = F.expr("struct(cast(0.0 as double) as used, cast(array() as array<struct<bin:int,place:int>>) as took)")
-
-    def take(a, x):
-        fits = a["used"] + x["row"]["size"] <= F.col("gap")
-        one = F.array(F.struct(x["row"]["bin"].alias("bin"), x["row"]["place"].alias("place")))
-        return F.struct(F.when(fits, a["used"] + x["row"]["size"]).otherwise(a["used"]).alias("used"),
-                        F.when(fits, F.concat(a["took"], one)).otherwise(a["took"]).alias("took"))
-
-    picks = picks.select("key", F.explode(F.aggregate("rows", empty, take, lambda a: a["took"])).alias("t"))
-    picks = picks.select("key", F.col("t.bin").alias("bin"), F.col("t.place").alias("place"), F.lit(1).alias("picked"))
-    d = d.join(picks, ["key", "bin", "place"], "left")
-    copies = F.col("whole") + F.col("extra").cast("long") + F.coalesce("picked", F.lit(0))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("key", "bin").orderBy("draw", "doc_id", "size")))
+    d = stored(d.drop("draw"), "placed")
+    bins = stored(d.select("key", "bin").distinct(), "bins")              # BINS rows per source
+
+    zero = (F.col("missing") > 0) | (F.col("whole") == 0)
+    left = src.select("key", F.col("missing").alias("gap"), F.when(zero, 0).otherwise(1).alias("least"))
+    rest, extra = d.select("key", "bin", "place", "size"), None
+    while True:                        # every round takes one more document at least of each source with documents that fit
+        drawn = stored(_draw(rest, bins, left), "drawn")
+        took = drawn.where("took").select("key", "bin", "place", "size")
+        if took.isEmpty():
+            break
+        extra = took if extra is None else extra.unionByName(took)
+        got = F.sum(F.when(F.col("took"), F.col("size")).otherwise(0))
+        left = drawn.groupBy("key").agg((F.max("gap") - got).alias("gap"), F.lit(1).alias("least"))
+        rest = drawn.where("not took").select("key", "bin", "place", "size")
+    facts = bins.join(src.drop("source"), "key")
+    d = d.join(facts, ["key", "bin"])
+    if extra is None:
+        d = d.withColumn("extra", F.lit(0))
+    else:
+        d = d.join(extra.select("key", "bin", "place", F.lit(1).alias("extra")), ["key", "bin", "place"], "left")
+    copies = F.col("whole") + F.coalesce("extra", F.lit(0))
     return d.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"),
                     (copies * F.col("size")).cast("long").alias("taken"))
 

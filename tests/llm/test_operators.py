@@ -122,6 +122,24 @@ def test_mixing_meets_targets(docs, none, spark):
     assert rows(mix_sources(none)) == []
 
 
+def test_mixing_draws_past_documents_that_do_not_fit(spark):
+    from foldline.llm.mixing import mix_sizes
+
+    data = [(i, "long", 350 + i * 37 % 101) for i in range(1500)] + [(10_000 + i, "long", 300_000) for i in range(2)]
+    data += [(20_000 + i, "other", 400) for i in range(3000)] + [(30_000, "empty", 0)]
+    sizes = spark.createDataFrame(data, "doc_id long, source string, size long")
+    for weights in ((2.0, 1.0, 4.0), (4.0, 3.0, 3.0)):
+        got = rows(mix_sizes(sizes, weights))
+        assert len(got) == len(data) and all(0 <= r["copies"] <= 3 for r in got)
+        for s in ("long", "other"):
+            own = [r for r in got if r["source"] == s]
+            gap = own[0]["target"] - sum(r["taken"] for r in own)
+            fewest = min(r["copies"] for r in own)
+            assert max(r["copies"] for r in own) <= fewest + 1
+            again = [r["size"] for r in own if r["copies"] == fewest < 3]
+            assert -1e-6 <= gap < min(again, default=1)
+
+
 # --- 4 jaccard join ------------------------------------------------------------------------
 
 def shingles(text):
