@@ -1,7 +1,7 @@
 """Training-data pipeline over ``documents``: five stages, each written as Parquet and reread by the next.
 
 1. ``toxicity``: documents that the compression-distance classifier rejects go.
-2. ``near_duplicates``: of every component of the n-gram Jaccard join one document stays, the one whose id
+2. ``near_duplicates``: of every component of the Jaccard join (five-word shingles, similarity 0.8 or more) one document stays, the one whose id
    names it (documents without words are components of their own and stay; of rows that repeat the id of
    a kept document one stays).
 3. ``secrets``: base spans and live candidate spans are cut out of the text and replaced by ``<secret>``; no
@@ -30,6 +30,7 @@ from foldline.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MASK = "<secret>"
+NEAR_K, NEAR_PERCENT = 5, 80       # words of a shingle, least similarity; wider than the defaults of the op4 query
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d = _numbered(docs)
     # rows are compared under their row number, and a component is named by its smallest id, then row
-    comp = jaccard_join(d.select(F.col("row").alias("doc_id"), "text"))
+    comp = jaccard_join(d.select(F.col("row").alias("doc_id"), "text"), k=NEAR_K, percent=NEAR_PERCENT)
     comp = comp.select(F.col("doc_id").alias("row"), "component_id")
     who = stored(d.select("row", "doc_id").join(comp, "row"), "members")
     keep = who.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))

@@ -424,3 +424,19 @@ def test_pipeline_stages(spark, docs, none):
         assert rows(stage(spark, none, sf)) == []
     assert len(rows(P.toxicity(spark, docs, sf))) == n                  # clean documents stay
     assert P.run(spark, sf).count() > 0
+
+
+def test_pipeline_links_near_copies_at_four_fifths(spark):
+    import corpus_pipeline as P
+
+    words = [f"v{i}" for i in range(500)]
+    share = lambda x, y: len(x & y) / len(x | y)
+    grams = lambda w, k: {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
+    data = []
+    for n, edits in enumerate((11, 12)):
+        own = [f"{w}x{n}" for w in words]
+        copy = [f"new{i}" if i % 40 == 20 and i // 40 < edits else w for i, w in enumerate(own)]
+        data += [(10 * n + 1, " ".join(own), "en", "a", 9), (10 * n + 2, " ".join(copy), "en", "a", 9)]
+        assert (0.8 <= share(grams(own, 5), grams(copy, 5)) < 0.816) == (n == 0) and share(grams(own, 4), grams(copy, 4)) < 0.85
+    got = rows(P.near_duplicates(spark, spark.createDataFrame(data, SCHEMA + ", n_chars long"), ""))
+    assert sorted(r["doc_id"] for r in got) == [1, 11, 12]
