@@ -1,15 +1,16 @@
 """Operator 8: toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. The toxic one is the ordinary
-one followed by the strings that mark toxic text; the ordinary one is followed by as many bytes that occur
-in no text, so offsets of their common part agree and the two lengths of a window differ by what the toxic
-strings save. Marking strings are runs of character n-grams whose words occur in many distinct contexts in
+Two zstandard dictionaries are trained on all windows of the training texts: one on ordinary text, one on toxic
+text, the latter followed by the strings that mark toxic text. Separately trained dictionaries also differ
+in what they hold of ordinary prose, so a third one, the ordinary one followed by the marking strings, is compared as well;
+the ordinary one itself is followed by as many bytes that occur in no text, so offsets of their common part agree and
+the two lengths of a window differ by what the marking strings save. Marking strings are runs of character n-grams whose words occur in many distinct contexts in
 toxic text and hardly in ordinary text (log-likelihood ratio and rate ratio); counting distinct contexts
 instead of occurrences discounts copies.
 
-Every window of ``WINDOW`` words of a text is compressed with both; a document's features are
-the largest and mean difference, the root-scaled sum, and shares and counts of windows above some
-differences. A logistic
+Every window of ``WINDOW`` words of a text is compressed with each; a document's features are, for the toxic and
+for the marked dictionary against the ordinary one, the largest and mean difference, the root-scaled sum, and shares
+and counts of windows above some differences. A logistic
 regression on training documents that no dictionary has seen turns them into a calibrated score.
 
 Fitting uses a bounded sample: ``TRAIN_DOCS`` documents per class at most, of ``TRAIN_CHARS`` characters at
@@ -45,7 +46,6 @@ DICT_BYTES = 8192
 GRAM = 5
 MIN_LLR = 20.0
 MIN_RATIO = 20.0
-MARKS = 400              # marking strings kept, the most frequent ones
 _PARAMS = dict(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=16, chain_log=15, hash_log=15, search_log=4)
 
 
@@ -93,40 +93,49 @@ def marking_strings(sample: list) -> list[str]:
             elif run:
                 runs[run] += len(where)
                 run = ""
-    return [r for r, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:MARKS]][::-1]
+    return [r for r, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0]))][::-1]
 
 
-def train_dictionaries(sample: list) -> tuple[bytes, bytes]:
-    """``(ordinary, toxic)`` dictionary contents."""
-    plain = [w for _, text, y in sample if y == 0 for w in _windows(text)]
-    plain = plain[::max(1, len(plain) // 20000)]
+def _trained(windows: list[bytes]) -> bytes:
     try:
-        common = zstandard.train_dictionary(2 * DICT_BYTES, plain, d=8, k=64).as_bytes()[-DICT_BYTES:]
+        return zstandard.train_dictionary(2 * DICT_BYTES, windows, d=8, k=64).as_bytes()[-DICT_BYTES:]
     except zstandard.ZstdError:                   # too little text to train on
-        common = b"".join(plain)[-DICT_BYTES:]
+        return b"".join(windows)[-DICT_BYTES:]
+
+
+def train_dictionaries(sample: list) -> tuple[bytes, bytes, bytes]:
+    """``(ordinary, marked, toxic)`` dictionary contents."""
+    plain, foul = (_trained([w for _, text, y in sample if y == k for w in _windows(text)]) for k in (0, 1))
     tail = "".join(marking_strings(sample)).encode("utf-8", "surrogatepass")
     blank = bytes(1 + (i * i * 7 + i // 3) % 8 for i in range(len(tail)))    # control characters
-    return common + blank, common + tail
+    return plain + blank, plain + tail, foul + tail
+
+
+def _spread(d: np.ndarray, shares: tuple, counts: tuple) -> list[float]:
+    return [d.max(), d.mean(), d.sum() / math.sqrt(len(d)), *[(d >= t).mean() for t in shares],
+            *[math.log1p((d >= t).sum()) for t in counts]]
 
 
 class Distance:
-    """Window features of texts under a pair of dictionaries."""
+    """Window features of texts under the dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, *contents: bytes):
         self.of = []
-        for content in (ordinary, toxic):
+        for content in contents:
             d = zstandard.ZstdCompressionDict(content or b"\1" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            p = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, write_checksum=False, **_PARAMS)
+            log = max(_PARAMS["window_log"], (len(content) + 4096).bit_length())        # all of the content is in reach
+            sizes = dict(window_log=log, chain_log=log - 1, hash_log=log - 1)
+            p = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, write_checksum=False, **_PARAMS | sizes)
             d.precompute_compress(compression_params=p)
             self.of.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
 
     def features(self, text: str | None) -> list[float]:
-        ordinary, toxic = self.of
-        d = np.array([len(ordinary(w)) - len(toxic(w)) for w in _windows(text)], dtype=np.float64)
-        if not len(d):
-            return [0.0] * 12
-        return [d.max(), d.mean(), d.sum() / math.sqrt(len(d)), *[(d >= t).mean() for t in (1, 2, 3, 4)],
-                *[math.log1p((d >= t).sum()) for t in (2, 3, 4, 5)], math.log1p(len(d))]
+        windows = _windows(text)
+        if not windows:
+            return [0.0] * 23
+        ordinary, marked, toxic = (np.array([len(c(w)) for w in windows], dtype=np.float64) for c in self.of)
+        return [*_spread(ordinary - marked, (1, 2, 3, 4), (2, 3, 4, 5)),
+                *_spread(ordinary - toxic, (2, 4, 6, 8), (4, 6, 8, 10)), math.log1p(len(windows))]
 
 
 def fit(sample: list) -> dict | None:
@@ -137,18 +146,18 @@ def fit(sample: list) -> dict | None:
     rest = [s for s in sample if not zlib.crc32(f"part {s[0]}".encode()) % 3]
     if len({y for _, _, y in learn}) < 2 or len({y for _, _, y in rest}) < 2:
         learn = rest = sample
-    ordinary, toxic = train_dictionaries(learn)
-    distance = Distance(ordinary, toxic)
+    contents = train_dictionaries(learn)
+    distance = Distance(*contents)
     x = np.array([distance.features(t) for _, t, _ in rest])
     y = np.array([s[2] for s in rest], dtype=np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return {"ordinary": ordinary, "toxic": toxic, "mean": mean, "scale": scale, "w": fit_logistic((x - mean) / scale, y, l2=2.0)}
+    return {"contents": contents, "mean": mean, "scale": scale, "w": fit_logistic((x - mean) / scale, y, l2=2.0)}
 
 
 def _score(model: dict | None):
     """Adds ``score`` to the rows; ``text`` stays where it was."""
     def run(batches):
-        distance = Distance(model["ordinary"], model["toxic"]) if model else None
+        distance = Distance(*model["contents"]) if model else None
         for b in slices(batches, "text"):
             if model:
                 x = (np.array([distance.features(t) for t in b.column("text").to_pylist()]) - model["mean"]) / model["scale"]

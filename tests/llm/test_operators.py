@@ -405,6 +405,26 @@ def test_classifiers_on_held_out_documents_and_edge_cases(spark, docs, none):
         assert rows(scores(none, None)) == []
 
 
+def test_toxic_dictionary_holds_what_the_marks_miss():
+    from foldline.llm.toxicity import Distance, fit, marking_strings
+
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    plain = [word(6) for _ in range(300)]
+    phrase = " ".join([plain[0], *(word(7) for _ in range(24)), plain[1]])
+    clean = lambda n=60: " ".join(rng.choice(plain, n))
+    sample = [(i, f"{clean()} {phrase} {clean()}" if i % 3 == 0 else clean(146), int(i % 3 == 0)) for i in range(180)]
+    assert marking_strings(sample) == []                                  # always in the same context
+    model = fit(sample)
+    x = [Distance(*(model["contents"] if "contents" in model else (model["ordinary"], model["toxic"]))).features(t)
+         for t in [f"{clean()} {phrase}" for _ in range(20)] + [clean(86) for _ in range(20)]]
+    score = (np.array(x) - model["mean"]) / model["scale"] @ model["w"][:-1]
+    assert score[:20].min() > score[20:].max()
+    foul = [word(8) for _ in range(600)]
+    many = [(i, " ".join(w for f in foul for w in (f, rng.choice(plain))), 1) for i in range(60)] + [(100 + i, " ".join(rng.choice(plain, 1200)), 0) for i in range(60)]
+    assert len(marking_strings(many)) >= 600
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs, none):
