@@ -9,6 +9,7 @@ from foldline.llm.lm import op10_lm_scores
 from foldline.llm.mixing import op3_mix
 from foldline.llm.packing import op2_pack
 from foldline.llm.quality import op5_quality
+from foldline.llm.runs import op12_periodic_runs
 from foldline.llm.secrets import OP6_SQL, op6_secrets
 from foldline.llm.tokenfile import op9_token_file
 from foldline.llm.topk import OP1_SQL, op1_top_k
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_token_file": (op9_token_file, None),
     "op10_lm_scores": (op10_lm_scores, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
