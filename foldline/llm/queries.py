@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foldline.llm.cosine import OP7_SQL, op7_near_duplicates
+from foldline.llm.exactdup import OP11_SQL, op11_exact_duplicates
 from foldline.llm.fim import OP13_SQL, op13_fill_in_middle
 from foldline.llm.jaccard import OP4_SQL, op4_jaccard_join
 from foldline.llm.lm import op10_lm_scores
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_token_file": (op9_token_file, None),
     "op10_lm_scores": (op10_lm_scores, None),
+    "op11_exact_duplicates": (op11_exact_duplicates, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
