@@ -170,26 +170,48 @@ def uniform_edges(df: DataFrame, fold_col: str, column: str, k: int, n_bins: int
     return mm.select(F.col("fold").cast("int").alias("fold"), edges.alias("edges"))
 
 
-def kmeans_edges(df: DataFrame, fold_col: str, column: str, k: int, n_bins: int = 5, seed: int = 42) -> DataFrame:
-    """FEA-06 k-means strategy: 1-D k-means on each fold's training rows (Spark ML), edges at the
-    midpoints of sorted centres plus min and max. Fits one model per fold (k small)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def kmeans_edges_all(df: DataFrame, fold_col: str, columns: Sequence[str], k: int, n_bins: int = 5,
+                     max_iter: int = 300) -> dict[tuple[int, str], list[float]]:
+    """FEA-06 k-means strategy: ``(fold, column) → edges`` of each fold's training rows, all columns and folds together.
+
+    Exact weighted 1-D k-means over value counts: centres start at the middles of uniform bins, and one aggregate
+    over the counts per step moves all of them until none moves (``max_iter`` steps at most). A value in the middle
+    of two centres belongs to the lower one; a centre without values stays. Edges are the training minimum, the
+    middles of neighbouring centres and the training maximum; folds without training values have none.
+    """
+    from foldline.session import checkpoint_dir
     spark = df.sparkSession
-    rows = []
-    base = df.select(F.col(fold_col).alias("_f"), F.col(column).cast("double").alias("x")).where(
-        F.col("x").isNotNull())
-    for g in range(k):
-        tr = base.where(F.col("_f") != g)
-        mm = tr.agg(F.min("x"), F.max("x")).first()
-        if mm[0] is None:              # nothing to fit on outside this fold
-            continue
-        vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(tr)
-        model = KMeans(k=n_bins, seed=seed, initMode="k-means||").fit(vec)
-        centres = sorted(float(c[0]) for c in model.clusterCenters())
-        mids = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:])]
-        rows.append((g, [float(mm[0])] + mids + [float(mm[1])]))
-    return spark.createDataFrame(rows, "fold int, edges array<double>")
+    checkpoint_dir(spark)
+    long = _long(df, fold_col, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    per = [F.count(F.when(F.col("_f") != g, 1)) for g in range(k)]
+    counts = long.groupBy("column_name", "value").agg(F.array(*per).alias("w")).checkpoint()   # read once per step
+    ext = counts.groupBy("column_name").agg(*[f(F.when(F.col("w")[g] > 0, F.col("value"))).alias(f"{n}{g}")
+                                              for g in range(k) for n, f in (("a", F.min), ("b", F.max))]).collect()
+    span = {(g, r["column_name"]): (r[f"a{g}"], r[f"b{g}"]) for r in ext for g in range(k) if r[f"a{g}"] is not None}
+    centres = {x: [lo + (2 * i + 1) * (hi - lo) / (2 * n_bins) for i in range(n_bins)] for x, (lo, hi) in span.items()}
+    middles = lambda c: [(a + b) / 2 for a, b in zip(c[:-1], c[1:])]
+    moving = set(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        now = spark.createDataFrame([(c, g, middles(centres[g, c])) for g, c in sorted(moving)],
+                                    "column_name string, fold int, mids array<double>")
+        j = counts.join(F.broadcast(now), "column_name")              # columns x folds rows
+        w = F.element_at("w", F.col("fold") + 1)
+        at = F.size(F.filter("mids", lambda m: m < F.col("value")))
+        got = j.groupBy("column_name", "fold", at.alias("i")).agg(F.sum(w).alias("n"), F.sum(w * F.col("value")).alias("s"))
+        after = {x: list(centres[x]) for x in moving}
+        for r in got.where("n > 0").collect():
+            after[r["fold"], r["column_name"]][r["i"]] = r["s"] / r["n"]
+        moving = {x for x in moving if after[x] != centres[x]}
+        centres.update(after)
+    return {x: [span[x][0], *middles(sorted(c)), span[x][1]] for x, c in centres.items()}
+
+
+def kmeans_edges(df: DataFrame, fold_col: str, column: str, k: int, n_bins: int = 5) -> DataFrame:
+    """``fold, edges`` of one column (see :func:`kmeans_edges_all`)."""
+    found = kmeans_edges_all(df, fold_col, [column], k, n_bins)
+    return df.sparkSession.createDataFrame([(g, e) for (g, _), e in sorted(found.items())], "fold int, edges array<double>")
 
 
 def apply_bins(df: DataFrame, fold_col: str, column: str, edges: DataFrame, out: str,
