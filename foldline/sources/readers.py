@@ -98,20 +98,76 @@ def standardize_metrics(df: DataFrame, default_framework: str | None = None) ->
     return out.distinct()
 
 
+def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """``file, header`` of all files of a pattern that hold a line: the first line of each file's first split."""
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), "value",
+                                            F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files of a pattern without any byte; Spark's scans leave these out without a word."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [] if f.isFile() and f.getLen() == 0)
+
+
+def _header_group(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """Files of one header, with ``_file`` and ``_bad``: the text of a row that does not fit the header, else null."""
+    paths = list(files)
+    reader = lambda: spark.read.option("header", True).option("enforceSchema", False)
+    schema = reader().option("inferSchema", True).csv(paths).schema
+    # all columns are parsed, so that the number of fields of every row is looked at
+    rows = reader().schema(schema.add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").option(
+        "columnPruning", False).csv(paths)
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
+
+
+def scan_fold_metrics(spark: SparkSession, pattern: str, leaderboard: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-04: ``(metrics, unreadable)`` of all fold-metric files.
+
+    Files are grouped by their header, each group is read under a schema of its own, and the groups are united by name, so
+    reordered and missing columns keep their values. The framework of a file is its single ``framework`` value, else
+    its stem without ``_folds``. ``leaderboard`` names one more file, read as the framework(s) it holds.
+    ``unreadable`` lists ``file, reason, rows``: empty files, and rows that don't fit their header (left out of ``metrics``)."""
+    heads = file_headers(spark, pattern).collect()           # one row per file: the listing that the scan needs anyway
+    groups: dict[str, list[str]] = {}
+    empty = [(f, "empty", 0) for f in empty_files(spark, pattern)]
+    for r in heads:
+        if (r["header"] or "").strip():
+            groups.setdefault(r["header"].strip(), []).append(r["file"])
+        else:
+            empty.append((r["file"], "no header", 0))
+    out, bad = None, spark.createDataFrame(empty, "file string, reason string, rows long")
+    for _, files in sorted(groups.items()):
+        raw = _header_group(spark, files)
+        # grouped by a data column first: Spark refuses to query the corrupt column by itself
+        wrong = raw.where(F.col("_bad").isNotNull()).groupBy(F.col(f"`{raw.columns[0]}`"), "_file").agg(F.count(F.lit(1)).alias("rows"))
+        bad = bad.unionByName(wrong.groupBy(F.col("_file").alias("file")).agg(F.sum("rows").alias("rows")).select(
+            "file", F.lit("rows that don't fit the header").alias("reason"), "rows"))
+        raw = raw.where(F.col("_bad").isNull()).drop("_bad")
+        stem = F.regexp_replace(F.regexp_extract("_file", r"([^/]+)\.csv$", 1), "_folds$", "")
+        if "framework" in raw.columns:
+            per = raw.groupBy(F.col("_file").alias("_pf")).agg(
+                F.min("framework").alias("_lo"), F.max("framework").alias("_hi"))
+            raw = raw.join(per, F.col("_file") == F.col("_pf")).withColumn(
+                "framework", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo").cast("string")).otherwise(stem)).drop("_lo", "_hi", "_pf")
+        else:
+            raw = raw.withColumn("framework", stem)
+        # repeated rows are repeats within a file, as files are read one by one
+        raw = standardize_metrics(raw).drop("_file")
+        out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
+    if leaderboard:
+        board = standardize_metrics(_header_group(spark, [leaderboard]).drop("_bad", "_file"))
+        out = board if out is None else out.unionByName(board, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], "framework string")
+    return nan_to_null(out), bad
+
+
 def read_fold_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """SRC-04: all ``*_folds.csv`` in one scan; framework = the file's single framework value, else its stem."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(pattern).withColumn(
-        "_file", F.col("_metadata.file_path"))
-    named = "framework" in raw.columns or "model" in raw.columns
-    raw = standardize_metrics(raw)
-    stem = F.regexp_replace(F.regexp_extract("_file", r"([^/]+)\.csv$", 1), "_folds$", "")
-    if named:
-        per = raw.groupBy("_file").agg(F.countDistinct("framework").alias("_k"), F.first("framework", True).alias("_f"))
-        raw = raw.join(F.broadcast(per), "_file")  # one row per file
-        raw = raw.withColumn("framework", F.when(F.col("_k") == 1, F.col("_f")).otherwise(stem)).drop("_k", "_f")
-    else:
-        raw = raw.withColumn("framework", stem)
-    return nan_to_null(raw.drop("_file"))
+    """SRC-04: the metrics of :func:`scan_fold_metrics`."""
+    return scan_fold_metrics(spark, pattern)[0]
 
 
 def ingest_sources(frames: Sequence[DataFrame], key: Sequence[str] | None = None,
