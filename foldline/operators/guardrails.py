@@ -5,8 +5,8 @@
 * proxies: the table is unpivoted once to ``(column, value, target)``, de-duplicated
   (partial aggregation again), then reduced per value and per column — never a job per
   column, and never a group held in one task;
-* path tokens: a broadcast nested-loop *semi* join against the distinct target values,
-  taken only when their number is proven small, otherwise an exact substring equi-join;
+* path tokens: a posting join of texts and distinct target values on rare grams, verified
+  (see ``operators.substrings``);
 * temporal order: a bucketed ``lag`` in key order (see ``functions.ordered``).
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.functions.ordered import lag_within, spread
+from foldline.operators.substrings import texts_with_tokens
 
 # Fixed values that must equal the reference's for the same decisions:
 # target-name candidates of the audit, in priority order.
@@ -68,7 +69,6 @@ FINDING_SCHEMA = T.StructType([
 class AuditConfig:
     min_rows_for_duplicates: int = MIN_ROWS_FOR_DUPLICATES
     high_cardinality_threshold: float = HIGH_CARDINALITY_THRESHOLD
-    broadcast_token_limit: int = 10000
     key: tuple[str, ...] = ()          # row-order key for the temporal check
     duplicate_subset: tuple[str, ...] = ()
     word_time_match: bool = False       # True: match time words as whole words only
@@ -220,20 +220,7 @@ def path_token_columns(df: DataFrame, target: str, cfg: AuditConfig = AuditConfi
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in path_cols])
     long = df.select(F.explode(entries).alias("_e")).select("_e.column_name", "_e.value").where(
         F.col("value").isNotNull())
-    n_tok = tokens.limit(cfg.broadcast_token_limit + 1).count()
-    if n_tok == 0:
-        return empty
-    if n_tok <= cfg.broadcast_token_limit:
-        # JOI-07: substring theta-join in semi-join form against the (counted, small) token set
-        hits = long.join(F.broadcast(tokens), F.instr(F.col("value"), F.col("tok")) > 0, "left_semi")
-        return hits.select("column_name").distinct()
-    # many tokens: exact substring equi-join, one candidate substring per (position, token length)
-    lengths = tokens.select(F.length("tok").alias("L")).distinct()
-    cand = long.join(F.broadcast(lengths), F.length("value") >= F.col("L"))  # distinct lengths: <= max token length
-    cand = cand.select("column_name", "value", "L", F.explode(
-        F.sequence(F.lit(1), F.length("value") - F.col("L") + 1)).alias("pos"))
-    cand = cand.select("column_name", F.expr("substring(value, pos, L)").alias("tok"))
-    return cand.join(tokens, "tok", "left_semi").select("column_name").distinct()
+    return texts_with_tokens(long, tokens).select("column_name").distinct()
 
 
 def path_token_findings(df: DataFrame, dataset: str, target: str, cfg: AuditConfig = AuditConfig()) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 
 def all_queries():
     from foldline.plans import catalog
-    for mod in ("catalog_eval", "catalog_features", "catalog_tasks"):
-        try:
-            __import__(f"foldline.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules are added incrementally
-            if mod not in str(e):
-                raise
+    for mod in ("catalog_eval", "catalog_features", "catalog_tasks", "catalog_models"):
+        __import__(f"foldline.plans.{mod}")
     return dict(catalog.QUERIES)

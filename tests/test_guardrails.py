@@ -47,10 +47,26 @@ def test_path_tokens(spark):
 
 def test_path_tokens_many_targets_exact_join(spark):
     df = spark.createDataFrame([(i, f"/x/t{i}/f", f"t{i}") for i in range(50)], "id long, p string, target string")
-    cols = [r[0] for r in G.path_token_columns(df, "target", G.AuditConfig(broadcast_token_limit=5)).collect()]
+    cols = [r[0] for r in G.path_token_columns(df, "target").collect()]
     assert cols == ["p"]
 
 
+def test_texts_with_tokens_against_brute_force(spark):
+    import random
+
+    from foldline.operators.substrings import texts_with_tokens, token_postings
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé😀/") for _ in range(n))
+    tokens = sorted({word(rng.randrange(1, 40)) for _ in range(60)} | {"common-beginning-" + str(i) for i in range(40)})
+    texts = [("c", word(rng.randrange(0, 30))) for _ in range(200)] + [("d", f"/x/common-beginning-{i}") for i in range(30, 60)]
+    texts += [("e", None), ("e", ""), ("e", "common-beginning"), ("d", tokens[-1])]
+    tok = spark.createDataFrame([(t,) for t in tokens] + [(None,), ("",), (tokens[0],)], "tok string")
+    got = {tuple(r) for r in texts_with_tokens(spark.createDataFrame(texts, "column_name string, value string"), tok).collect()}
+    assert got == {(c, v) for c, v in texts if v and any(t in v for t in tokens)}
+    posts = token_postings(tok).collect()
+    assert len(posts) == len(tokens) and all(r["gram"] in r["tok"] and len(r["gram"]) == r["q"] for r in posts)
+
+
 def test_temporal_order(spark):
     base = [(i, f"2024-01-{i + 1:02d}") for i in range(20)]
     swapped = list(base)
