@@ -87,6 +87,43 @@ def trn_suite_part(spark, sf_dir):
     return folds.select("estimator_name", "feature_variant", "seed", "fold", "n", "rmse", "mae", "r2")
 
 
+_RIDGE = (0.0, 0.5, 2.0)
+_SEARCH_SQL = f"""WITH p AS (SELECT p_partkey, p_retailprice / 100.0 AS y, CAST(p_size AS DOUBLE) AS x FROM part),
+f AS (SELECT p.*, (row_number() OVER (ORDER BY {sql_h15('42', 'p_partkey')}, p_partkey) - 1) % 3 AS fold FROM p),
+t AS (SELECT g.g, f.y, f.x FROM f JOIN range(0, 3) g(g) ON f.fold <> g.g),
+c AS (SELECT g, covar_pop(x, y) / var_pop(x) AS b, avg(x) AS mx, avg(y) AS my, stddev_pop(y) AS sy FROM t GROUP BY g),
+e AS (SELECT r.r, f.fold, sqrt(avg(pow(y - (my + b / (1 + r.r / sy) * (x - mx)), 2))) AS rmse FROM f JOIN c ON f.fold = c.g,
+  (SELECT unnest([{', '.join(map(str, _RIDGE))}]) AS r) r GROUP BY r.r, f.fold),
+s AS (SELECT 'regParam=' || CAST(CAST(r AS DOUBLE) AS VARCHAR) AS framework, avg(rmse) AS score FROM e GROUP BY r)
+SELECT CAST(row_number() OVER (ORDER BY score, framework) AS INTEGER) AS rank, framework, 'rmse' AS metric, round(score, 6) AS score FROM s"""
+
+
+@query("trn_search_part", _SEARCH_SQL)
+def trn_search_part(spark, sf_dir):
+    """TRN-04/06: a grid of ridge penalties on keyed folds; a classification score asked of a regression becomes RMSE."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from foldline.operators import search as SE
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 100.0).alias("label"), F.col("p_size").cast("double").alias("x"))
+    xy = VectorAssembler(inputCols=["x"], outputCol="features").transform(p)
+    space = {"regParam": {"type": "categorical", "choices": list(_RIDGE)}}
+    _, board = SE.random_search(xy, LinearRegression(solver="normal"), space, "regression", "p_partkey", n_iter=20, k=3, metric="accuracy")
+    return SE.leaders(board)
+
+
+@query("trn_cv_softmax_orders", None)
+def trn_cv_softmax_orders(spark, sf_dir):
+    """TRN-01 with three classes (order status): softmax boosting, two folds, 10 rounds of depth 4 here (500 of depth 6 by default)."""
+    from foldline.operators import training as TR
+    from foldline.operators.boosting import SoftmaxBoosting
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mo"),
+                                           "o_orderstatus")
+    spec = TR.make_spec(o, ["o_orderkey"], "o_orderstatus", "classification")
+    cfg = TR.ExperimentConfig(name="softmax", seeds=(42,), k=2, parallelism=2)
+    return TR.run_experiment(spec, lambda: SoftmaxBoosting(3, rounds=10, depth=4), cfg).folds
+
+
 # --- one-hot of any width -------------------------------------------------------------------
 
 def _line_fold():

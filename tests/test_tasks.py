@@ -29,30 +29,48 @@ def test_run_experiment_learns_planted_rule(spark, sf_dir):
     assert r.importances.count() > 0
 
 
-def test_random_fourier_features_approximate_rbf_kernel(spark):
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from foldline.operators.training import random_fourier_features
-    pts = [[0.0, 0.0], [0.5, -0.2], [1.0, 1.0]]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "i int, x array<double>").withColumn(
-        "features", array_to_vector("x"))
-    z = random_fourier_features(df, 2, n_features=400, gamma=0.5).select("i", vector_to_array("features").alias("z"))
-    zs = {r["i"]: np.array(r["z"]) for r in z.collect()}
-    for a in range(3):
-        for b in range(3):
-            k = math.exp(-0.5 * np.sum((np.array(pts[a]) - np.array(pts[b])) ** 2))
-            assert abs(zs[a] @ zs[b] - k) < 0.15
-
-
-def test_search_and_scoring_rule(spark):
+def test_search_and_scoring_rule(spark, tmp_path):
+    import time
+
+    import pytest
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
 
-    from foldline.operators import training as TR
-    assert TR.scoring_rule("classification") == ("f1", True)
-    assert TR.scoring_rule("regression", "accuracy") == ("rmse", False)
-    maps = TR.sample_param_maps(LogisticRegression(), {"regParam": {"type": "log", "low": 1e-4, "high": 1.0},
+    from foldline.operators import search as SE
+    assert SE.scoring_rule("classification") == ("f1", True)
+    assert SE.scoring_rule("regression", "accuracy") == ("rmse", False)
+    assert SE.scoring_rule("classification", "roc_auc") == ("roc_auc", True)
+    maps = SE.sample_param_maps(LogisticRegression(), {"regParam": {"type": "float", "low": 1e-4, "high": 1.0, "log": True},
                                                        "maxIter": {"type": "int", "low": 5, "high": 20}}, 4)
-    assert len(maps) == 4 and all(1e-4 <= list(m.values())[0] <= 1.0 for m in maps)
+    assert len({str(m) for m in maps}) == 4 and all(1e-4 <= list(m.values())[0] <= 1.0 for m in maps)
+    assert len(SE.sample_param_maps(LogisticRegression(), {"maxIter": {"type": "int", "low": 5, "high": 6}}, 20)) == 2
+    assert SE.param_grid({"type": "float", "low": 0, "high": 1, "num": 3}) == [0.0, 0.5, 1.0]
+    with pytest.raises(ValueError):
+        SE.param_grid({"type": "other"})
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(140)], "id long, x double, label double")
+    xy = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+
+    class Broken(LogisticRegression):
+        def _fit(self, dataset):
+            raise RuntimeError("no")
+
+    class Slow(LogisticRegression):
+        def _fit(self, dataset):
+            for _ in range(200):
+                dataset.rdd.map(lambda r: time.sleep(0.05)).count()
+            return super()._fit(dataset)
+
+    store = f"{tmp_path}/store"
+    board = {r["framework"]: r for r in SE.budgeted_search(xy, {"good": LogisticRegression(), "broken": Broken()}, "classification", "id",
+                                                           None, metric="accuracy", store=store).collect()}
+    assert board["good"]["rank"] == 1 and board["good"]["score"] > 0.95 and board["broken"]["status"].startswith("error")
+    began = time.time()
+    late = {r["framework"]: r for r in SE.budgeted_search(
+        xy, {"good": LogisticRegression(), "slow": Slow(), "late": Slow()}, "classification", "id", 3.0, metric="accuracy",
+        parallelism=2, store=store).collect()}
+    assert time.time() - began < 60
+    assert late["good"]["score"] == board["good"]["score"] and late["good"]["fit_time_sec"] == board["good"]["fit_time_sec"]   # resumed
+    assert late["slow"]["status"] == "cancelled: budget spent" and "budget spent" in late["late"]["status"] and late["slow"]["score"] is None
 
 
 def test_isolation_forest_ranks_planted_outliers(spark, sf_dir):
