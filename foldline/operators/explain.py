@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from foldline.functions.hashing import h15, uniform
 from foldline.operators.reports import top_contributions
+from foldline.operators.splits import sample_n
 
-MAX_BACKGROUND = 10000
+BACKGROUND = 100          # background rows of a coalition's mean (a sample by hash)
+COALITIONS = 2048         # beyond 2 p, when not all subsets of the features fit
 
 
 def linear_attributions(df: DataFrame, key: Sequence[str], features: Sequence[str],
@@ -39,15 +42,79 @@ def global_importance(attr: DataFrame) -> DataFrame:
     return attr.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs_attribution"))
 
 
-def sample_details(attr: DataFrame, key: str, prediction: DataFrame, k: int = 10) -> DataFrame:
-    """EXP-05 + WIN-05: per explained row its prediction and the top-k contributions by |value|."""
-    per = attr.groupBy(key).agg(F.collect_list("feature").alias("_f"), F.collect_list("value").alias("_v"))
-    per = per.select(key, top_contributions(F.col("_f"), F.col("_v"), k).alias("top_contributions"))
-    return per.join(prediction, key)
+def sample_details(attr: DataFrame, key: str, k: int = 10, keep: Sequence[str] = ("prediction", "expected_value", "predicted_class")) -> DataFrame:
+    """EXP-05 + WIN-05: per explained row what ``attr`` says about it (``keep``) and its top-k contributions by |value|."""
+    keep = [c for c in keep if c in attr.columns]
+    per = attr.groupBy(key).agg(F.collect_list("feature").alias("_f"), F.collect_list("value").alias("_v"), *[F.first(c).alias(c) for c in keep])
+    return per.select(key, *keep, top_contributions(F.col("_f"), F.col("_v"), k).alias("top_contributions"))
+
+
+def coalitions(p: int, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subsets of p features (neither none nor all) as 0/1 rows and their Shapley kernel weights: all of them if they are at
+    most ``limit``, else ``limit / 2`` drawn ones by weight together with their complements, equally weighted."""
+    if p <= 1:
+        return np.ones((0, p)), np.ones(0)
+    if 2 ** p - 2 <= limit:
+        z = ((np.arange(1, 2 ** p - 1)[:, None] >> np.arange(p)) & 1).astype(float)
+        s = z.sum(axis=1).astype(int)
+        return z, np.array([(p - 1) / (math.comb(p, k) * k * (p - k)) for k in s])
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, p)
+    share = 1.0 / (sizes * (p - sizes))
+    z = np.zeros((limit // 2, p))
+    for row, k in zip(z, rng.choice(sizes, len(z), p=share / share.sum())):
+        row[rng.choice(p, k, replace=False)] = 1.0
+    z = np.concatenate([z, 1 - z])
+    return z, np.ones(len(z)) / len(z)
+
+
+def kernel_shapley(model, df: DataFrame, key: str, features: Sequence[str], background: DataFrame, output: str = "probability",
+                   index: int = 1, n_background: int = BACKGROUND, n_coalitions: int | None = None, seed: int = 42) -> DataFrame:
+    """EXP-02/03: ``key, feature, value, prediction, expected_value, predicted_class`` by coalition-weighted least squares.
+
+    A coalition's worth is the model's mean over the background with the coalition's features taken from the row. One
+    ``transform`` scores rows x coalitions x background, and the right-hand side of every row's weighted least squares is a sum,
+    so it is added up in Spark (combined before the shuffle) and solved with the inverse Gram matrix, which all rows share.
+    Values add up to prediction - expected value. They are exact when all subsets are used (up to 11 features), and for
+    additive models always.
+    """
+    feats, spark = list(features), df.sparkSession
+    p = len(feats)
+    z, w = coalitions(p, n_coalitions or 2 * p + COALITIONS, seed)
+    gram = np.linalg.inv((z * w[:, None]).T @ z + 1e-12 * np.eye(p)) if len(z) else np.ones((1, 1))
+    out = vector_to_array(output)[index] if output in ("probability", "rawPrediction") else F.col(output)
+    assemble = lambda cols: VectorAssembler(inputCols=cols, outputCol="features")
+    bg = sample_n(background.select(*feats), feats, n_background, seed).select(*[F.col(f).cast("double").alias(f"_b_{f}") for f in feats])
+    bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(*bg.columns)) - 1).cache()       # n_background rows
+    nb = bg.count()
+    expected = model.transform(assemble([f"_b_{f}" for f in feats]).transform(bg)).agg(F.avg(out.cast("double"))).first()[0]
+    rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in feats])
+    scored = model.transform(assemble(feats).transform(rows))
+    kept = [out.cast("double").alias("prediction")] + ([F.col("prediction").alias("predicted_class")] if output != "prediction" else [])
+    whole = scored.select(key, *kept)
+    table = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(z, w))],
+                                  "_ci int, " + ", ".join(f"_z_{f} double" for f in feats) + ", _w double")
+    pts = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(max(len(z) * nb - 1, 0)))))
+    pts = pts.withColumn("_ci", F.expr(f"int(_at div {nb})")).withColumn("_bi", (F.col("_at") % nb).cast("int"))
+    pts = pts.join(F.broadcast(table), "_ci").join(F.broadcast(bg), "_bi")                # n_coalitions and n_background rows
+    mixed = [F.when(F.col(f"_z_{f}") > 0, F.col(f)).otherwise(F.col(f"_b_{f}")).alias(f"_x_{f}") for f in feats]
+    pts = pts.select(key, "_w", *[f"_z_{f}" for f in feats], *mixed)
+    y = model.transform(assemble([f"_x_{f}" for f in feats]).transform(pts)).withColumn("_y", (out.cast("double") - expected) / nb)
+    sums = y.groupBy(key).agg(*[F.sum(F.col("_w") * F.col(f"_z_{f}") * F.col("_y")).alias(f"_s_{i}") for i, f in enumerate(feats)])
+    j = whole.join(sums, key, "left") if len(z) else whole.withColumn("_s_0", F.lit(0.0))
+    gap = F.col("prediction") - F.lit(expected)
+    free = [sum((F.lit(float(gram[i, k])) * F.coalesce(F.col(f"_s_{k}"), F.lit(0.0)) for k in range(p)), F.lit(0.0)) for i in range(p)]
+    j = j.withColumn("_free", F.array(*free)).withColumn("_gap", gap)
+    miss = (F.aggregate("_free", F.lit(0.0), lambda a, v: a + v) - F.col("_gap")) / F.lit(float(gram.sum()))
+    per = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("_free")[i] - F.lit(float(gram[i].sum())) * F.col("_miss")).alias("value"))
+                    for i, f in enumerate(feats)])
+    j = j.withColumn("_miss", miss).withColumn("expected_value", F.lit(expected)).withColumn("_a", F.explode(per))
+    return j.select(key, "_a.feature", "_a.value", "prediction", "expected_value", *(["predicted_class"] if output != "prediction" else []))
 
 
 def monte_carlo_shapley(model, df: DataFrame, key: str, features: Sequence[str], background: DataFrame,
-                        n_perm: int = 10, seed: int = 42, output: str = "probability", index: int = 1) -> DataFrame:
+                        n_perm: int = 10, seed: int = 42, output: str = "probability", index: int = 1,
+                        n_background: int = 10_000) -> DataFrame:
     """EXP-02 (and EXP-03 for tree models): ``key, feature, shapley`` for any fitted Spark ML model.
 
     UDF-05: the model's ``transform`` plays the reference's ``predict_fn`` on the exploded frame.
@@ -58,10 +125,8 @@ def monte_carlo_shapley(model, df: DataFrame, key: str, features: Sequence[str],
     """
     feats = list(features)
     p = len(feats)
-    if background.limit(MAX_BACKGROUND + 1).count() > MAX_BACKGROUND:
-        raise ValueError(f"background larger than {MAX_BACKGROUND} rows; sample it first (sample_n)")
-    # the background is bounded (checked above), so one ordered window and a broadcast are safe
-    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
+    # at most n_background rows, so one ordered window and a broadcast are safe
+    bg = sample_n(background.select(*feats), feats, n_background, seed).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
     nb = bg.count()
     rows = df.select(key, *feats)
     perm = rows.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
@@ -124,18 +189,6 @@ def lime(model, df: DataFrame, key: str, features: Sequence[str], n_samples: int
     return s.groupBy(key).applyInPandas(solve, f"{key} {kt}, feature string, weight double")
 
 
-def univariate_coefficients(df: DataFrame, features: Sequence[str], target: Column) -> tuple[dict, dict]:
-    """Per-feature least-squares slopes cov(x, y)/var(x) and means (an additive linear model)."""
-    aggs = []
-    for f in features:
-        x = F.col(f).cast("double")
-        aggs += [F.covar_pop(x, target).alias(f"c_{f}"), F.var_pop(x).alias(f"v_{f}"), F.avg(x).alias(f"m_{f}")]
-    r = df.agg(*aggs).first()
-    coefs = {f: (r[f"c_{f}"] / r[f"v_{f}"] if r[f"v_{f}"] else 0.0) for f in features}
-    means = {f: r[f"m_{f}"] for f in features}
-    return coefs, means
-
-
 def additive_model_attributions(df: DataFrame, key: str, features: Sequence[str], target: Column) -> DataFrame:
     """Exact attributions of the additive model y ≈ Σ slope_f (x_f − mean_f), computed as Columns.
 

@@ -65,6 +65,9 @@ def framework_summary(long: DataFrame, keys: Sequence[str] = ("framework", "metr
                     (F.col("mean") - se).alias("se_ci_low"), (F.col("mean") + se).alias("se_ci_high"))
 
 
+BOOT_BLOCKS = 50          # tasks' share of one group's resamples
+
+
 def bootstrap_ci(long: DataFrame, keys: Sequence[str], order: Sequence[str], n_boot: int = N_BOOT,
                  alpha: float = ALPHA, seed: int = BOOT_SEED) -> DataFrame:
     """AGG-06: percentile bootstrap CI of the mean with hashed (engine-independent) resampling.
@@ -72,21 +75,27 @@ def bootstrap_ci(long: DataFrame, keys: Sequence[str], order: Sequence[str], n_b
     Draw j of resample b picks position ``md5(seed|keys|b|j) mod n``; the mean of each
     resample is taken and the linear-interpolated ``alpha/2`` and ``1-alpha/2`` quantiles
     of the resample means are returned. Output: ``keys…, boot_ci_low, boot_ci_high``.
+
+    A group is the seeds x folds of one comparison, a handful of values: it travels as one array, in
+    ``BOOT_BLOCKS`` copies that each compute their share of the resamples, so no draw becomes a row.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    vals = long.select(*keys, *[c for c in order if c not in keys], "value").withColumn(
-        "_pos", F.row_number().over(w) - 1)
-    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
-    # the key table is tiny and lands in one partition; spread the resamples before the
-    # second (draw-level) explode so the hashing runs on every core / executor
+    rest = [c for c in order if c not in keys]
+    groups = long.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest, "value"))).alias("_v"))
+    groups = groups.select(*keys, F.transform("_v", lambda x: x["value"]).alias("_v"), F.size("_v").alias("_n"))
+    share = -(-n_boot // BOOT_BLOCKS)
     n_part = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = draws.repartition(n_part, "_b", *keys)
-    draws = draws.select(*keys, "_n", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
-    draws = draws.withColumn("_pos", h8(F.lit(seed), *[F.col(k) for k in keys], F.col("_b"), F.col("_j")) % F.col("_n"))
-    picked = null_safe_join(draws, vals.select(*keys, "_pos", "value"), keys + ["_pos"])
-    means = picked.groupBy(*keys, "_b").agg(F.avg("value").alias("_m"))
+    blocks = groups.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(BOOT_BLOCKS - 1)))).repartition(n_part, "_blk", *keys)
+    first = F.col("_blk") * share
+    mine = F.filter(F.sequence(first, first + share - 1), lambda b: b < n_boot)
+
+    def mean_of(b):
+        at = lambda j: h8(F.lit(seed), *[F.col(k) for k in keys], b, j) % F.col("_n")
+        total = F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), F.lit(0.0),
+                            lambda acc, j: acc + F.element_at("_v", (at(j) + 1).cast("int")))
+        return total / F.col("_n")
+
+    means = blocks.select(*keys, F.explode(F.transform(mine, mean_of)).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", alpha / 2).alias("boot_ci_low"),
                                     F.percentile("_m", 1 - alpha / 2).alias("boot_ci_high"))
 

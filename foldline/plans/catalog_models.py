@@ -252,3 +252,55 @@ def joi_path_tokens_orders(spark, sf_dir):
     per = long.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("values"))
     got = hits.groupBy("column_name").agg(F.count(F.lit(1)).alias("hit"))
     return per.join(got, "column_name", "left").select("column_name", "values", F.coalesce("hit", F.lit(0)).cast("long").alias("values_with_token"))
+
+
+# --- attributions by weighted least squares ------------------------------------------------------
+
+_SHAP_SQL = f"""WITH o AS (SELECT o_orderkey, o_totalprice / 1.0e5 AS y, CAST(year(o_orderdate) - 1995 AS DOUBLE) AS a,
+  CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS b FROM orders),
+c AS (SELECT covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(a, b) AS ab, var_pop(a) AS va, var_pop(b) AS vb,
+      avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM o),
+k AS (SELECT (ay * vb - by_ * ab) / (va * vb - ab * ab) AS ka, (by_ * va - ay * ab) / (va * vb - ab * ab) AS kb, ma, mb, my FROM c),
+s AS (SELECT * FROM o ORDER BY {sql_h15('42', 'o_orderkey')}, o_orderkey LIMIT 200),
+g AS (SELECT avg(a) AS ga, avg(b) AS gb FROM (SELECT * FROM o ORDER BY {sql_h15('7', 'o_orderkey')}, o_orderkey LIMIT 60) q),
+e AS (SELECT s.*, ka, kb, ga, gb, my + ka * (a - ma) + kb * (b - mb) AS prediction, my + ka * (ga - ma) + kb * (gb - mb) AS expected_value FROM s, k, g)
+SELECT o_orderkey, 'yr' AS feature, round(ka * (a - ga), 6) AS value, round(prediction, 6) AS prediction, round(expected_value, 6) AS expected_value FROM e
+UNION ALL SELECT o_orderkey, 'prio', round(kb * (b - gb), 6), round(prediction, 6), round(expected_value, 6) FROM e"""
+
+
+def _shap_input(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1.0e5).alias("price"),
+                                              (F.year("o_orderdate") - 1995).cast("double").alias("yr"),
+                                              F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"), "o_orderstatus")
+
+
+@query("exp_kernel_shap_linear_orders", _SHAP_SQL)
+def exp_kernel_shap_linear_orders(spark, sf_dir):
+    """EXP-02/05: least-squares Shapley values of a linear model for 200 orders over 60 background rows (exact)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from foldline.operators import explain as EX
+    from foldline.operators.splits import sample_n
+    o = _shap_input(spark, sf_dir)
+    xy = VectorAssembler(inputCols=["yr", "prio"], outputCol="features").transform(o).withColumnRenamed("price", "label")
+    model = LinearRegression(solver="normal").fit(xy)
+    return EX.kernel_shapley(model, sample_n(o, ["o_orderkey"], 200, 42), "o_orderkey", ["yr", "prio"],
+                             sample_n(o, ["o_orderkey"], 60, 7), output="prediction")
+
+
+@query("exp_kernel_shap_tree_orders", None)
+def exp_kernel_shap_tree_orders(spark, sf_dir):
+    """EXP-03/05: a decision tree explained: top contributions, prediction, class and expected value of 100 orders."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from foldline.operators import explain as EX
+    from foldline.operators.splits import sample_n
+    o = _shap_input(spark, sf_dir).withColumn("label", (F.col("o_orderstatus") == "F").cast("double"))
+    feats = ["price", "yr", "prio"]
+    model = DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=5, seed=42).fit(
+        VectorAssembler(inputCols=feats, outputCol="features").transform(o))
+    a = EX.kernel_shapley(model, sample_n(o, ["o_orderkey"], 100, 42), "o_orderkey", feats, o)
+    d = EX.sample_details(a, "o_orderkey", k=3)
+    return d.select("o_orderkey", "prediction", "expected_value", "predicted_class", F.to_json("top_contributions").alias("top_contributions"))

@@ -122,3 +122,40 @@ def test_kernel_map_and_circles(spark, tmp_path):
                                               "id long, a double, b double, y int"), ["id"], "y", "classification")
     folds = TR.run_experiment(spec, lambda: rbf_svm(iterations=20), TR.ExperimentConfig(name="svm", seeds=(42,), k=2)).folds
     assert all(r["roc_auc"] > 0.97 for r in folds.select(F.col("roc_auc")).collect())
+
+
+def test_kernel_shapley_adds_up_and_matches_all_permutations(spark):
+    from itertools import permutations
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from foldline.operators import explain as EX
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = x[:, 0] * x[:, 1] + (x[:, 2] > 3)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id int, a double, b double, c double, label double")
+    feats = ["a", "b", "c"]
+    model = DecisionTreeRegressor(maxDepth=4).fit(VectorAssembler(inputCols=feats, outputCol="features").transform(df))
+    bg, rows = df.where("id < 12"), df.where("id >= 190")
+    got = EX.kernel_shapley(model, rows, "id", feats, bg, output="prediction").collect()
+    f = lambda v: model.predict(Vectors.dense(v))
+    base = float(np.mean([f(b) for b in x[:12]]))
+    for i in range(190, 200):
+        mine = {r["feature"]: r for r in got if r["id"] == i}
+        assert abs(sum(r["value"] for r in mine.values()) - (f(x[i]) - base)) < 1e-9
+        worth = lambda s: float(np.mean([f([x[i][k] if k in s else b[k] for k in range(3)]) for b in x[:12]]))
+        for k in range(3):
+            exact = np.mean([worth(set(o[:o.index(k) + 1])) - worth(set(o[:o.index(k)])) for o in permutations(range(3))])
+            assert abs(mine[feats[k]]["value"] - exact) < 1e-6
+        assert abs(mine["a"]["prediction"] - f(x[i])) < 1e-12 and abs(mine["a"]["expected_value"] - base) < 1e-12
+    d = EX.sample_details(EX.kernel_shapley(model, rows, "id", feats, bg, output="prediction"), "id", k=2).collect()
+    assert len(d) == 10 and all(len(r["top_contributions"]) == 2 for r in d)
+
+
+def test_coalitions_are_paired_when_sampled():
+    from foldline.operators.explain import coalitions
+    z, w = coalitions(20, 400, 1)
+    assert len(z) == 400 and (z[:200] + z[200:] == 1).all() and abs(w.sum() - 1) < 1e-12
+    z, w = coalitions(4, 100, 1)
+    assert len(z) == 14 and len({tuple(r) for r in z}) == 14
