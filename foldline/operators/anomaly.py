@@ -2,11 +2,12 @@
 
 Spark has no isolation forest, so the work is split into Spark-shaped pieces:
 
-1. preprocessing (median imputation, population scaling, one-hot) as aggregates + joins;
-2. per-tree subsamples of 256 rows drawn by hashing — a bounded candidate pool
-   (≈ trees × 256 rows, independent of the table size) is selected with one uniform draw
-   per row, so the table is scanned once and never exploded by the tree count;
-3. ``groupBy(tree).applyInPandas`` grows the trees in parallel (each group ≤ 256 rows);
+1. preprocessing (median imputation, population scaling) as aggregates; a categorical value stays one code: a split on
+   an indicator "column = value" is what a split on its one-hot column is, at any number of categories;
+2. every tree takes the 256 rows with the smallest hashes of (seed, tree, key), at every table size. Rows whose hash
+   exceeds a bound that leaves a few more candidates per tree than needed are dropped in the scan; the bound is widened until
+   every tree has its rows, so it never decides the sample;
+3. ``groupBy(tree).applyInPandas`` grows the trees in parallel, from rows in hash order;
 4. the forest (≤ trees × 511 nodes, bounded by construction) is shipped to the tasks in
    the closure of an Arrow-batched ``mapInPandas`` that scores every row;
 5. the flag threshold is the exact 97th percentile of the scores (contamination 3 %).
@@ -41,23 +42,20 @@ def c_factor(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
-def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (),
-                     max_categories: int = 1000) -> DataFrame:
-    """``key…, x`` with x = [scaled, median-imputed numerics] + one-hot categoricals (as array<double>).
+def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+    """``key…, x, c``: scaled, median-imputed numbers (array<double>) and one 64-bit code per categorical value (array<long>,
+    0 where missing).
 
-    One aggregate gives counts, moments and category cardinalities; exact medians are computed
-    only for columns that actually have missing values; category lists (checked to be small)
-    come from one more aggregate. Statistics are applied as literals.
+    One aggregate gives counts and moments; exact medians are computed only for columns that actually have missing
+    values. Statistics are applied as literals.
     """
     df = spread(df.select(*key, *numeric, *categorical))  # the Arrow scoring below is per-partition
-    num, cat = list(numeric), list(categorical)
+    num = list(numeric)
     parts = []
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in num:
         x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
         aggs += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"mu_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
-    for c in cat:
-        aggs.append(F.approx_count_distinct(F.col(c)).alias(f"k_{c}"))
     st = df.agg(*aggs).first()
     missing = [c for c in num if st[f"n_{c}"] < st["_rows"]]
     med = {}
@@ -69,15 +67,10 @@ def prepare_features(df: DataFrame, key: Sequence[str], numeric: Sequence[str],
         mu, sd = st[f"mu_{c}"] or 0.0, st[f"sd_{c}"] or 1.0
         x = F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(med.get(c, mu)))
         parts.append((x - F.lit(mu)) / F.lit(sd))
-    too_many = [c for c in cat if st[f"k_{c}"] > max_categories]
-    if too_many:
-        raise ValueError(f"{too_many}: too many categories for one-hot")
-    if cat:
-        sets = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in cat]).first()  # bounded above
-        for c in cat:
-            for v in sorted(sets[c]):
-                parts.append(F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0))
-    return df.select(*[F.col(k) for k in key], F.array(*parts).alias("x"))
+    codes = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c).cast("string"))).otherwise(0) for c in categorical]
+    none = F.array().cast("array<bigint>")
+    return df.select(*[F.col(k) for k in key], (F.array(*parts) if parts else F.array().cast("array<double>")).alias("x"),
+                     (F.array(*codes) if codes else none).alias("c"))
 
 
 def _draw(*parts) -> Column:
@@ -87,85 +80,106 @@ def _draw(*parts) -> Column:
 
 
 def _sample(feats: DataFrame, key: Sequence[str], n_trees: int, sample: int, seed: int) -> DataFrame:
+    """``tree, u, x, c``: for every tree the ``sample`` rows with the smallest draws (all rows, if there are fewer).
+
+    A tree's draws below ``bound`` number sample + 8 sqrt(sample) on average, so the bound is almost never widened."""
     n = feats.count()
-    need = n_trees * sample
-    if n <= need:
-        # small table: each tree draws its own rows; a per-tree hashed pre-filter keeps ≈ 3 · 256
-        # candidates per tree before the (tiny) per-tree rank, so nothing of size rows × trees is shuffled
-        q = min(1.0, 3.0 * sample / max(n, 1))
-        t = feats.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        t = t.withColumn("_u", _draw(F.lit(seed), F.col("tree"), *[F.col(k) for k in key])).where(F.col("_u") < q)
-        r = rank_within(t, ["tree"], F.col("_u"), tiebreak=list(key), out="_rk", n_buckets=1)
-        return r.where(F.col("_rk") < sample).select("tree", "x")
-    # large table: one draw per row picks a pool of ≈ 1.2 · trees · 256 rows, dealt to trees in draw order
-    frac = min(1.0, 1.2 * need / n)
-    pool = feats.withColumn("_u", _draw(F.lit(seed), *[F.col(k) for k in key])).where(F.col("_u") < frac)
-    r = rank_within(pool, [], F.col("_u"), tiebreak=list(key), out="_rk", n_buckets=1)
-    return r.where(F.col("_rk") < need).select((F.col("_rk") % n_trees).cast("int").alias("tree"), "x")
+    need = min(sample, n)
+    bound = (sample + 8 * math.sqrt(sample)) / max(n, 1)
+    while True:
+        draw = lambda t: _draw(F.lit(seed), t, *[F.col(k) for k in key])
+        mine = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u"))),
+                        lambda s: s["u"] < min(bound, 1.1))
+        # about trees x sample rows
+        picked = feats.withColumn("_m", F.explode(mine)).select(*key, "x", "c", "_m.tree", "_m.u").checkpoint()
+        least = picked.groupBy("tree").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("t"), F.min("k").alias("k")).first()
+        if bound >= 1 or (least["t"] == n_trees and least["k"] >= need):
+            break
+        bound *= 2
+    r = rank_within(picked, ["tree"], F.col("u"), tiebreak=list(key), out="_rk", n_buckets=1)      # a tree's candidates are bounded
+    return r.where(F.col("_rk") < sample).select("tree", "_rk", "x", "c")
 
 
 def _grow(pdf: pd.DataFrame, max_depth: int, seed: int) -> pd.DataFrame:
+    """A node tests ``x[f] < thr`` or, for f beyond the numbers, whether code f - len(x) differs from ``code``; rows
+    that pass go left."""
+    pdf = pdf.sort_values("_rk")
     tree = int(pdf["tree"].iloc[0])
-    X = np.array(pdf["x"].tolist(), dtype=float)
+    X = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+    C = np.array(pdf["c"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
     rng = np.random.default_rng(seed * 100003 + tree)
-    feat, thr, left, right, size = [], [], [], [], []
+    feat, thr, code, left, right, size = [], [], [], [], [], []
 
     def node(idx, depth):
         i = len(feat)
-        feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), size.append(len(idx))
+        feat.append(-1), thr.append(0.0), code.append(0), left.append(-1), right.append(-1), size.append(len(idx))
         if depth >= max_depth or len(idx) <= 1:
             return i
         sub = X[idx]
-        spread = sub.max(axis=0) - sub.min(axis=0)
-        cand = np.flatnonzero(spread > 0)
-        if cand.size == 0:
+        cand = [(int(f), 0) for f in np.flatnonzero(sub.max(axis=0) > sub.min(axis=0))] if X.shape[1] else []
+        # indicators of the values that some but not all of these rows have
+        for j in range(C.shape[1]):
+            values, count = np.unique(C[idx, j], return_counts=True)
+            cand += [(X.shape[1] + j, int(v)) for v, k in zip(values, count) if v != 0 and k < len(idx)]
+        if not cand:
             return i
-        f = int(rng.choice(cand))
-        t = float(rng.uniform(sub[:, f].min(), sub[:, f].max()))
-        mask = sub[:, f] < t
-        feat[i], thr[i] = f, t
+        f, v = cand[int(rng.integers(len(cand)))]
+        if f < X.shape[1]:
+            t = float(rng.uniform(sub[:, f].min(), sub[:, f].max()))
+            mask = sub[:, f] < t
+        else:
+            t, mask = 0.0, C[idx, f - X.shape[1]] != v
+        feat[i], thr[i], code[i] = f, t, v
         left[i] = node(idx[mask], depth + 1)
         right[i] = node(idx[~mask], depth + 1)
         return i
 
     node(np.arange(len(X)), 0)
-    return pd.DataFrame({"tree": [tree], "feat": [feat], "thr": [thr], "left": [left], "right": [right],
+    return pd.DataFrame({"tree": [tree], "feat": [feat], "thr": [thr], "code": [code], "left": [left], "right": [right],
                          "size": [size], "n": [len(X)]})
 
 
 def fit_forest(feats: DataFrame, key: Sequence[str], n_trees: int = N_TREES, sample: int = SAMPLE,
                seed: int = SEED) -> list[dict]:
     """Grow the trees in parallel (one ``applyInPandas`` group per tree) and return them."""
+    checkpoint_dir(feats.sparkSession)
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
     s = _sample(feats, key, n_trees, sample, seed)
-    schema = ("tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, "
+    schema = ("tree int, feat array<int>, thr array<double>, code array<bigint>, left array<int>, right array<int>, "
               "size array<int>, n int")
     trees = s.groupBy("tree").applyInPandas(lambda p: _grow(p, max_depth, seed), schema)
-    return [r.asDict() for r in trees.collect()]  # bounded: trees × (2·256 − 1) nodes
+    return [r.asDict() for r in trees.orderBy("tree").collect()]  # bounded: trees × (2·256 − 1) nodes
 
 
 def score(feats: DataFrame, forest: list[dict], key: Sequence[str], sample: int = SAMPLE) -> DataFrame:
     """``key…, anomaly_score`` = 2^(−E[h(x)] / c(ψ)) with Arrow-batched scoring."""
-    forest_np = [(np.array(t["feat"]), np.array(t["thr"]), np.array(t["left"]), np.array(t["right"]),
+    forest_np = [(np.array(t["feat"]), np.array(t["thr"]), np.array(t["code"], dtype=np.int64), np.array(t["left"]), np.array(t["right"]),
                   np.array([c_factor(x) for x in t["size"]])) for t in forest]
     denom = c_factor(min(sample, max((t["n"] for t in forest), default=sample)))
     key = list(key)
 
     def run(it):
         for pdf in it:
-            X = np.array(pdf["x"].tolist(), dtype=float) if len(pdf) else np.zeros((0, 0))
+            if not len(pdf):
+                continue
+            X = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+            C = np.array(pdf["c"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
+            wide = X.shape[1]
             depth = np.zeros(len(pdf))
-            for feat, thr, left, right, cdepth in forest_np:
+            for feat, thr, code, left, right, cdepth in forest_np:
                 nodes = np.zeros(len(pdf), dtype=int)
                 d = np.zeros(len(pdf))
-                active = feat[nodes] >= 0
-                while active.any():
-                    idx = np.flatnonzero(active)
-                    f = feat[nodes[idx]]
-                    go_left = X[idx, f] < thr[nodes[idx]]
-                    nodes[idx] = np.where(go_left, left[nodes[idx]], right[nodes[idx]])
+                idx = np.flatnonzero(feat[nodes] >= 0)
+                while len(idx):
+                    at = nodes[idx]
+                    f = feat[at]
+                    number = f < wide
+                    go_left = np.empty(len(idx), dtype=bool)
+                    go_left[number] = X[idx[number], f[number]] < thr[at[number]]
+                    go_left[~number] = C[idx[~number], f[~number] - wide] != code[at[~number]]
+                    nodes[idx] = np.where(go_left, left[at], right[at])
                     d[idx] += 1
-                    active = feat[nodes] >= 0
+                    idx = idx[feat[nodes[idx]] >= 0]
                 depth += d + cdepth[nodes]
             mean = depth / max(len(forest_np), 1)
             out = pdf[key].copy()

@@ -304,3 +304,26 @@ def exp_kernel_shap_tree_orders(spark, sf_dir):
     a = EX.kernel_shapley(model, sample_n(o, ["o_orderkey"], 100, 42), "o_orderkey", feats, o)
     d = EX.sample_details(a, "o_orderkey", k=3)
     return d.select("o_orderkey", "prediction", "expected_value", "predicted_class", F.to_json("top_contributions").alias("top_contributions"))
+
+
+# --- Holt-Winters with given smoothing --------------------------------------------------------------
+
+_HW = (0.3, 0.1, 0.2)
+_HW_SQL = f"""WITH RECURSIVE s AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, avg(value) AS y FROM events GROUP BY 1, 2),
+a AS (SELECT series, list(y ORDER BY day) AS y FROM s GROUP BY series HAVING count(*) >= 14),
+m AS (SELECT series, y, list_sum(list_slice(y, 1, 7)) / 7 AS l, list_sum(list_slice(y, 8, 14)) / 7 AS l2 FROM a),
+r AS (SELECT series, y, 0 AS i, l AS level, (l2 - l) / 7 AS trend, list_transform(list_slice(y, 1, 7), lambda v: v - l) AS season, 0.0 :: DOUBLE AS sse FROM m
+  UNION ALL
+  SELECT series, y, i + 1, nl, {_HW[1]} * (nl - level) + {1 - _HW[1]} * trend,
+    list_transform(season, lambda x, k: CASE WHEN k = i % 7 + 1 THEN {_HW[2]} * (v - nl) + {1 - _HW[2]} * sn ELSE x END),
+    sse + (v - level - trend - sn) * (v - level - trend - sn)
+  FROM (SELECT *, y[i + 1] AS v, season[i % 7 + 1] AS sn, {_HW[0]} * (y[i + 1] - season[i % 7 + 1]) + {1 - _HW[0]} * (level + trend) AS nl
+        FROM r WHERE i < len(y)) q)
+SELECT series, len(y) AS n, round(sse, 6) AS sse, round(level, 6) AS level, round(trend, 6) AS trend FROM r WHERE i = len(y)"""
+
+
+@query("fct_holt_winters_fixed_events", _HW_SQL)
+def fct_holt_winters_fixed_events(spark, sf_dir):
+    """FCT-01: the additive recursion with given smoothing over every event-type series, as one array aggregate."""
+    from foldline.operators import forecast as FC
+    return FC.holt_winters_fixed(FC.daily_series(_t(spark, sf_dir, "events"), "event_type", F.col("ts"), "value"), *_HW)

@@ -159,3 +159,43 @@ def test_coalitions_are_paired_when_sampled():
     assert len(z) == 400 and (z[:200] + z[200:] == 1).all() and abs(w.sum() - 1) < 1e-12
     z, w = coalitions(4, 100, 1)
     assert len(z) == 14 and len({tuple(r) for r in z}) == 14
+
+
+def test_holt_winters_fit_is_not_worse_than_the_grid():
+    from foldline.operators import forecast as FC
+    rng = np.random.default_rng(0)
+    for case in range(6):
+        n = 60 + 10 * case
+        y = 10 + 0.05 * np.arange(n) + np.tile(rng.normal(0, 2, 7), n)[:n] + rng.normal(0, 0.5 + case, n)
+        smooth, start, sse = FC.holt_winters_fit(y)
+        grid = np.array(np.meshgrid(FC.GRID, FC.GRID, FC.GRID)).reshape(3, -1).T
+        err, _ = FC._errors(y, grid, np.repeat(FC._usual_start(y, 7)[None], len(grid), axis=0), 7)
+        assert sse <= (err ** 2).sum(axis=1).min() + 1e-9 and (smooth >= 0).all() and (smooth <= 1).all()
+        # the initial state is the best one: no single change lowers the error
+        for i in range(len(start)):
+            for d in (1e-3, -1e-3):
+                moved = start.copy()
+                moved[i] += d
+                e, _ = FC._errors(y, smooth[None], moved[None], 7)
+                assert (e ** 2).sum() >= sse - 1e-9
+    exact = 5 + np.tile(np.arange(7.0), 10)
+    smooth, start, sse = FC.holt_winters_fit(exact[:-14])
+    assert sse < 1e-12 and np.allclose(FC.holt_winters_forecast(exact[:-14], smooth, start), exact[-14:])
+
+
+def test_isolation_forest_is_the_same_for_any_partitioning(spark):
+    from foldline.operators import anomaly as AN
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.normal()), None if i % 9 == 0 else f"c{i % 1500}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, x double, c string")
+    forests = [AN.fit_forest(AN.prepare_features(d, ["id"], ["x"], ["c"]), ["id"], n_trees=5, sample=64)
+               for d in (df.coalesce(1), df.repartition(7))]
+    assert forests[0] == forests[1] and all(t["n"] == 64 for t in forests[0])
+    feats = AN.prepare_features(df, ["id"], ["x"], ["c"])
+    draws = {t: sorted((r["u"], r["id"]) for r in feats.select("id", AN._draw(F.lit(42), F.lit(t), F.col("id")).alias("u")).collect())[:64]
+             for t in (0, 4)}
+    got = AN._sample(feats, ["id"], 5, 64, 42)
+    x = {r[0]: r[1] for r in feats.select("id", "x").collect()}
+    for t, smallest in draws.items():
+        assert [r["x"] for r in got.where(F.col("tree") == t).orderBy("_rk").collect()] == [x[i] for _, i in smallest]
+    assert AN._sample(feats.where("id < 20"), ["id"], 3, 64, 42).count() == 60
