@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +17,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_SCOPE: ContextVar[tuple[list[str], ...]] = ContextVar("foldline_scope", default=())
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it back: the lineage is
-    cut, every later job reads the same rows, and a lost executor costs no recomputation."""
+    cut, every later job reads the same rows, and a lost executor costs no recomputation.
+
+    Inside :func:`temporary` the table belongs to that scope; with ``keep`` to the scope around it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/foldline-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    scopes = _SCOPE.get()[:-1] if keep else _SCOPE.get()
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that :func:`stored` writes in this scope; they are the caller's to delete."""
+    paths: list[str] = []
+    token = _SCOPE.set((*_SCOPE.get(), paths))
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+
+
+def released(spark: SparkSession, paths: list[str], shuffles: bool = True) -> None:
+    """Delete tables that nothing reads any more; with ``shuffles`` the driver's garbage collection releases the files of
+    shuffles that nothing reads any more, too."""
+    while paths:
+        discard(spark, paths.pop())
+    if shuffles:
+        spark._jvm.System.gc()
+
+
+@contextmanager
+def temporary(spark: SparkSession, shuffles: bool = False) -> Iterator[None]:
+    """Tables stored in this scope are deleted at its end; what leaves it is stored with ``keep``."""
+    with collected() as paths:
+        try:
+            yield
+        finally:
+            released(spark, paths, shuffles)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table written by this library, wherever Spark's file systems keep it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,8 +15,9 @@ many tiles, each pair of tiles being a row of its own.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing (a component of their own); null vec_ids link with nothing and have a null component;
-repeated rows are linked copies, each counting the others; an empty table gives no rows; other
-columns are ignored.
+repeated rows are linked copies, each counting the others; every row has its row in the result, and an id that occurs with
+several vectors shares one component, its links being counted over the classes that it names; ties don't occur; an empty table
+gives no rows; other columns are ignored. Tables in between are deleted when the result is stored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldline.llm.common import stored, table
+from foldline.llm.common import stored, table, temporary
 from foldline.llm.graph import components, forest
 from foldline.llm.vectors import groups
 
@@ -41,14 +42,16 @@ SLACK = 1e-9
 
 
 def _valid(batches):
-    """Rows that can link, with the vector as bytes and a 128-bit digest of it."""
+    """Every row, one by one: those that can link with the vector as bytes and a 128-bit digest of it, the others with nulls."""
     for b in batches:
         ids, label = b.column("vec_id"), b.column("label")
+        idle = np.ones(b.num_rows, dtype=bool)
         known = np.asarray(pc.and_(ids.is_valid(), label.is_valid()))
         for rows, mat in groups(b, "vec"):
             top = np.abs(mat).max(axis=1)
             keep = known[rows] & (top > 0)
             rows, mat = rows[keep], mat[keep]
+            idle[rows] = False
             # dividing by a power of two keeps every bit and lets squares of huge or tiny components be summed
             mat = mat / np.exp2(np.floor(np.log2(np.maximum(top[keep], 1e-300))))[:, None] if len(mat) else mat
             blobs = [x.tobytes() for x in (mat + 0.0).astype("<f8")]
@@ -57,6 +60,10 @@ def _valid(batches):
                 [ids.take(at), label.take(at), pa.array(np.full(len(rows), mat.shape[1] if len(rows) else 0)),
                  pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in blobs], pa.binary()),
                  pa.array(blobs, pa.binary())], names=["vec_id", "label", "dim", "digest", "vec"])
+        at = pa.array(np.flatnonzero(idle))
+        blank = pa.nulls(len(at), pa.binary())
+        yield pa.RecordBatch.from_arrays([ids.take(at), label.take(at), pa.nulls(len(at), pa.int64()), blank, blank],
+                                         names=["vec_id", "label", "dim", "digest", "vec"])
 
 
 def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
@@ -177,9 +184,15 @@ def _links(axes: dict[int, np.ndarray], t: float):
 
 def near_duplicates(vectors: DataFrame, t: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors (vec_id, embedding, label)``."""
+    with temporary(vectors.sparkSession):
+        return stored(_near_duplicates(vectors, t, tile), "result", keep=True)
+
+
+def _near_duplicates(vectors: DataFrame, t: float, tile: int) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                        F.col("embedding").alias("vec"))
-    rows = stored(v.mapInArrow(_valid, "vec_id long, label string, dim long, digest binary, vec binary"), "valid")
+    every = stored(v.mapInArrow(_valid, "vec_id long, label string, dim long, digest binary, vec binary"), "rows")
+    rows = every.where("digest is not null")
     # ids are folded first, so that a very common vector is one row before any comparison
     folded = rows.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"),
                                                         F.max("vec").alias("vec"))
@@ -223,7 +236,7 @@ def near_duplicates(vectors: DataFrame, t: float = THRESHOLD, tile: int = TILE)
     salted = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     linked = (rows.drop("vec").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int"))
               .join(salted, ["label", "dim", "digest", "salt"]).select("vec_id", "n_links", "component_id"))
-    alone = v.select("vec_id").join(linked.select("vec_id").distinct(), "vec_id", "left_anti")
+    alone = every.where("digest is null")
     out = linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

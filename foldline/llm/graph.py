@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldline.llm.common import stored
+from foldline.llm.common import stored, temporary
 
 SALTS = 16
 
@@ -45,30 +45,36 @@ def _salted_join(links: DataFrame, low: DataFrame) -> DataFrame:
     return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low, ["u", "salt"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def _round(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over links ``u > v``."""
+    # large star: larger neighbours move to the smallest node of the neighbourhood
+    both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
+    low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low")), "low")
+    large = _salted_join(both, low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    # small star: smaller neighbours and the node itself move to its smallest neighbour
+    down = stored(large.where("u <> v").distinct(), "down")
+    low = stored(down.groupBy("u").agg(F.min("v").alias("low")), "low")
+    small = _salted_join(down, low).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return stored(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "links", keep=True)
+
+
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links (u, v)``.
 
     Alternating large-star and small-star steps; each is one map-side combined minimum and one salted
     join, stored, so no component is ever held by one task or the driver. Batches are first
-    contracted to forests. Stops when a round changes nothing (a handful of rounds for
-    the shapes met here; logarithmic in general)."""
+    contracted to forests. Goes on until a round changes nothing (a handful of rounds for
+    the shapes met here; logarithmic in general); a round's tables are deleted when it ends."""
+    spark = links.sparkSession
     e = stored(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
                .where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
     mark = None
-    for _ in range(rounds):
-        # large star: larger neighbours move to the smallest node of the neighbourhood
-        both = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
-        low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low")), "low")
-        large = _salted_join(both, low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        # small star: smaller neighbours and the node itself move to its smallest neighbour
-        down = stored(large.where("u <> v").distinct(), "down")
-        low = stored(down.groupBy("u").agg(F.min("v").alias("low")), "low")
-        small = _salted_join(down, low).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        new = stored(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "links")
-        now = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    while True:
+        with temporary(spark):
+            e = _round(e)
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
-            e = new
             break
-        e, mark = new, (now["n"], now["h"])
+        mark = (now["n"], now["h"])
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

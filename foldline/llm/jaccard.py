@@ -27,8 +27,10 @@ most ``MAX_BITS``) lets the scan skip most others, so texts are never shuffled.
 
 Edge cases: null and empty texts, and texts of blanks, have an empty set and link with nothing; a shorter text
 than k words has one shingle; rows with a null doc_id count shingles, link with nothing and have a null
-component; rows that repeat a doc_id share a component, reached by the links of any of them; an
-empty table gives no rows; other columns are ignored.
+component; rows that repeat a doc_id share a component, reached by the links of any of them; ties
+don't occur (links are decided on whole sets, and the smallest id names a component); texts of any length are read in
+whole, a very long one by itself; an empty table gives no rows; other columns are ignored. Tables in between are deleted
+when they have been read; the result is one stored table.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldline.llm.common import stored, table
+from foldline.llm.common import stored, table, temporary
 from foldline.llm.graph import components
 from foldline.llm.textops import batch_words, mix, shingle_hashes, slices
 
@@ -300,31 +302,46 @@ class _Join:
 
     def verified(self, pairs: DataFrame, ranges: DataFrame) -> DataFrame:
         """Links among distinct candidate pairs ``a, b``: suffix filter, then the whole sets, once per pair."""
-        pairs = stored(pairs.distinct(), "pairs")
-        r = ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra"))
-        r2 = ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
-        pairs = stored(pairs.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs")
-        ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        shared = self.docs.sparkSession.sparkContext.broadcast(_bit_table(ids, self.bits))
-        sets = self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary")
-        sets = stored(sets.join(ids, "doc_id", "left_semi"), "sets")
-        both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-                .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"))
-        return stored(both.mapInArrow(_verify(self.percent), "a long, b long").distinct(), "verified")
-
-
-def _labelled(links: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components of the links, and the entries of shingles whose documents lie in several of them, each with
-    its document's component ``c``."""
-    comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    e = entries.drop("c").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    e = stored(e.withColumn("c", F.coalesce("component", "doc")).drop("component"), "labelled")
-    mixed = e.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("gram")
-    return comp, stored(e.join(stored(mixed, "mixed"), "gram", "left_semi"), "residue")
+        spark = self.docs.sparkSession
+        with temporary(spark, shuffles=True):
+            with temporary(spark):
+                some = stored(pairs.distinct(), "pairs")
+                r = ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra"))
+                r2 = ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
+                some = stored(some.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs", keep=True)
+            ids = stored(some.select(F.col("a").alias("doc_id")).unionByName(some.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+            shared = spark.sparkContext.broadcast(_bit_table(ids, self.bits))
+            sets = self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary")
+            sets = stored(sets.join(ids, "doc_id", "left_semi"), "sets")
+            both = (some.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
+                    .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"))
+            out = stored(both.mapInArrow(_verify(self.percent), "a long, b long").distinct(), "verified", keep=True)
+            shared.destroy()
+        return out
+
+
+def _components(links: DataFrame) -> DataFrame:
+    with temporary(links.sparkSession):
+        return stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components", keep=True)
+
+
+def _labelled(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entries of shingles whose documents lie in several components of the links, each with its document's component ``c``."""
+    with temporary(links.sparkSession):
+        comp = _components(links)
+        e = entries.drop("c").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+        e = stored(e.withColumn("c", F.coalesce("component", "doc")).drop("component"), "labelled")
+        mixed = e.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("gram")
+        return stored(e.join(stored(mixed, "mixed"), "gram", "left_semi"), "residue", keep=True)
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text)``."""
+    with temporary(docs.sparkSession):
+        return _jaccard_join(docs, k, percent, cells)
+
+
+def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = stored(rows.mapInArrow(_first_pass(k, cells), "doc_id long, n long, digest binary, slice long, counts binary"), "first")
@@ -344,7 +361,7 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int
     entries = stored(entries, "entries")
 
     join = _Join(rows, k, percent, sized.count())
-    links, comp, e = None, None, entries.withColumn("c", F.col("doc"))
+    links, e = None, entries.withColumn("c", F.col("doc"))
     for i in range(STARS):
         first_of = F.min(F.struct(F.xxhash64(F.lit(i), "doc").alias("draw"), "doc", "n", "place", "c"))
         lead = stored(e.groupBy("gram").agg(first_of.alias("lead")), "lead")
@@ -354,13 +371,17 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int
         star = star.where(_plausible(percent)).select("a", "b")
         new = join.verified(star if links is None else star.join(links, ["a", "b"], "left_anti"), ranges)
         links = new if links is None else links.unionByName(new)
-        comp, e = _labelled(links, entries if i == 0 else e)
+        e = _labelled(links, entries if i == 0 else e)
 
     # what the stars have not proposed matters between different components only
     f = e.select("gram", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
     rest = (e.withColumnRenamed("doc", "a").join(f, "gram").where("a < b and c <> c2").where(_plausible(percent)).select("a", "b"))
     links = links.unionByName(join.verified(rest, ranges))
-    comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    # the rows of an id that occurs with several texts are tied: the id stands for each of their sets
+    several = sized.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    ties = sized.join(several, "doc_id").join(folded, ["n", "digest"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = _components(links.unionByName(ties))
 
     classes = folded.join(comp, folded["rep"] == comp["node"], "left").select(
         "n", "digest", F.coalesce("component", "rep").alias("component_id"))
@@ -368,7 +389,7 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int
     out = (sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
            .join(salted, ["n", "digest", "salt"], "left"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return stored(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "result", keep=True)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
