@@ -11,16 +11,21 @@
 
 All stages but the last return the columns of ``documents`` (``n_chars`` is recomputed where text changes). Null
 texts, ids and sources pass through as each operator's docstring says.
+
+A stage's result is written before the next stage begins, so a stage first deletes the tables that the stage before it
+left behind, and the files of its shuffles.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldline.llm.common import stored, table
+from foldline.llm.common import collected, released, stored, table
 from foldline.llm.jaccard import jaccard_join
 from foldline.llm.mixing import mix_sizes, WORD
 from foldline.llm.packing import pack_documents
@@ -33,17 +38,37 @@ MASK = "<secret>"
 NEAR_K, NEAR_PERCENT = 5, 80       # words of a shingle, least similarity; wider than the defaults of the op4 query
 
 
+_LEFT: list[str] = []              # tables of the latest stage, whose result may not be written yet
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        released(spark, _LEFT)
+        with collected() as paths:
+            out = work(spark, docs, sf_dir)
+        _LEFT.extend(paths)
+        return out
+    return run
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """The stage's input with a row number, stored, so that a decision reaches the very row it is about."""
     return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.7 or more go; texts of any length are scored whole, null ones as empty (they stay unless
+    the empty text scores high), repeated rows alike; an empty table gives no rows."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity_scores(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component stays: the one with the smallest id (null ids last), then the first met. Rows without words are
+    components of their own."""
     d = _numbered(docs)
     # rows are compared under their row number, and a component is named by its smallest id, then row
     comp = jaccard_join(d.select(F.col("row").alias("doc_id"), "text"), k=NEAR_K, percent=NEAR_PERCENT)
@@ -53,7 +78,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return d.join(keep.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans become ``<secret>``, overlapping ones together; every row stays, null and empty texts as they are."""
     d = _numbered(docs)
     spans, _ = find_secrets(d.select(F.col("row").alias("doc_id"), "text", "source"))
     cuts = spans.groupBy(F.col("doc_id").alias("row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
@@ -78,7 +105,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.length("text")).cast("long")).select(*COLUMNS)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row is repeated as often as it is taken; rows without words are never taken and go. Rows that repeat an id are taken row by row."""
     d = _numbered(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = stored(d.select(F.col("row").alias("doc_id"), "source", size.alias("size")), "sizes")
@@ -87,7 +116,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their ids; every row has one piece at least (its end id)."""
     import public_tokenizers
 
     return pack_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
