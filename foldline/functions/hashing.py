@@ -31,6 +31,15 @@ def uniform(*parts) -> Column:
     return h8(*parts) / F.lit(4294967296.0)
 
 
+SHORT = 64
+
+
+def compact(text: Column) -> Column:
+    """A stand-in for a text of which only equality matters: short texts as they are, longer ones as a SHA-256 with a mark, so
+    that both kinds differ in length and whole documents are never shuffled as keys."""
+    return F.when(F.length(text) > SHORT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 # --- SQL (DuckDB) twins used by the oracle strings -------------------------------------
 
 def sql_key(*parts: str) -> str:

@@ -21,6 +21,7 @@ bounded by construction.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,6 +124,21 @@ def with_bucket(df: DataFrame, order: Sequence[Column], n_buckets: int) -> tuple
     return b.withColumn(_BKT, bkt).drop("_fl_own", "_fl_head"), len(bounds) + 1
 
 
+_COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|Distinct|Sort|MapInPandas|MapInArrow|FlatMap\w+)\b")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written once if its plan does more than scan, project and filter.
+
+    An ordered operator reads its input several times (bounds, window, summary); a derived input would be
+    computed each time."""
+    if not _COSTLY.search(df._jdf.queryExecution().analyzed().toString()):
+        return df
+    from foldline.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _resolve_buckets(df: DataFrame, n_buckets) -> int:
     return default_buckets(df) if n_buckets in (None, "auto") else int(n_buckets)
 
@@ -147,6 +163,8 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_value: Column,
     """0-based row number within ``keys`` ordered by (order_value, *tiebreak)."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
+    if nb > 1:
+        df = settled(df)
     b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak))
     x = b.withColumn("_fl_rin", F.row_number().over(w) - 1)
@@ -164,6 +182,8 @@ def lag_within(df: DataFrame, keys: Sequence[str], order_value: Column, value: C
     """``lag(value, 1)`` within ``keys`` in (order_value, *tiebreak) order."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
+    if nb > 1:
+        df = settled(df)
     b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     order = [order_value, *_as_cols(tiebreak)]
     w = Window.partitionBy(*keys, _BKT).orderBy(*order)
@@ -186,6 +206,8 @@ def running_max_within(df: DataFrame, keys: Sequence[str], order_value: Column,
     """Max of ``value`` over all earlier rows within ``keys`` (and the row itself if inclusive)."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
+    if nb > 1:
+        df = settled(df)
     b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak)).rowsBetween(
@@ -205,6 +227,8 @@ def cumsum_within(df: DataFrame, keys: Sequence[str], order_value: Column, value
     """Inclusive running sums ``{out_name: value}`` within ``keys`` in order."""
     keys = list(keys)
     nb = _resolve_buckets(df, n_buckets)
+    if nb > 1:
+        df = settled(df)
     b, nb = with_bucket(df, [order_value, *_as_cols(tiebreak)], nb)
     w = Window.partitionBy(*keys, _BKT).orderBy(order_value, *_as_cols(tiebreak)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

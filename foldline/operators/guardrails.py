@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldline.functions.hashing import compact
 from foldline.functions.ordered import lag_within, spread
 from foldline.operators.substrings import texts_with_tokens
 
@@ -109,7 +110,9 @@ def infer_audit_target(df: DataFrame, policy: str = "audit") -> str | None:
 def duplicate_summary(df: DataFrame, subset=None) -> DataFrame:
     """One row ``(rows, duplicates, fraction)``: repeats after the first over ``subset`` (default: all)."""
     cols = list(subset) if subset else df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))  # partial aggregation map-side
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    by = [compact(F.col(f"`{c}`")).alias(f"_k{i}") if c in texts else F.col(f"`{c}`") for i, c in enumerate(cols)]
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))  # partial aggregation map-side
     s = g.agg(F.sum("_c").cast("long").alias("rows"), F.sum(F.col("_c") - 1).cast("long").alias("duplicates"))
     return s.select(F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
                     F.try_divide(F.col("duplicates"), F.col("rows")).alias("fraction"))
@@ -151,8 +154,8 @@ def _family_value(df: DataFrame, c: str, fam: str):
             return F.unix_date(F.col(c)).cast("long")
         return F.col(c).cast("long")
     if fam == "double":
-        return F.col(c).cast("double")
-    return F.col(c).cast("string")
+        return F.when(~F.isnan(c), F.col(c).cast("double"))      # NaN is missing
+    return compact(F.col(c).cast("string"))
 
 
 def proxy_evidence(df: DataFrame, target: str, columns=None) -> DataFrame:
@@ -175,7 +178,8 @@ def proxy_evidence(df: DataFrame, target: str, columns=None) -> DataFrame:
         return F.struct(*[(_family_value(df, c, f) if fams[c] == f else nul[f]).alias(f) for f in ("long", "double", "string")])
 
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), typed(c).alias("value"),
-                                 F.col(c).isNull().alias("is_null")) for c in cols])
+                                 (F.col(c).isNull() | F.isnan(c) if fams[c] == "double" else F.col(c).isNull()).alias("is_null"))
+                        for c in cols])
     long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
         "_e.column_name", "_e.value", "_e.is_null", "_t")
     triples = long.distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldline.functions.names import safe_col
+from foldline.functions.hashing import compact
 from foldline.functions.ordered import rank_within, spread
 
 # Fixed values shared with the reference's rules.
@@ -49,11 +50,19 @@ def numeric_categorical(df: DataFrame, exclude=()) -> tuple[list[str], list[str]
 
 
 def _unpivot_strings(df: DataFrame, cols: list[str]) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), compact(F.col(c).cast("string")).alias("value"))
                         for c in cols])
     return df.select(F.explode(entries).alias("_e")).select("_e.column_name", "_e.value")
 
 
+def distinct_counts(df: DataFrame, columns) -> dict[str, int]:
+    """Exact distinct non-null values of every column: one row per (column, value) is counted, not one copy of the table
+    per column."""
+    if not columns:
+        return {}
+    return {r["column_name"]: int(r["n_distinct"]) for r in column_profile(df, columns).collect()}      # one row per column
+
+
 def column_profile(df: DataFrame, columns=None) -> DataFrame:
     """PRJ-16: ``column_name, dtype, rows, missing, missing_pct, n_distinct`` (missing % desc).
 
@@ -157,13 +166,13 @@ def task_table(df: DataFrame, columns=None) -> DataFrame:
     aggs = []
     for c in num:
         x = F.col(c).cast("double")
-        aggs += [F.max((x != F.floor(x)).cast("int")).alias(f"f_{c}"), F.countDistinct(F.col(c)).alias(f"d_{c}")]
-    r = df.agg(*aggs).first()
+        aggs.append(F.max((x != F.floor(x)).cast("int")).alias(f"f_{c}"))
+    r, distinct = df.agg(*aggs).first(), distinct_counts(df, num)
     rows = []
     for c in num:
         is_float = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
         frac = bool(r[f"f_{c}"]) and is_float
-        nd = int(r[f"d_{c}"])
+        nd = distinct.get(c, 0)
         rows.append((c, frac, nd, "regression" if frac else "classification",
                      "regression" if nd > REGRESSION_MIN_DISTINCT else "classification"))
     return df.sparkSession.createDataFrame(
@@ -171,7 +180,7 @@ def task_table(df: DataFrame, columns=None) -> DataFrame:
 
 
 def type_advice(df: DataFrame, columns=None) -> DataFrame:
-    """PRJ-10/11: ``column_name, current, suggested`` from one min/max/distinct aggregate.
+    """PRJ-10/11: ``column_name, current, suggested`` from one min/max aggregate and one distinct count.
 
     Integers narrow to the smallest type whose bounds strictly contain [min, max]; floats to
     float when strictly inside ±3.4e38; strings get ``category`` when distinct/rows < 0.5.
@@ -182,10 +191,9 @@ def type_advice(df: DataFrame, columns=None) -> DataFrame:
     for c in cols:
         dt = df.schema[c].dataType
         if isinstance(dt, T.NumericType):
-            aggs += [F.min(c).cast("double").alias(f"mn_{c}"), F.max(c).cast("double").alias(f"mx_{c}")]
-        elif isinstance(dt, T.StringType):
-            aggs.append(F.countDistinct(c).alias(f"d_{c}"))
+            aggs += [F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}")]
     r = df.agg(*aggs).first()
+    distinct = distinct_counts(df, [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)])
     rows = []
     for c in cols:
         dt = df.schema[c].dataType
@@ -204,7 +212,7 @@ def type_advice(df: DataFrame, columns=None) -> DataFrame:
             sug = "float" if (mn is not None and mn > -FLOAT32_LIMIT and mx < FLOAT32_LIMIT) else "double"
         elif isinstance(dt, T.StringType):
             n = r["_rows"]
-            sug = "category" if n and r[f"d_{c}"] / n < DICTIONARY_RATIO else "string"
+            sug = "category" if n and distinct[c] / n < DICTIONARY_RATIO else "string"
         rows.append((c, cur, sug))
     return df.sparkSession.createDataFrame(rows, "column_name string, current string, suggested string")
 

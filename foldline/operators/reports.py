@@ -16,13 +16,6 @@ from foldline.functions.ordered import lag_within, null_safe_join, rank_within,
 
 PARETO_TOLERANCE = 1e-10
 RANK_DIGITS = 9          # scores are ranked at this precision, so that summation order can't decide a tie
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``limit`` rows; otherwise leave it to the planner."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
 
 
 def top_k(board: DataFrame, k: int = 5, by: str = "accuracy", tiebreak: Sequence[str] = ("framework",)) -> DataFrame:
@@ -90,7 +83,7 @@ def top_contributions(arr_features: Column, arr_values: Column, k: int = 10) ->
 def registry_lookup(df: DataFrame, registry: DataFrame, on: str, value_cols: Sequence[str],
                     default: str = "unknown") -> DataFrame:
     """JOI-05: left join a small registry (size checked) and fill unknown keys with a default."""
-    j = df.join(checked_broadcast(registry), on, "left")
+    j = df.join(registry, on, "left")      # broadcast if its bytes allow it: the planner's threshold
     for c in value_cols:
         j = j.withColumn(c, F.coalesce(F.col(c), F.lit(default)))
     return j

@@ -379,7 +379,7 @@ def joi_leaderboard_latency_lineitem(spark, sf_dir):
     fm = D.fold_metrics_df(spark, sf_dir)
     lb = fm.groupBy("framework").agg(F.avg("accuracy").alias("accuracy"))
     lat = ST.latency_quantiles(fm).select("framework", "predict_time_p95")
-    return lb.join(R.checked_broadcast(lat), "framework", "left")
+    return lb.join(lat, "framework", "left")
 
 
 @query("joi_registry_lookup_orders", f"""SELECT lb.dataset, lb.framework, coalesce(r.region, 'unknown') AS region
