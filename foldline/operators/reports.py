@@ -49,9 +49,12 @@ def pareto_front(df: DataFrame, cost: str, gain: str, keys: Sequence[str] = (),
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], sequence_col: str) -> DataFrame:
-    """WIN-08: last row per key by a sequence column."""
-    w = Window.partitionBy(*keys).orderBy(F.col(sequence_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """WIN-08: last row per key by a sequence column (rows of the same sequence value: the largest one by its other columns). One
+    aggregate, combined before the shuffle, so a hot key is one row per task."""
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(sequence_col, *[c for c in rest if c != sequence_col])
+    g = df.groupBy(*keys).agg(F.max(order).alias("_r"))
+    return g.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def zero_crossing_rate(df: DataFrame, keys: Sequence[str], order_value: Column, x: Column,

@@ -196,6 +196,15 @@ def read_json_reports(spark: SparkSession, pattern: str, schema=None) -> DataFra
     return r.schema(schema).json(pattern) if schema is not None else r.json(pattern)
 
 
+def read_json_lines(spark: SparkSession, pattern: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-06: ``(documents, unreadable)``: one JSON document per line; lines that are none are listed with their file and text."""
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), "value").where("trim(value) <> ''")
+    parsed = lines.withColumn("d", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    names = [f.name for f in parsed.schema["d"].dataType.fields if f.name != "_bad"]
+    return (parsed.where("d._bad is null").select(*[f"d.{n}" for n in names]),
+            parsed.where("d._bad is not null").select("file", F.col("value").alias("text")))
+
+
 def read_runtime_log(spark: SparkSession, pattern: str, record_schema: str) -> DataFrame:
     """SRC-06: a ``{section: [records]}`` log as a long ``section, record…`` table."""
     raw = spark.read.option("multiLine", True).text(pattern, wholetext=True)
