@@ -156,10 +156,10 @@ def first_k_predictions(pred: DataFrame, key: str, y_true: str, y_pred: str, cla
                         k: int = 10) -> DataFrame:
     """MET-09: the first k rows by key with class names (out-of-range codes give null names).
 
-    ``class_names`` is ``(code, name)`` — a registry, small by construction.
+    ``class_names`` is ``(code, name)``; the k rows are the small side.
     """
     top = pred.orderBy(key).limit(k)
-    names = F.broadcast(class_names)
+    names = class_names
     t = top.join(names.select(F.col("code").alias("_tc"), F.col("name").alias("true_name")),
                  F.col(y_true) == F.col("_tc"), "left")
     t = t.join(names.select(F.col("code").alias("_pc"), F.col("name").alias("pred_name")),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldline.functions.hashing import h8
 from foldline.functions.ordered import exact_percentiles, null_safe_join
+from foldline.operators.reports import RANK_DIGITS
 from foldline.functions.stats import normal_cdf, t_two_sided_p
 
 # Fixed values of the reference's summaries.
@@ -223,7 +224,7 @@ def wilcoxon_signed_rank(long: DataFrame, pair_on: Sequence[str] = ("seed", "fol
     b = long.select(F.col("framework").alias("framework_b"), "metric", *pair_on, F.col("value").alias("_vb"))
     cond = [a["metric"] == b["metric"], a["framework_a"] < b["framework_b"]] + [a[c] == b[c] for c in pair_on]
     d = a.join(b, cond).select("framework_a", "framework_b", a["metric"],
-                               (F.col("_va") - F.col("_vb")).alias("d")).where(F.col("d") != 0)
+                               F.round(F.col("_va") - F.col("_vb"), RANK_DIGITS).alias("d")).where(F.col("d") != 0)
     keys = ["framework_a", "framework_b", "metric"]
     ties = d.groupBy(*keys, F.abs("d").alias("_a")).agg(F.count(F.lit(1)).alias("_t"))
     w = Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)

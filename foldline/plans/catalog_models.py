@@ -124,6 +124,36 @@ def trn_cv_softmax_orders(spark, sf_dir):
     return TR.run_experiment(spec, lambda: SoftmaxBoosting(3, rounds=10, depth=4), cfg).folds
 
 
+_PRED_SQL = _SUITE_SQL[:_SUITE_SQL.index("SELECT 'linear' AS estimator_name")].replace("[42, 77]", "[42]")
+
+
+@query("trn_predictions_part", _PRED_SQL + """
+SELECT p.p_brand, CAST(q.fold AS INTEGER) AS fold, count(*) AS n, round(avg(q.h), 6) AS mean_prediction, round(avg(abs(q.y - q.h)), 6) AS mean_error
+FROM (SELECT f.p_partkey, f.fold, f.y, my + ay / va * (x - ma) AS h FROM f JOIN c ON f.seed = c.seed AND f.fold = c.g) q JOIN part p USING (p_partkey)
+GROUP BY ALL""")
+def trn_predictions_part(spark, sf_dir):
+    """JOI-08: held-out predictions of every fold joined to the rows by key, summed up by brand."""
+    from pyspark.ml.regression import LinearRegression
+
+    from foldline.operators import training as TR
+    p = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 100.0).alias("y"), F.col("p_size").cast("double").alias("x"))
+    spec = TR.make_spec(p, ["p_partkey"], "y", "regression")
+    r = TR.run_experiment(spec, lambda: LinearRegression(solver="normal"), TR.ExperimentConfig(name="linear", seeds=(42,), k=_SUITE_K))
+    j = r.predictions.join(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return j.groupBy("p_brand", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_prediction"),
+                                            F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mean_error"))
+
+
+@query("trn_mlp_holdout_part", None)
+def trn_mlp_holdout_part(spark, sf_dir):
+    """TRN-10: the feed-forward network on a stratified holdout (part: size above 25)."""
+    from foldline.operators import training as TR
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_brand", "p_type", (F.col("p_size") > 25).cast("int").alias("big"))
+    spec = TR.make_spec(p, ["p_partkey"], "big", "classification")
+    cfg = TR.ExperimentConfig(name="mlp", seeds=(42,))
+    return TR.run_experiment(spec, TR.FeedForward, cfg, folds=TR.assign_folds(spec, cfg, holdout=True)).folds
+
+
 # --- one-hot of any width -------------------------------------------------------------------
 
 def _line_fold():

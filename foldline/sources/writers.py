@@ -3,6 +3,7 @@ per-dataset archives with dynamic partition overwrite, model size, guardrail doc
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from foldline.operators.guardrails import audit_index
 from foldline.operators.reports import upsert
 
 
-def write_twin(df: DataFrame, base_path: str, single_file: bool = True) -> None:
+def write_twin(df: DataFrame, base_path: str, single_file: bool = False) -> None:
     """SNK-01: the same table as CSV (header) and JSON records.
 
     ``single_file`` coalesces to one part file — only for report tables (small by construction).
@@ -36,13 +37,7 @@ def append_sections(records: DataFrame, out_path: str, fmt: str = "json") -> Non
 
 def archive_dataset(df: DataFrame, out_path: str, fmt: str = "parquet") -> None:
     """SNK-04: replace only the partitions of the datasets present in ``df`` (dynamic overwrite)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("dataset").format(fmt).save(out_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").format(fmt).save(out_path)
 
 
 def write_guardrails(docs: DataFrame, out_path: str) -> DataFrame:
@@ -53,6 +48,12 @@ def write_guardrails(docs: DataFrame, out_path: str) -> DataFrame:
     return idx
 
 
+def write_config(spark, config: dict, out_path: str) -> None:
+    """SNK-07: the provenance snapshot of a run as one JSON document."""
+    text = json.dumps(config, sort_keys=True, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(out_path)
+
+
 def folder_size_bytes(spark, path: str) -> int:
     """SNK-05 helper: total bytes under a folder (Hadoop content summary, no data read)."""
     jvm = spark.sparkContext._jvm

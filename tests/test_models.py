@@ -199,3 +199,25 @@ def test_isolation_forest_is_the_same_for_any_partitioning(spark):
     for t, smallest in draws.items():
         assert [r["x"] for r in got.where(F.col("tree") == t).orderBy("_rk").collect()] == [x[i] for _, i in smallest]
     assert AN._sample(feats.where("id < 20"), ["id"], 3, 64, 42).count() == 60
+
+
+def test_holdout_runner_skip_rule_and_written_config(spark, tmp_path):
+    from foldline.sources.writers import write_config
+    rows = [(i, float(i % 20), "rare" if i in (7, 8) else ("hi" if i % 20 > 9 else "lo")) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, y string")
+    spec = TR.make_spec(df, ["id"], "y", "classification")
+    cfg = TR.ExperimentConfig(name="h", seeds=(1,), k=5)
+    assert [r[0] for r in TR.assign_folds(spec, cfg).df.select("fold").distinct().orderBy("fold").collect()] == [-1, 0]   # 2 rows, 5 folds
+    two = TR.make_spec(df.where("y <> 'rare'"), ["id"], "y", "classification")
+    folds = TR.assign_folds(two, cfg, holdout=True)
+    assert {(r["y"], r["count"]) for r in folds.df.where("fold = 0").groupBy("y").count().collect()} == {("hi", 12), ("lo", 12)}
+    r = TR.run_experiment(two, lambda: TR.FeedForward(hidden=(8,), iterations=60), cfg, folds=folds)
+    got = r.folds.collect()
+    assert len(got) == 1 and got[0]["n"] == 24 and got[0]["accuracy"] > 0.9
+    write_config(spark, r.config, f"{tmp_path}/config")
+    assert '"name": "h"' in spark.read.text(f"{tmp_path}/config").first()[0]
+    out, errors = TR.run_suite(TR.make_spec(df.limit(10), ["id"], "y", "classification"), {}, cfg)
+    assert out is None and "fewer than 40 rows" in errors[0]["error"]
+    fill = TR.run_experiment(two, lambda: TR.default_estimator("classification", 2, "tree"),
+                             TR.ExperimentConfig(name="raw", seeds=(1,), k=2, skip_preprocessing=True)).folds.collect()
+    assert len(fill) == 2 and all(f["accuracy"] > 0.95 for f in fill)
