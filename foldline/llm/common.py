@@ -75,11 +75,9 @@ def fold_of(id_col: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int, max_chars: int) -> list:
-    """A bounded sample to fit on: at most ``per_class`` documents of each label whose fold ``train`` accepts
-    and whose text has at most ``max_chars`` characters, in the order of a hash of their id.
-
-    Returns ``[(doc_id, text, label)]`` in that order. Scoring is never limited this way."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int, max_chars: int) -> DataFrame:
+    """A bounded sample to fit on, ``doc_id, y, draw, text``: at most ``per_class`` documents of each label whose fold ``train``
+    accepts and whose text has at most ``max_chars`` characters; ``draw`` is a hash of the id. Scoring is never limited this way."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
     own = own.where(F.col("y").isin(0, 1) & train).groupBy("doc_id").agg(F.max("y").alias("y"))
     size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("n"))
@@ -91,8 +89,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class rows of three numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "draw").agg(
-        F.min("text").alias("text")).collect()
+    return texts.where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "draw").agg(
+        F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int, max_chars: int) -> list:
+    """The rows of :func:`labelled_rows` on the driver: ``[(doc_id, text, label)]`` in the order of their draw."""
+    rows = labelled_rows(docs, labels, target, train, per_class, max_chars).collect()
     return [(r["doc_id"], r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"]))]
 
 

@@ -24,6 +24,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from foldline.llm.common import fit_logistic, fold_of, labelled_sample, table
+from foldline.llm.common import fit_logistic, fold_of, labelled_rows, table
 from foldline.llm.textops import slices
 
 FOLDS, HELD_OUT = 3, 1
@@ -168,9 +169,18 @@ def _score(model: dict | None):
     return run
 
 
+def _fit_rows(batches):
+    """The model of the sample's rows, pickled: the sample is bounded and stays in one task, off the driver."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("draw", "doc_id", "text", "y")))]
+    sample = [(doc_id, text, y) for _, doc_id, text, y in sorted(rows, key=lambda r: r[:2])]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     train = fold_of("doc_id", FOLDS) != HELD_OUT
-    return fit(labelled_sample(docs, labels, "toxic", train, TRAIN_DOCS, TRAIN_CHARS))
+    sample = labelled_rows(docs, labels, "toxic", train, TRAIN_DOCS, TRAIN_CHARS)
+    got = sample.repartition(1).mapInArrow(_fit_rows, "model binary").first()
+    return None if got is None else pickle.loads(bytes(got["model"]))
 
 
 def toxicity_scores(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, keep=("doc_id",)) -> DataFrame:
