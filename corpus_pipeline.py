@@ -107,7 +107,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row is repeated as often as it is taken; rows without words are never taken and go. Rows that repeat an id are taken row by row."""
+    """A row is repeated as often as it is taken (zero times: it goes); a row without words adds nothing and follows its source's rate.
+    Rows that repeat an id are taken row by row."""
     d = _numbered(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = stored(d.select(F.col("row").alias("doc_id"), "source", size.alias("size")), "sizes")
