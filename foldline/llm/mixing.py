@@ -3,10 +3,14 @@
 Sizes are word counts; a source's size is the sum over its documents. Targets share the total size by
 weight, stop at ``max_rate`` times their source's size, and the excess is shared again by weight.
 
-Entropy balancing looks for token rates r close to 1 (relative entropy weighted by size) that meet
-``sum(size * r) = target`` in every source. The solution is an exponential tilt ``r = exp(lam)``; the dual
-``sum(size * exp(lam)) - target * lam`` is convex and each source's multiplier is found by Newton steps
-``lam += target / (size * exp(lam)) - 1``, run side by side over the distributed table of sources.
+Entropy balancing looks for document rates r close to 1 (relative entropy weighted by size, r at most ``max_rate``) that
+meet every token constraint ``sum(size * r over the documents of a category) = target``; a document may take part in several
+(its source, its language, ...). The solution is an exponential tilt ``r = min(exp(sum of its categories' multipliers),
+max_rate)``, and the multipliers solve a convex dual. It is solved by Newton iterations, one grouping at a time: one distributed
+aggregate gives every category's gradient (tokens taken minus target) and curvature (tokens of documents below the limit), a step
+is at most ``MAX_STEP`` long, and multipliers are a stored table. Documents of equal categories have equal rates, so they are added up
+to cells once, before the iterations. It ends when every gradient is below ``TOLERANCE`` of its target, or its documents
+are all at the limit.
 
 Rounding: every document gets ``floor(r)`` copies. The words still missing are taken as one more copy
 of documents in the order of a hash of their id. Documents larger than what is missing are set aside, the others
@@ -21,16 +25,19 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldline.llm.common import stored, table
+from foldline.llm.common import stored, table, temporary
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_RATE = 3
 BINS = 256
-NEWTON_STEPS = 80
+MAX_STEP = 0.7              # of a multiplier: a rate at most doubles or halves
+TOLERANCE = 1e-11          # of a target
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -68,10 +75,45 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
     return s.withColumn("target", F.least(cap.cast("double"), F.col("weight") * share)).drop("weight", "position")
 
 
-def _newton():
-    """The multiplier of a source with ``source_size`` and ``target``."""
-    step = lambda lam, _: lam + (F.col("target") / (F.col("source_size") * F.exp(lam)) - 1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
+def entropy_balance(docs: DataFrame, targets: dict[str, DataFrame], max_rate: float = MAX_RATE, size: str = "size",
+                    rounds: int = 200) -> dict[str, DataFrame]:
+    """The multipliers ``category, lam`` of every grouping column of ``docs`` named in ``targets`` (``category, target`` tables).
+
+    Raises when the constraints can't be met together within ``rounds`` steps over every grouping."""
+    spark = docs.sparkSession
+    names = list(targets)
+    cells = docs.groupBy(*names).agg(F.sum(size).cast("double").alias("tokens")).where("tokens > 0")
+    cells = stored(cells, "cells")
+    lam = {n: stored(targets[n].select("category", F.col("target").cast("double").alias("target"), F.lit(0.0).alias("lam")), "multipliers")
+           for n in names}
+
+    def tilted() -> DataFrame:
+        d = cells
+        for n in names:
+            own = lam[n].select(F.col("category").alias(f"_c_{n}"), F.col("lam").alias(f"_l_{n}"))
+            d = d.join(own, F.col(n).eqNullSafe(F.col(f"_c_{n}"))).drop(f"_c_{n}")
+        power = sum((F.col(f"_l_{n}") for n in names), F.lit(0.0))
+        return d.withColumn("free", power < math.log(max_rate)).withColumn("rate", F.least(F.exp(power), F.lit(float(max_rate))))
+
+    for _ in range(rounds):
+        settled = True
+        for n in names:
+            with temporary(spark):
+                taken = F.col("tokens") * F.col("rate")
+                sums = tilted().groupBy(n).agg(F.sum(taken).alias("got"), F.sum(F.when(F.col("free"), taken).otherwise(0.0)).alias("bend"))
+                j = lam[n].join(sums.withColumnRenamed(n, "_n"), F.col("category").eqNullSafe(F.col("_n")), "left")
+                gap = F.col("target") - F.coalesce("got", F.lit(0.0))
+                # at the limit: only a way back is of use
+                step = F.when(F.col("bend") > 0, gap / F.col("bend")).otherwise(F.when(gap < 0, -MAX_STEP).otherwise(0.0))
+                step = F.when(F.col("got").isNull(), 0.0).otherwise(F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), step)))
+                off = F.col("got").isNotNull() & (F.abs(gap) > TOLERANCE * F.col("target")) & ~((gap > 0) & (F.col("bend") <= 0))
+                moved = stored(j.select("category", "target", (F.col("lam") + F.when(off, step).otherwise(0.0)).alias("lam"), off.alias("off")),
+                               "multipliers", keep=True)
+            lam[n] = moved.drop("off")
+            settled &= moved.where("off").isEmpty()
+        if settled:
+            return {n: t.drop("target") for n, t in lam.items()}
+    raise ValueError("the constraints can't be met together")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, text: str = "text") -> DataFrame:
@@ -97,9 +139,12 @@ def _draw(rest: DataFrame, bins: DataFrame, left: DataFrame) -> DataFrame:
 def mix_sizes(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """The mix over a stored table ``doc_id, source, size``."""
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rate = F.when(F.col("target") > 0, F.exp(_newton())).otherwise(0.0)
     near = F.round("rate", 9)
-    src = targets(sources, weights, max_rate).withColumn("rate", rate)
+    src = targets(sources, weights, max_rate)
+    goal = src.where("target > 0").select(F.col("source").alias("category"), "target")
+    tilt = entropy_balance(sizes, {"source": goal}, max_rate)["source"].withColumnRenamed("category", "_c")
+    rate = F.when(F.col("lam").isNotNull(), F.least(F.exp("lam"), F.lit(float(max_rate)))).otherwise(0.0)
+    src = src.join(tilt, F.col("source").eqNullSafe(F.col("_c")), "left").withColumn("rate", rate).drop("_c", "lam")
     src = src.withColumn("whole", F.least(F.floor(near), F.lit(max_rate)).cast("long"))
     src = src.withColumn("missing", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     src = src.withColumn("missing", F.when(F.col("whole") >= max_rate, 0.0).otherwise(F.col("missing")))
