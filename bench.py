@@ -38,6 +38,7 @@ HEADLINE = [
     "stx_target_encoding_lineitem",
     "str_request_counts_events",
     "ano_isolation_forest_lineitem",
+    "trn_refit_score_orders",
 ]
 
 

@@ -204,7 +204,6 @@ def isolation_forest(df: DataFrame, key: Sequence[str], numeric: Sequence[str],
     return s.crossJoin(thr).withColumn("is_anomaly", F.col("anomaly_score") > F.col("t_0")).drop("t_0")  # 1 row
 
 
-def top_anomalies(scored: DataFrame, key: str, n: int = 50) -> DataFrame:
+def top_anomalies(scored: DataFrame, key: Sequence[str], n: int = 50) -> DataFrame:
     """WIN-07: the n highest scores (TakeOrderedAndProject; ties by key)."""
-    return scored.orderBy(F.col("anomaly_score").desc(), key).limit(n).select(
-        F.col(key).alias("row_index"), "anomaly_score")
+    return scored.orderBy(F.col("anomaly_score").desc(), *key).limit(n)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.functions.hashing import h15, uniform
-from foldline.functions.ordered import cumsum_within, null_safe_join, rank_within, spread
+from foldline.functions.ordered import null_safe_join, rank_within, spread
 
 DEFAULT_SEEDS = (42, 77)
 
@@ -39,12 +39,9 @@ def stratified_kfold(df: DataFrame, id_cols: Sequence[str], label: str, k: int =
     (in label order) stopped — fold sizes differ by at most one overall and per class."""
     ids = list(id_cols)
     d = with_seeds(df, seeds).withColumn("_h", h15(F.col("seed"), *[F.col(c) for c in ids]))
-    r = rank_within(d, ["seed", label], F.col("_h"), tiebreak=ids, out="_rk", n_buckets=n_buckets)
-    counts = d.groupBy("seed", label).agg(F.count(F.lit(1)).alias("_n"))
-    off = cumsum_within(counts, ["seed"], F.lit(0), {"_cum": F.col("_n")}, tiebreak=[label], n_buckets=1)
-    off = off.select("seed", label, (F.col("_cum") - F.col("_n")).alias("_off"))
-    out = null_safe_join(r, off, ["seed", label])
-    return out.withColumn("fold", ((F.col("_rk") + F.col("_off")) % k).cast("int")).drop("_h", "_rk", "_off")
+    # in the order (label, hash) a row's place is its rank within the class plus the sizes of the classes before: one rank
+    r = rank_within(d, ["seed"], F.col(label), tiebreak=["_h", *ids], out="_rk", n_buckets=n_buckets)
+    return r.withColumn("fold", (F.col("_rk") % k).cast("int")).drop("_h", "_rk")
 
 
 def holdout(df: DataFrame, id_cols: Sequence[str], label: str | None = None, test_fraction: float = 0.2,

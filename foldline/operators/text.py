@@ -19,10 +19,9 @@ MAX_FEATURES = 10000
 SPAM_LABEL = "spam"
 
 
-def english_stop_words(spark) -> list[str]:
+def english_stop_words() -> list[str]:
     """Spark ML's built-in English stop-word list."""
     from pyspark.ml.feature import StopWordsRemover
-    _ = spark
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
@@ -88,30 +87,29 @@ def labelled_text(df: DataFrame, label_col: str = "label", text_col: str = "text
     return d.withColumn(label_col, lab.cast("int"))
 
 
-def tfidf_vectors(weights: DataFrame, vocabulary: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Sparse ``features`` vectors per doc from TF-IDF rows (term index = rank in the vocabulary). Every row of
-    ``docs (doc)`` gets a vector; without a term of the vocabulary it is zero."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.sql import Window
-    # the vocabulary has at most max_features rows, so one ordered window over it is bounded
-    voc = vocabulary.select("term").withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
-    size = voc.count()
-    j = weights.join(F.broadcast(voc), "term")
-    grouped = j.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
-
-    if docs is not None:
-        grouped = docs.select("doc").join(grouped, "doc", "left")
+def token_arrays(df: DataFrame, text_col: str, stop_words: Sequence[str] | None = None, out: str = "tokens") -> DataFrame:
+    """``df`` with the tokens of its whole texts as an array (a null text has none)."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
+    if stop_words:
+        found = F.filter(found, lambda t: ~t.isin(list(stop_words)))
+    return df.withColumn(out, found)
 
-    @F.udf(VectorUDT())
-    def to_vec(entries):
-        entries = entries or []
-        return SparseVector(size, [e["idx"] for e in entries], [e["weight"] for e in entries])
 
-    return grouped.select("doc", to_vec("_e").alias("features")), size
+def vectorizer(vocabulary: DataFrame, input_col: str = "tokens"):
+    """A ``PipelineModel`` from token arrays to L2-normalised TF-IDF ``features`` (term index = place in the sorted vocabulary, which has
+    at most ``max_features`` rows). Texts without a term of the vocabulary get a zero vector."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+    rows = vocabulary.select("term", "idf").orderBy("term").collect()
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=input_col, outputCol="_tf")
+    weights = ElementwiseProduct(scalingVec=Vectors.dense([float(r["idf"]) for r in rows]), inputCol="_tf", outputCol="_tfidf")
+    return PipelineModel([counts, weights, Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)])
 
 
 def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col: str, k: int = 5, seed: int = 42,
-                          max_features: int = MAX_FEATURES, reg: float | None = None) -> DataFrame:
+                          max_features: int = MAX_FEATURES, reg: float | None = None,
+                          stop_words: Sequence[str] | None = None) -> DataFrame:
     """TRN-11: TF-IDF (vocabulary fitted per training fold) + logistic regression, stratified k-fold.
 
     Returns per-fold ``fold, n, accuracy, f1_macro, roc_auc, avg_precision, fit_time_sec``;
@@ -124,38 +122,32 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
     from foldline.operators.metrics import evaluate
     from foldline.operators.splits import stratified_kfold
 
-    folds = stratified_kfold(df.select(doc_col, text_col, label_col), [doc_col], label_col, k=k, seeds=[seed])
-    folds = folds.drop("seed").cache()
     from pyspark.ml.functions import vector_to_array
-    lab = folds.select(F.col(doc_col).alias("doc"), F.col(label_col).cast("double").alias("label"))
 
-    # tokenise every whole text once; folds reuse the materialised term counts
     from foldline.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    tf_all = term_counts(folds, doc_col, text_col).checkpoint(eager=True)
-    fold_docs = folds.select(F.col(doc_col).alias("doc"), "fold")
-    sizes = {r["fold"]: r["n"] for r in fold_docs.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds = stratified_kfold(df.select(doc_col, text_col, label_col), [doc_col], label_col, k=k, seeds=[seed])
+    # tokenise every whole text once; folds reuse the stored tokens
+    rows = token_arrays(folds, text_col, stop_words).select(F.col(doc_col).alias("doc"), "fold", F.col(label_col).cast("double").alias("label"),
+                                                            "tokens").checkpoint()
+    counts = rows.select("doc", "fold", F.explode("tokens").alias("term")).groupBy("doc", "fold", "term").agg(
+        F.count(F.lit(1)).alias("tf")).checkpoint()
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def one(g: int):
-        tr_docs = fold_docs.where(F.col("fold") != g).select("doc")
-        te_docs = fold_docs.where(F.col("fold") == g).select("doc")
-        tf_tr = tf_all.join(tr_docs, "doc", "left_semi")
-        tf_te = tf_all.join(te_docs, "doc", "left_semi")
         n_train = sum(n for f, n in sizes.items() if f != g)
-        voc = fit_vocabulary(n_train, tf_tr, max_features).cache()
-        x_tr, _ = tfidf_vectors(weights_from_counts(tf_tr, voc), voc, tr_docs)
-        x_te, _ = tfidf_vectors(weights_from_counts(tf_te, voc), voc, te_docs)
-        train_set = x_tr.join(lab, "doc").cache()
+        vectors = vectorizer(fit_vocabulary(n_train, counts.where(F.col("fold") != g).drop("fold"), max_features))
+        train_set = vectors.transform(rows.where(F.col("fold") != g)).select("features", "label").cache()
         # L2 strength of C = 1 in the (sum-of-losses) primal form: regParam = 1 / (C · n_train)
         rp = reg if reg is not None else 1.0 / max(n_train, 1)
         t0 = time.time()
         model = LogisticRegression(maxIter=100, regParam=rp).fit(train_set)
         fit_s = time.time() - t0
         train_set.unpersist()
-        p = model.transform(x_te.join(lab, "doc")).select(
+        p = model.transform(vectors.transform(rows.where(F.col("fold") == g))).select(
             F.lit(g).alias("fold"), F.col("label").cast("int").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability")[1].alias("score"))
-        return (g, fit_s), p.cache()
+        return (g, fit_s), p.checkpoint()
 
     # independent folds are submitted concurrently; the cluster runs their jobs side by side
     from concurrent.futures import ThreadPoolExecutor
@@ -169,9 +161,4 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
     m = evaluate(allp, ["fold"], "classification", score="score")
     ft = df.sparkSession.createDataFrame(fit_times, "fold int, fit_time_sec double")
     res = m.join(ft, "fold")
-    # k summary rows: materialise them, then release the per-fold caches held by this session
-    out = df.sparkSession.createDataFrame(res.collect(), res.schema)
-    for p in preds:
-        p.unpersist()
-    folds.unpersist()
-    return out
+    return res

@@ -141,12 +141,12 @@ def str_scores_events(spark, sf_dir):
 @query("ano_isolation_forest_lineitem", None)
 def ano_isolation_forest_lineitem(spark, sf_dir):
     """ANO-01 + WIN-07: isolation forest (200 trees) over lineitem; the 50 highest scores."""
-    from foldline.operators.anomaly import isolation_forest
+    from foldline.operators.anomaly import isolation_forest, top_anomalies
     li = _t(spark, sf_dir, "lineitem")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     s = isolation_forest(li, key, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
                          ["l_returnflag", "l_linestatus"])
-    return s.orderBy(F.col("anomaly_score").desc(), *key).limit(50)
+    return top_anomalies(s, key, 50)
 
 
 @query("trn_cv_gbt_orders", None)
@@ -226,10 +226,10 @@ def trn_budgeted_search_orders(spark, sf_dir):
 
 @query("trn_text_cv_documents", None)
 def trn_text_cv_documents(spark, sf_dir):
-    """TRN-11: TF-IDF + logistic regression, stratified 5-fold, on documents ⋈ quality labels."""
-    from foldline.operators.text import text_cross_validation
+    """TRN-11: TF-IDF without English stop words + logistic regression, stratified 5-fold, on documents ⋈ quality labels."""
+    from foldline.operators.text import english_stop_words, text_cross_validation
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "quality")
-    return text_cross_validation(d, "doc_id", "text", "quality", k=5)
+    return text_cross_validation(d, "doc_id", "text", "quality", k=5, stop_words=english_stop_words())
 
 
 

@@ -55,9 +55,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="foldline-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for materialised intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)

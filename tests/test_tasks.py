@@ -314,9 +314,11 @@ def test_importances_of_a_multinomial_model(spark):
 def test_text_vectors_of_documents_without_known_terms(spark):
     from foldline.operators import text as TX
 
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "!!"), (3, "beta")], "doc int, text string")
-    tf = TX.term_counts(docs, "doc", "text")
+    docs = spark.createDataFrame([(1, "alpha beta the"), (2, "!!"), (3, "beta"), (4, None)], "doc int, text string")
+    tf = TX.term_counts(docs, "doc", "text", ["the"])
     voc = TX.fit_vocabulary(3, tf)
-    vec, size = TX.tfidf_vectors(TX.weights_from_counts(tf, voc), voc, docs)
-    got = {r["doc"]: r["features"].numNonzeros() for r in vec.collect()}
-    assert got == {1: 2, 2: 0, 3: 1} and size == 2
+    vec = TX.vectorizer(voc).transform(TX.token_arrays(docs, "text", TX.english_stop_words()))
+    got = {r["doc"]: r["features"] for r in vec.collect()}
+    assert {d: v.numNonzeros() for d, v in got.items()} == {1: 2, 2: 0, 3: 1, 4: 0}
+    weights = {(r["doc"], r["term"]): r["weight"] for r in TX.weights_from_counts(tf, voc).collect()}
+    assert all(v.size == 2 for v in got.values()) and abs(got[1][0] - weights[1, "alpha"]) < 1e-12 and abs(got[1][1] - weights[1, "beta"]) < 1e-12
