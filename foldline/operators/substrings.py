@@ -1,10 +1,10 @@
 """Which texts contain any token of a table (JOI-07), with one plan at any number of tokens.
 
-Every token is posted under one of its grams: the grams have a power-of-two length (the largest one within the
-token, at most ``MAX_GRAM``), and the token's gram that the fewest tokens share is the one, so that tokens with a common
-beginning don't meet each other's texts. A text emits its distinct grams of those few lengths, cut from its
-characters in one pass; equal grams meet in a salted equi-join, and each meeting is verified by ``contains``.
-The work grows with the characters of texts and tokens, not with their product, and no side is broadcast.
+Different texts are stored once and meet the tokens in ascending order of token length; a text that has one leaves. Tokens
+shorter than ``MAX_GRAM`` are met whole: a text emits its distinct grams of exactly that length, so a meeting is a hit and no
+token meets texts that merely share a part of it. Longer tokens are posted under one of their ``MAX_GRAM``-grams, the one
+that the fewest tokens share, and each meeting is verified by ``contains``. At most ``MAX_GRAM`` rounds; the work grows with
+the characters of texts and tokens, not with their product. Only token lists of at most ``BROADCAST_TOKENS`` are broadcast.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldline.session import checkpoint_dir
+
 MAX_GRAM = 16
-SALTS = 16
+SALTS = 4                      # copies of a long token list, so that a frequent gram of the texts is cut into several tasks
+BROADCAST_TOKENS = 100_000
 
 
 def _grams(chars: Column, q: Column | int) -> Column:
@@ -42,23 +45,45 @@ def token_postings(tokens: DataFrame) -> DataFrame:
         "tok", "q", F.col("best.gram").alias("gram"))
 
 
+def _met(long: DataFrame, posted: DataFrame, n_posted: int, n_texts: int, how: str) -> DataFrame:
+    """Equi-join of ``long(id, gram)`` and ``posted(gram, ...)``."""
+    if n_posted <= BROADCAST_TOKENS:
+        return long.join(F.broadcast(posted), "gram", how)
+    salts = SALTS if n_texts > BROADCAST_TOKENS else 1
+    long = long.withColumn("salt", F.pmod(F.col("id"), F.lit(salts)).cast("int"))
+    posted = posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the sizes of exploded rows can't be estimated before they are made, so a broadcast is ruled out
+    return long.join(posted.hint("merge"), ["gram", "salt"], how)
+
+
 def texts_with_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Distinct ``column_name, value`` of ``texts(column_name, value)`` whose value contains a token of ``tokens(tok)``.
 
-    Grams travel with a digest of their text, not with the text; a text is shuffled once, to meet its candidate tokens."""
-    posted = token_postings(tokens)
-    lengths = sorted(r["q"] for r in posted.select("q").distinct().collect())       # powers of two up to MAX_GRAM
-    if not lengths:
-        return texts.select("column_name", "value").limit(0)
-    posted = posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    texts = texts.select("column_name", "value", F.sha2("value", 256).alias("id")).where("value <> ''")
-    marked = lambda q: F.transform(_grams(F.col("chars"), q), lambda g: F.struct(F.lit(q).alias("q"), g.alias("gram")))
-    grams = F.concat(*[marked(q) for q in lengths])
-    long = texts.withColumn("chars", F.split("value", "")).select("id", F.explode(grams).alias("g")).select(
-        "id", "g.q", "g.gram", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    # the sizes of exploded rows can't be estimated before they are made, so a broadcast is ruled out
-    met = long.join(posted.hint("merge"), ["q", "gram", "salt"]).select("id", "tok").distinct()
-    candidates = met.groupBy("id").agg(F.collect_list("tok").alias("toks"))         # as many as the text has grams, about
-    one = texts.dropDuplicates(["column_name", "id"])
-    found = one.join(candidates.hint("merge"), "id").where(F.exists("toks", lambda t: F.contains(F.col("value"), t)))
-    return found.select("column_name", "value")
+    Grams travel with the number of their text, not with the text."""
+    checkpoint_dir(texts.sparkSession)
+    toks = tokens.select(F.col("tok").cast("string").alias("tok")).where("tok <> ''").distinct().withColumn(
+        "q", F.least(F.length("tok"), F.lit(MAX_GRAM))).checkpoint()
+    rounds = sorted((r["q"], r["n"]) for r in toks.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect())   # up to MAX_GRAM rows
+    out = texts.select("column_name", "value").limit(0)
+    if not rounds:
+        return out
+    rest = texts.select("column_name", "value").where("value <> ''").distinct().withColumn(
+        "id", F.monotonically_increasing_id()).checkpoint()
+    for q, n in rounds:
+        n_texts = rest.count()
+        if not n_texts:
+            break
+        now = toks.where(F.col("q") == q)
+        long = rest.select("id", F.explode(_grams(F.split("value", ""), F.lit(q))).alias("gram"))
+        if q < MAX_GRAM:
+            hits = _met(long, now.select(F.col("tok").alias("gram")), n, n_texts, "left_semi").select("id").distinct()
+        else:
+            met = _met(long, token_postings(now).select("gram", "tok"), n, n_texts, "inner").select("id", "tok").distinct()
+            candidates = met.groupBy("id").agg(F.collect_list("tok").alias("toks"))     # as many as the text has grams, about
+            hits = rest.join(candidates.hint("merge"), "id").where(
+                F.exists("toks", lambda t: F.contains(F.col("value"), t))).select("id")
+        hits = hits.checkpoint()
+        out = out.unionByName(rest.join(hits, "id", "left_semi").select("column_name", "value"))
+        if q != rounds[-1][0]:
+            rest = rest.join(hits, "id", "left_anti").checkpoint()
+    return out

@@ -120,3 +120,25 @@ def test_cross_fold_duplicates(spark):
     f = kfold(df, ["id"], k=5, seeds=[42])
     r = G.cross_fold_duplicates(f, ["text"]).first()
     assert r["groups"] == 10 and r["rows"] == 100
+
+
+def test_numbers_meet_only_the_texts_that_hold_them(spark, monkeypatch):
+    """Tokens of one length share most of their parts (order keys): a text meets those it holds, and none after its first."""
+    import random
+
+    from foldline.operators import substrings as B
+    rng = random.Random(7)
+    tokens = sorted({str(rng.randrange(1000000, 1010000)) for _ in range(2000)}) + ["777", "88888888888888888888"]
+    texts = [("a", f"/c/{rng.randrange(1000000, 1010000)}/777") for _ in range(50)]
+    texts += [("b", f"/c/{rng.randrange(1000000, 1010000)}/1") for _ in range(300)] * 5 + [("b", "x88888888888888888888")]
+    met = []
+    join = B._met
+    monkeypatch.setattr(B, "_met", lambda *a: met.append(join(*a)) or met[-1])
+    for limit in (100_000, 1):                        # the second one joins by salted shuffles
+        monkeypatch.setattr(B, "BROADCAST_TOKENS", limit)
+        met.clear()
+        tok = spark.createDataFrame([(t,) for t in tokens], "tok string")
+        got = sorted(tuple(r) for r in B.texts_with_tokens(spark.createDataFrame(texts, "column_name string, value string"), tok).collect())
+        assert got == sorted({(c, v) for c, v in texts if any(t in v for t in tokens)})
+        assert len(met) == 3                          # one round for each token length
+        assert sum(m.count() for m in met) <= 50 + 300 + 5
