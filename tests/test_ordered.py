@@ -87,3 +87,31 @@ def test_default_is_bucketed_at_every_size_and_empty_input_works(spark):
     assert O.rank_within(small.where("id < 0"), ["g"], F.col("id")).count() == 0
     groups = spark.range(3000).selectExpr("id div 3 AS g")
     assert group_kfold(groups, "g", 5).groupBy("fold").count().count() == 5
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(6000).select(F.xxhash64("id").alias("h"), "id").checkpoint()
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 100)
+    r = O.rank_within(df, [], F.col("h"), out="r")
+    sizes = [x["count"] for x in r.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1500 and len(sizes) > 25        # at most 4 tasks before, one for each shuffle partition
+    plain = O.rank_within(df, [], F.col("h"), out="r", n_buckets=1)
+    assert r.exceptAll(plain).count() == 0 and r.count() == 6000
+    c = O.cumsum_within(df, [], F.col("h"), {"s": F.col("id")})
+    assert c.exceptAll(O.cumsum_within(df, [], F.col("h"), {"s": F.col("id")}, n_buckets=1)).count() == 0
+
+
+def test_one_large_file_is_spread_by_its_size(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    spark.range(200_000).select("id", F.xxhash64("id").alias("v")).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    # a split of 1 KB makes the old rule (bytes against splits per core) leave the file to its one row group
+    monkeypatch.setattr(O, "SPREAD_BYTES", 100_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        s = O.spread(one.select("id"))
+        got = [x["count"] for x in s.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) > 10 and max(got) < 40_000 and sum(got) == 200_000
