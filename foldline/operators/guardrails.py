@@ -177,17 +177,20 @@ def proxy_evidence(df: DataFrame, target: str, columns=None) -> DataFrame:
     def typed(c):
         return F.struct(*[(_family_value(df, c, f) if fams[c] == f else nul[f]).alias(f) for f in ("long", "double", "string")])
 
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), typed(c).alias("value"),
-                                 (F.col(c).isNull() | F.isnan(c) if fams[c] == "double" else F.col(c).isNull()).alias("is_null"))
-                        for c in cols])
+    # columns go by their place in ``cols``, and a missing value has no field set: keys stay narrow
+    entries = F.array(*[F.struct(F.lit(i).alias("column_no"), typed(c).alias("value")) for i, c in enumerate(cols)])
     long = df.select(tcol.alias("_t"), F.explode(entries).alias("_e")).select(
-        "_e.column_name", "_e.value", "_e.is_null", "_t")
+        "_e.column_no", "_e.value.long", "_e.value.double", "_e.value.string", "_t")
     triples = long.distinct()
-    per_value = triples.groupBy("column_name", "value", "is_null").agg(F.count("_t").alias("n_targets"))
-    per_col = per_value.groupBy("column_name").agg(
+    per_value = triples.groupBy("column_no", "long", "double", "string").agg(F.count("_t").alias("n_targets")).withColumn(
+        "is_null", F.col("long").isNull() & F.col("double").isNull() & F.col("string").isNull())
+    per_col = per_value.groupBy("column_no").agg(
         F.count(F.when(~F.col("is_null"), 1)).cast("long").alias("n_values"),
         F.max("n_targets").cast("long").alias("max_targets"),
         F.avg(F.when(~F.col("is_null") & (F.col("n_targets") > 0), F.col("n_targets"))).alias("mean_targets"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "column_no int, column_name string")
+    per_col = per_col.join(F.broadcast(names), "column_no").select(
+        "column_name", "n_values", "max_targets", "mean_targets")       # one row per column of the schema
     return per_col.crossJoin(F.broadcast(totals))  # totals is exactly one row
 
 
