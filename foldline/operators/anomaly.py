@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,19 @@ def _draw(*parts) -> Column:
     return (F.when(h < 0, -(h + 1)).otherwise(h)).cast("double") / F.lit(9.223372036854776e18)
 
 
+@contextmanager
+def _small_methods(spark):
+    """Whole-stage code off for jobs that run inside: hundreds of draws in one method are more than the JVM compiles, while
+    code for a single expression is split."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _sample(feats: DataFrame, key: Sequence[str], n_trees: int, sample: int, seed: int) -> DataFrame:
     """``tree, u, x, c``: for every tree the ``sample`` rows with the smallest draws (all rows, if there are fewer).
 
@@ -90,8 +104,12 @@ def _sample(feats: DataFrame, key: Sequence[str], n_trees: int, sample: int, see
         draw = lambda t: _draw(F.lit(seed), t, *[F.col(k) for k in key])
         mine = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("u"))),
                         lambda s: s["u"] < min(bound, 1.1))
+        # nearly all rows belong to no tree: the least of their draws, compiled, drops them before the lists are made
+        least_draw = F.least(*[draw(F.lit(t)) for t in range(n_trees)]) if n_trees > 1 else draw(F.lit(0))
+        near = feats.where(least_draw < min(bound, 1.1))
         # about trees x sample rows
-        picked = feats.withColumn("_m", F.explode(mine)).select(*key, "x", "c", "_m.tree", "_m.u").checkpoint()
+        with _small_methods(feats.sparkSession):
+            picked = near.withColumn("_m", F.explode(mine)).select(*key, "x", "c", "_m.tree", "_m.u").checkpoint()
         least = picked.groupBy("tree").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("t"), F.min("k").alias("k")).first()
         if bound >= 1 or (least["t"] == n_trees and least["k"] >= need):
             break
@@ -151,40 +169,72 @@ def fit_forest(feats: DataFrame, key: Sequence[str], n_trees: int = N_TREES, sam
     return [r.asDict() for r in trees.orderBy("tree").collect()]  # bounded: trees × (2·256 − 1) nodes
 
 
+SCORE_ROWS = 4096         # rows walked through the trees together: their values stay in the processor's cache
+
+
+def _table(feat, thr, code, left, right, ending, wide: int):
+    """A tree as one table of equal steps, breadth first: a row at node i goes to ``child[i]``, or to the next node if its value in
+    column ``col[i]`` is at least ``thr[i]``. An indicator of a code is a column of its own, 1 where the row has the code; a
+    leaf tests a column of zeros and stays. Returns the columns' codes, the table, the depth and the path length at every leaf."""
+    order, depth = [0], {0: 0}
+    for i in order:                                     # grows while it is read
+        if feat[i] >= 0:
+            order += [int(left[i]), int(right[i])]
+            depth[int(left[i])] = depth[int(right[i])] = depth[i] + 1
+    place = {i: at for at, i in enumerate(order)}
+    pairs = sorted({(int(feat[i]) - wide, int(code[i])) for i in order if feat[i] >= wide})
+    column = {p: wide + 1 + at for at, p in enumerate(pairs)}           # column ``wide`` is the zeros
+    inner = [feat[i] >= 0 for i in order]
+    col = np.array([wide if not test else int(feat[i]) if feat[i] < wide else column[int(feat[i]) - wide, int(code[i])]
+                    for i, test in zip(order, inner)], dtype=np.intp)
+    at_least = np.array([np.inf if not test else thr[i] if feat[i] < wide else 0.5 for i, test in zip(order, inner)])
+    child = np.array([place[int(left[i])] if test else place[i] for i, test in zip(order, inner)], dtype=np.intp)
+    return pairs, col, at_least, child, max(depth.values()), np.array([depth[i] + ending[i] for i in order])
+
+
+def _path_lengths(tables, X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Sum of the path lengths of every row over the trees."""
+    n, wide = X.shape
+    values = np.zeros((wide + 1 + max((len(t[0]) for t in tables), default=0), n))
+    values[:wide] = np.where(np.isnan(X), np.inf, X).T                  # a number that can't be compared is not below a threshold
+    flat, rows = values.ravel(), np.arange(n, dtype=np.intp)
+    total = np.zeros(n)
+    for pairs, col, at_least, child, deep, length in tables:
+        for i, (j, code) in enumerate(pairs):
+            np.equal(C[:, j], code, out=values[wide + 1 + i])
+        start, nodes = col * n, np.zeros(n, dtype=np.intp)
+        for _ in range(deep):
+            at = start.take(nodes)
+            at += rows
+            up = flat.take(at) >= at_least.take(nodes)
+            nodes = child.take(nodes)
+            nodes += up
+        total += length.take(nodes)
+    return total
+
+
 def score(feats: DataFrame, forest: list[dict], key: Sequence[str], sample: int = SAMPLE) -> DataFrame:
     """``key…, anomaly_score`` = 2^(−E[h(x)] / c(ψ)) with Arrow-batched scoring."""
-    forest_np = [(np.array(t["feat"]), np.array(t["thr"]), np.array(t["code"], dtype=np.int64), np.array(t["left"]), np.array(t["right"]),
-                  np.array([c_factor(x) for x in t["size"]])) for t in forest]
+    arrays = [(np.array(t["feat"]), np.array(t["thr"], dtype=float), np.array(t["code"], dtype=np.int64), np.array(t["left"]),
+               np.array(t["right"]), np.array([c_factor(x) for x in t["size"]])) for t in forest]
     denom = c_factor(min(sample, max((t["n"] for t in forest), default=sample)))
     key = list(key)
 
     def run(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            X = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            C = np.array(pdf["c"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
-            wide = X.shape[1]
-            depth = np.zeros(len(pdf))
-            for feat, thr, code, left, right, cdepth in forest_np:
-                nodes = np.zeros(len(pdf), dtype=int)
-                d = np.zeros(len(pdf))
-                idx = np.flatnonzero(feat[nodes] >= 0)
-                while len(idx):
-                    at = nodes[idx]
-                    f = feat[at]
-                    number = f < wide
-                    go_left = np.empty(len(idx), dtype=bool)
-                    go_left[number] = X[idx[number], f[number]] < thr[at[number]]
-                    go_left[~number] = C[idx[~number], f[~number] - wide] != code[at[~number]]
-                    nodes[idx] = np.where(go_left, left[at], right[at])
-                    d[idx] += 1
-                    idx = idx[feat[nodes[idx]] >= 0]
-                depth += d + cdepth[nodes]
-            mean = depth / max(len(forest_np), 1)
-            out = pdf[key].copy()
-            out["anomaly_score"] = np.power(2.0, -mean / denom) if denom > 0 else 0.5
-            yield out
+        tables = None
+        for whole in it:
+            for at in range(0, len(whole), SCORE_ROWS):
+                pdf = whole.iloc[at:at + SCORE_ROWS]
+                n = len(pdf)
+                X = np.array(pdf["x"].tolist(), dtype=float).reshape(n, -1)
+                C = np.array(pdf["c"].tolist(), dtype=np.int64).reshape(n, -1)
+                if tables is None:
+                    tables = [_table(*t, X.shape[1]) for t in arrays]
+                depth = _path_lengths(tables, X, C)
+                mean = depth / max(len(tables), 1)
+                out = pdf[key].copy()
+                out["anomaly_score"] = np.power(2.0, -mean / denom) if denom > 0 else 0.5
+                yield out
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feats.schema.fields if f.name in key)
     return feats.mapInPandas(run, f"{schema}, anomaly_score double")

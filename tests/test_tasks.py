@@ -90,6 +90,35 @@ def test_isolation_forest_ranks_planted_outliers(spark, sf_dir):
     assert 0.01 < frac < 0.05
 
 
+def test_forest_tables_give_the_path_lengths_of_the_trees(spark):
+    from foldline.operators import anomaly as AN
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(6)), None if i % 11 == 0 else float(rng.normal()), f"c{i % 7}", None if i % 5 == 0 else f"d{i % 300}")
+            for i in range(900)]
+    feats = AN.prepare_features(spark.createDataFrame(rows, "id int, a double, b double, c string, d string"), ["id"], ["a", "b"], ["c", "d"])
+    forest = AN.fit_forest(feats, ["id"], n_trees=12, sample=64)
+
+    def length(t, x, c):
+        i, d = 0, 0
+        while t["feat"][i] >= 0:
+            f = t["feat"][i]
+            left = x[f] < t["thr"][i] if f < len(x) else c[f - len(x)] != t["code"][i]
+            i, d = (t["left"] if left else t["right"])[i], d + 1
+        return d + AN.c_factor(t["size"][i])
+
+    X = [r for r in feats.collect()]
+    want = [sum(length(t, r["x"], r["c"]) for t in forest) for r in X]
+    tables = [AN._table(*(np.array(t[n]) for n in ("feat", "thr", "code", "left", "right")), np.array([AN.c_factor(x) for x in t["size"]]), 2)
+              for t in forest]
+    assert any(t[0] for t in tables)                    # some trees test codes
+    got = AN._path_lengths(tables, np.array([r["x"] for r in X]), np.array([r["c"] for r in X], dtype=np.int64))
+    assert got.tolist() == want
+    scored = {r["id"]: r["anomaly_score"] for r in AN.score(feats, forest, ["id"], 64).collect()}
+    assert all(scored[r["id"]] == 2.0 ** (-w / 12 / AN.c_factor(64)) or abs(scored[r["id"]] - 2.0 ** (-w / 12 / AN.c_factor(64))) < 1e-12
+               for r, w in zip(X, want))
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+
+
 def test_holt_winters_recovers_seasonal_series(spark):
     from foldline.operators import forecast as FC
     days = pd.date_range("2024-01-01", periods=70, freq="D")
