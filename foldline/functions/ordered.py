@@ -77,6 +77,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in atomic]))
 
 
+def by_key(df: DataFrame, key: str, task_bytes: int = SPREAD_BYTES // 4) -> DataFrame:
+    """``df`` dealt by ``key`` into tasks of about ``task_bytes`` of scanned files, at least one per shuffle partition."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    nodes = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in nodes if x.nodeName() == "LogicalRelation")    # others have no known size
+    return df.repartition(max(default_buckets(df), min(MAX_BUCKETS, -(-size // task_bytes))), key)
+
+
 def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 

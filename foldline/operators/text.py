@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tokens of two or more word characters (letters, digits, underscore; Unicode-aware).
@@ -26,17 +26,19 @@ def english_stop_words() -> list[str]:
 
 
 def tokens(df: DataFrame, doc_col: str, text_col: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``doc, term`` one row per token occurrence (lower-cased, whole text)."""
-    from foldline.functions.ordered import spread
-    t = spread(df.select(doc_col, text_col)).select(F.col(doc_col).alias("doc"), F.explode(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("term"))
+    """``doc, term`` one row per token occurrence (lower-cased, whole text).
+
+    Texts are dealt by document, in tasks of bounded size: what is grouped by document and term moves no more."""
+    from foldline.functions.ordered import by_key
+    t = by_key(df.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("_text")), "doc").select("doc", F.explode(
+        F.regexp_extract_all(F.lower(F.col("_text")), F.lit(TOKEN_PATTERN), 0)).alias("term"))
     if stop_words:
         t = t.where(~F.col("term").isin(list(stop_words)))
     return t
 
 
 def term_counts(df: DataFrame, doc_col: str, text_col: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``doc, term, tf``: raw term counts of whole texts (map-side combined per doc and term)."""
+    """``doc, term, tf``: raw term counts of whole texts, counted where the texts are."""
     return tokens(df, doc_col, text_col, stop_words).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -44,8 +46,9 @@ def weights_from_counts(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``doc, term, tf, idf, weight`` for the vocabulary's terms, L2-normalised per doc."""
     j = tf.join(F.broadcast(vocabulary.select("term", "idf")), "term")  # vocabulary <= max_features rows
     j = j.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = j.groupBy("doc").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    out = j.join(norm, "doc")
+    # a document has at most as many rows as the vocabulary
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc")))
+    out = j.where("doc is not null").withColumn("_norm", norm)
     return out.select("doc", "term", F.col("tf").cast("long").alias("tf"), "idf",
                       (F.col("_w") / F.col("_norm")).alias("weight"))
 

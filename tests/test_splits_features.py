@@ -135,3 +135,18 @@ def test_mutual_information_independent_is_zero(spark):
     df = spark.createDataFrame(rows, "x int, y int")
     r = FE.mutual_information(df, ["x"], "y").first()
     assert abs(r["mutual_info"]) < 1e-12
+
+
+def test_tfidf_moves_texts_and_no_term_rows(spark):
+    from foldline.operators import text as TX
+    rows = [(1, "red blue red"), (2, "green blue"), (2, "blue sky"), (None, "red lost"), (3, None), (4, "of a")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    tf = TX.term_counts(df, "doc_id", "text")
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc" in plan      # a shuffle of (doc, term) rows before
+    assert {tuple(r) for r in tf.collect()} == {(1, "red", 2), (1, "blue", 1), (2, "green", 1), (2, "blue", 2), (2, "sky", 1),
+                                                (None, "red", 1), (None, "lost", 1), (4, "of", 1)}
+    got = TX.tfidf(df, "doc_id", "text")
+    assert {r["doc"] for r in got.collect()} == {1, 2, 4}
+    norms = got.groupBy("doc").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
