@@ -71,7 +71,11 @@ def fit_vocabulary(docs: DataFrame | int, tf: DataFrame, max_features: int = MAX
 
     ``docs`` is the document frame (counted) or the number of documents."""
     n_docs = docs if isinstance(docs, int) else docs.count()
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("count"))
+    return _top_terms(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("count")), n_docs, max_features)
+
+
+def _top_terms(stats: DataFrame, n_docs: int, max_features: int) -> DataFrame:
+    """The vocabulary from ``term, df, count``."""
     top = stats.orderBy(F.col("count").desc(), "term").limit(max_features)  # bounded top-k
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return top.withColumn("idf", idf)
@@ -134,12 +138,17 @@ def text_cross_validation(df: DataFrame, doc_col: str, text_col: str, label_col:
     rows = token_arrays(folds, text_col, stop_words).select(F.col(doc_col).alias("doc"), "fold", F.col(label_col).cast("double").alias("label"),
                                                             "tokens").checkpoint()
     counts = rows.select("doc", "fold", F.explode("tokens").alias("term")).groupBy("doc", "fold", "term").agg(
-        F.count(F.lit(1)).alias("tf")).checkpoint()
+        F.count(F.lit(1)).alias("tf"))
+    # one row per term with both counts of every fold: a training vocabulary is a sum over the other folds
+    of = lambda f, v: F.sum(F.when(F.col("fold") == f, v).otherwise(0))
+    terms = counts.groupBy("term").agg(*[x for f in range(k) for x in (of(f, F.lit(1)).alias(f"d{f}"), of(f, F.col("tf")).alias(f"c{f}"))]).checkpoint()
     sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def one(g: int):
         n_train = sum(n for f, n in sizes.items() if f != g)
-        vectors = vectorizer(fit_vocabulary(n_train, counts.where(F.col("fold") != g).drop("fold"), max_features))
+        others = lambda n: sum((F.col(f"{n}{f}") for f in range(k) if f != g), F.lit(0))
+        seen = terms.select("term", others("d").alias("df"), others("c").alias("count")).where("df > 0")
+        vectors = vectorizer(_top_terms(seen, n_train, max_features))
         train_set = vectors.transform(rows.where(F.col("fold") != g)).select("features", "label").cache()
         # L2 strength of C = 1 in the (sum-of-losses) primal form: regParam = 1 / (C · n_train)
         rp = reg if reg is not None else 1.0 / max(n_train, 1)
