@@ -12,7 +12,7 @@ beside it a table ``rank -> id`` (at most one row per vocabulary entry). Ranks f
 frequency, so frequent ids take one byte. Control bytes stand apart from the data, so a block is decoded
 by one table lookup per control byte and a numpy gather, without branches per id.
 
-Steps: encode each text once (stored, unsorted); count ids per partition and add the counts (bounded
+Steps: encode each text once (stored, unsorted, beside the counts of each partition's ids); add the counts (bounded
 by the vocabulary); write the blocks range-partitioned by doc_id; read the files back.
 
 Edge cases: null text counts as empty; an empty text is its end id alone; null doc_ids sort first;
@@ -36,6 +36,7 @@ from foldline.llm.tokens import encoder
 
 END_ID = 2
 BLOCK_IDS = 1 << 20      # ids of a block, about (documents aren't split over blocks)
+RANGE_BYTES = 32         # of a document's ids that take part in range bounds
 
 #: Code lengths of the four ids of each control byte.
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.int64)
@@ -49,8 +50,9 @@ def svb_encode(values: np.ndarray) -> tuple[bytes, bytes]:
     padded[:len(v)] = code
     quad = padded.reshape(-1, 4)
     controls = quad[:, 0] | quad[:, 1] << 2 | quad[:, 2] << 4 | quad[:, 3] << 6
-    used = np.arange(4)[None, :] <= code[:, None]
-    return controls.tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    widest = int(code.max(initial=0)) + 1
+    used = np.arange(widest, dtype=np.uint8)[None, :] <= code[:, None]
+    return controls.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :widest][used].tobytes()
 
 
 def svb_decode(controls: bytes, data: bytes, n: int) -> np.ndarray:
@@ -59,7 +61,7 @@ def svb_decode(controls: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
     at = np.cumsum(size) - size
     out = raw[at]
-    for k in (1, 2, 3):
+    for k in range(1, int(size.max(initial=1))):
         more = np.flatnonzero(size > k)
         out[more] |= raw[at[more] + k] << np.uint32(8 * k)
     return out
@@ -67,14 +69,22 @@ def svb_decode(controls: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokens(path: str, blank: bool, end_id: int):
     def run(batches):
-        enc = encoder(path, blank)
+        enc, total = encoder(path, blank), np.zeros(0, dtype=np.int64)
         for b in slices(batches, "text"):
             flat, off = enc.encode(b.column("text").to_pylist())
             flat = np.insert(flat, off[1:], np.uint32(end_id))
             off = off + np.arange(len(off))
             ids = [flat[off[k]:off[k + 1]] for k in range(b.num_rows)]
+            got = np.bincount(flat)
+            if len(got) > len(total):
+                total, got = got.astype(np.int64), total
+            total[:len(got)] += got
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([pack_ids(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
+                [b.column("doc_id"), pa.array([pack_ids(x) for x in ids], pa.binary()), pa.nulls(b.num_rows, pa.binary())],
+                names=["doc_id", "ids", "counts"])
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
+                                             names=["doc_id", "ids", "counts"])
     return run
 
 
@@ -89,17 +99,11 @@ def unpack_ids(blob: bytes) -> np.ndarray:
 
 
 def _count(batches):
-    total, held = np.zeros(0, dtype=np.int64), []
     for b in batches:
-        for blob in b.column("ids"):
-            held.append(unpack_ids(blob.as_py()))
-        flat = np.concatenate(held) if held else np.zeros(0, dtype=np.uint16)
-        got, held = np.bincount(flat), []
-        if len(got) > len(total):
-            total, got = got.astype(np.int64), total
-        total[:len(got)] += got
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        for blob in b.column("counts"):
+            total = np.frombuffer(blob.as_py(), dtype=np.int64)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
 
 def _blocks(rank_of: np.ndarray, block_ids: int):
@@ -136,15 +140,16 @@ def write_token_file(docs: DataFrame, path: str, blank: bool = True, end_id: int
                      block_ids: int = BLOCK_IDS) -> tuple[DataFrame, np.ndarray]:
     """Write the file set below the shared folder; returns its blocks as read back and ``rank -> id``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    toks = stored(rows.mapInArrow(_tokens(path, blank, end_id), "doc_id long, ids binary"), "tokens")
-    counts = (toks.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    toks = stored(rows.mapInArrow(_tokens(path, blank, end_id), "doc_id long, ids binary, counts binary"), "tokens")
+    counts = (toks.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
               .collect())                                     # at most one row per vocabulary entry
     ranked = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     id_of = np.array(ranked, dtype=np.uint32)
     rank_of = np.zeros(max(ranked, default=0) + 1, dtype=np.uint32)
     rank_of[id_of] = np.arange(len(ranked), dtype=np.uint32)
-    ordered = toks.repartitionByRange(F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "ids")
+    # the range bounds are drawn on the driver: the first bytes of the ids are enough to part rows that repeat a doc_id
+    ordered = toks.where("counts is null").select("doc_id", "ids").repartitionByRange(
+        F.col("doc_id").asc_nulls_first(), F.substring("ids", 1, RANGE_BYTES)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return stored(ordered.mapInArrow(_blocks(rank_of, block_ids), BLOCK_SCHEMA), "token_file"), id_of
 
 
