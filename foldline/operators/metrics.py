@@ -93,18 +93,18 @@ def ranking_metrics(pred: DataFrame, keys: Sequence[str], y_true: str, score: st
     over distinct scores in descending order. Null when a group has a single class.
     """
     keys = list(keys)
-    hist = pred.groupBy(*keys, F.col(score).cast("double").alias("_s"), F.col(y_true).alias("_y")).agg(
-        F.count(F.lit(1)).cast("long").alias("_c"))
-    lab = hist.groupBy(*keys).agg(F.max("_y").alias("_pl"), F.countDistinct("_y").alias("_k"))
-    h = null_safe_join(hist, lab, keys)
-    h = h.withColumn("_p", F.when(F.col("_y") == F.col("_pl"), F.col("_c")).otherwise(0)).withColumn(
-        "_q", F.when(F.col("_y") == F.col("_pl"), 0).otherwise(F.col("_c")))
-    dist = h.groupBy(*keys, "_s").agg(F.sum("_p").alias("pos"), F.sum("_q").alias("neg"), F.max("_k").alias("_k"))
+    # one row per group: the positive label is known before the only count of rows by score
+    lab = pred.groupBy(*keys).agg(F.max(y_true).alias("_pl"))
+    own = pred.select(*keys, F.col(score).cast("double").alias("_s"), F.col(y_true).alias("_y"))
+    h = null_safe_join(own, F.broadcast(lab), keys)
+    h = h.withColumn("_p", F.when(F.col("_y") == F.col("_pl"), 1).otherwise(0)).withColumn(
+        "_q", F.when(F.col("_y") == F.col("_pl"), 0).otherwise(1))
+    dist = h.groupBy(*keys, "_s").agg(F.sum("_p").alias("pos"), F.sum("_q").alias("neg"))
     dist = dist.where(F.col("_s").isNotNull())
     # WIN-11: cumulative sums over distinct scores in descending order (bucketed, exact)
     cum = cumsum_within(dist, keys, -F.col("_s"), {"tp": F.col("pos"), "fp": F.col("neg")}, n_buckets=n_buckets)
     tot = dist.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = null_safe_join(cum, tot, keys)
+    c = null_safe_join(cum, F.broadcast(tot), keys)
     auc_term = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
     ap_term = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     agg = c.groupBy(*keys).agg(F.sum(auc_term).alias("_auc"), F.sum(ap_term).alias("_ap"),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldline.operators import splits as S
-from foldline.operators.metrics import evaluate
+from foldline.operators.metrics import evaluate, ranking_metrics
 from foldline.session import checkpoint_dir
 
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1", "f1_macro", "roc_auc", "avg_precision")
@@ -110,6 +110,14 @@ def _stored(spark, path: str) -> dict | None:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def _by_fold(folded: DataFrame) -> DataFrame:
+    """The rows with their fold, written once as Parquet by fold: every candidate reads the folds and columns that it needs."""
+    spark = folded.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/foldline-folds-{uuid.uuid4().hex}"
+    folded.write.partitionBy("fold").parquet(path)
+    return spark.read.schema(folded.schema).parquet(path)
+
+
 def search(train: DataFrame, candidates: dict[str, tuple[Estimator, dict]], task: str, key: str, metric: str = "auto", k: int = 3,
            seed: int = 42, seconds: float | None = None, parallelism: int = 4, store: str | None = None,
            label: str = "label") -> DataFrame:
@@ -122,10 +130,10 @@ def search(train: DataFrame, candidates: dict[str, tuple[Estimator, dict]], task
     name, higher = scoring_rule(task, metric)
     base = f"{checkpoint_dir(spark).rstrip('/')}/foldline-search-{uuid.uuid4().hex}" if store is None else store.rstrip("/")
     if task == "classification":
-        folded = S.stratified_kfold(train, [key], label, k=k, seeds=(seed,)).checkpoint()
+        folded = _by_fold(S.stratified_kfold(train, [key], label, k=k, seeds=(seed,)))
         classes = train.select(label).distinct().count()
     else:
-        folded, classes = S.kfold(train, [key], k=k, seeds=(seed,)).checkpoint(), 0
+        folded, classes = _by_fold(S.kfold(train, [key], k=k, seeds=(seed,))), 0
     budget = _Budget(spark.sparkContext, seconds)
 
     def score(who: str, est: Estimator, params: dict) -> float:
@@ -137,6 +145,9 @@ def search(train: DataFrame, candidates: dict[str, tuple[Estimator, dict]], task
             p = out.select(F.lit(g).alias("fold"), F.col(label).cast("double").alias("y_true"), F.col("prediction").cast("double").alias("y_pred"),
                            *([sc.alias("score")] if sc is not None else []))
             preds = p if preds is None else preds.unionByName(p)
+        if name in ("roc_auc", "avg_precision") and classes == 2 and "score" in preds.columns:
+            # one pass over the held-out predictions: no other metric is computed, and they needn't be written
+            return ranking_metrics(preds, ["fold"], "y_true", "score").agg(F.avg(name)).first()[0]
         preds = preds.checkpoint()
         needs_score = name in ("roc_auc", "avg_precision", "roc_auc_ovr", "avg_precision_ovr")
         got = evaluate(preds, ["fold"], task, score="score" if needs_score else None)

@@ -23,3 +23,27 @@ def test_panel_prepares_every_fold_once(spark, monkeypatch):
         a, b = ({r["fold"]: (r["n"], round(r["accuracy"], 9), round(r["roc_auc"], 9)) for r in d.collect()}
                 for d in (got.where(F.col("framework") == kind), own))
         assert a == b
+
+
+def test_candidates_read_the_folds_they_need(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from foldline.operators import search as SE
+    made, by_fold = [], SE._by_fold
+    monkeypatch.setattr(SE, "_by_fold", lambda d: made.append(by_fold(d)) or made[-1])
+    xy = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(_rows(spark))
+    space = {"regParam": {"type": "float", "low": 1e-3, "high": 1.0, "log": True}}
+    _, board = SE.random_search(xy, LogisticRegression(maxIter=5), space, "classification", "key", n_iter=2, k=3, metric="roc_auc")
+    assert board.where("status = 'ok' and score > 0.9").count() == 2
+    plan = made[0].where("fold <> 1").select("features", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and "key" not in plan.split("ReadSchema")[1]
+
+
+def test_ranking_counts_scores_once(spark):
+    from foldline.operators.metrics import ranking_metrics
+    rows = [("x", 0.1, 0), ("x", 0.4, 0), ("x", 0.35, 1), ("x", 0.8, 1), ("x", None, 1), ("x", 0.8, None), (None, 0.5, 1), ("y", 0.2, 1), ("y", 0.2, 0)]
+    df = spark.createDataFrame(rows, "k string, s double, y int")
+    out = ranking_metrics(df, ["k"], "y", "s")
+    got = {r["k"]: (r["roc_auc"], r["avg_precision"]) for r in out.collect()}
+    # x: rows with a null label count as negative, rows without a score are left out
+    assert got[None] == (None, None) and got["y"] == (0.5, 0.5)
+    assert abs(got["x"][0] - 3.5 / 6) < 1e-12 and abs(got["x"][1] - (0.5 / 2 + 2 / 4 / 2)) < 1e-12
