@@ -110,8 +110,15 @@ def _stored(spark, path: str) -> dict | None:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def _draws(est: Estimator) -> bool:
+    """Whether a fit may draw rows by partition and place (it has a seed, or isn't a learner by itself)."""
+    return est.hasParam("seed") or est.hasParam("classifier") or not est.hasParam("featuresCol")
+
+
 def _by_fold(folded: DataFrame) -> DataFrame:
-    """The rows with their fold, written once as Parquet by fold: every candidate reads the folds and columns that it needs."""
+    """The rows with their fold, written once as Parquet by fold: every candidate reads the folds and columns that it needs.
+
+    Reading deals the rows anew, so this is for estimators that don't draw rows."""
     spark = folded.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/foldline-folds-{uuid.uuid4().hex}"
     folded.write.partitionBy("fold").parquet(path)
@@ -130,10 +137,11 @@ def search(train: DataFrame, candidates: dict[str, tuple[Estimator, dict]], task
     name, higher = scoring_rule(task, metric)
     base = f"{checkpoint_dir(spark).rstrip('/')}/foldline-search-{uuid.uuid4().hex}" if store is None else store.rstrip("/")
     if task == "classification":
-        folded = _by_fold(S.stratified_kfold(train, [key], label, k=k, seeds=(seed,)))
+        folded = S.stratified_kfold(train, [key], label, k=k, seeds=(seed,))
         classes = train.select(label).distinct().count()
     else:
-        folded, classes = _by_fold(S.kfold(train, [key], k=k, seeds=(seed,))), 0
+        folded, classes = S.kfold(train, [key], k=k, seeds=(seed,)), 0
+    folded = folded.checkpoint() if any(_draws(est) for est, _ in candidates.values()) else _by_fold(folded)
     budget = _Budget(spark.sparkContext, seconds)
 
     def score(who: str, est: Estimator, params: dict) -> float:
