@@ -5,11 +5,10 @@ A document's set are its distinct ``k``-word shingles (64-bit hashes). Two docum
 
 1. *Frequencies.* One pass adds every shingle of every document to a row of ``CELLS`` counters (a count
    sketch: frequent shingles have large counters, whatever the corpus' size). Any fixed order is right for
-   prefix filtering; this one puts rare shingles first. The counters are the only thing broadcast, and
-   their number is a constant.
+   prefix filtering; this one puts rare shingles first. The counters are broadcast; their number is a constant.
 2. *Prefixes.* In that order a set of n shingles keeps its first ``n - ceil(percent * n / 100) + 1``; two linked
-   sets share a prefix shingle. The second pass also keeps a vector of ``RANGES`` counts (how many shingles
-   fall into each hash range) for the suffix filter.
+   sets share a prefix shingle. The second pass also keeps a vector of counts (how many shingles
+   fall into each hash range, about as many ranges as shingles) for the suffix filter.
 3. *Candidates.* Prefix shingles are dealt by hash in packed blocks; repeats inside a block of
    documents are folded first. Shingles of one document only are dropped there. Each other
    shingle proposes its documents with the smallest one of them (a star, not all pairs), filtered by length
@@ -19,8 +18,10 @@ A document's set are its distinct ``k``-word shingles (64-bit hashes). Two docum
 5. *More stars.* Shingles whose documents still lie in several components propose stars around other
    documents, ``STARS`` rounds in all; only pairs of different components are verified.
 6. *Residue.* What stars did not propose matters between different components only. The shingles whose
-   documents still lie in several components propose all those pairs, same filters, verified once. So copies,
-   however many, never meet pairwise, and no link between different components is lost.
+   documents still lie in several components gather those with the smallest one (one row per document), a
+   large gathering is dealt in blocks that meet pairwise. A task compares the documents of two blocks by the
+   same filters in arrays and passes on only the pairs that the suffix filter leaves, verified once. So copies, however
+   many, never meet pairwise, pairs below the threshold take no rows, and no link between different components is lost.
 
 Whole sets are computed anew for the documents of proposed pairs; a bit table of their ids (8 bits per document, at
 most ``MAX_BITS``) lets the scan skip most others, so texts are never shuffled.
@@ -39,6 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,15 @@ K = 4
 PERCENT = 85
 CELLS = 1 << 22
 SLICES = 64              # parts in which counters travel
-RANGES = 64
+RANGES = 64              # of the suffix filter, at least
+MAX_RANGES = 1 << 16
 STARS = 2
 MAX_BITS = 1 << 30       # of the bit table of ids that is broadcast
 SHARE_BYTES = 8 << 20    # packed prefix bytes that a bucket holds, about
+BLOCK = (64, 2048)       # documents of a block of the residue, least and most
+BLOCKS = 512             # of which there are about so many
+PAIRS = 1 << 20          # pairs compared at a time
+PAIR_BYTES = 32 << 20    # of their range counts
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int):
@@ -120,6 +127,26 @@ def counters(first: DataFrame, cells: int) -> np.ndarray:
 
 # --- 2. prefixes --------------------------------------------------------------------------
 
+def range_counts(s: np.ndarray) -> bytes:
+    """How many shingles fall into each hash range, in a byte each; a count above 255 makes it four bytes each and one more at the end."""
+    m = min(MAX_RANGES, max(RANGES, 1 << max(0, len(s) - 1).bit_length()))
+    r = np.bincount((s >> np.uint64(3) & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return r.astype(np.uint8).tobytes() if r.max() < 256 else r.astype("<u4").tobytes() + b"\0"
+
+
+def _table(blobs: list[bytes]) -> np.ndarray:
+    """Range counts of the same length as the rows of one array."""
+    size = len(blobs[0])
+    rows = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, size)
+    return rows if size % 2 == 0 else np.ascontiguousarray(rows[:, :-1]).view("<u4")
+
+
+def _most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest possible intersections of sets, row by row; the finer ranges are added up to the coarser ones."""
+    width = min(a.shape[1], b.shape[1])
+    a, b = (x if x.shape[1] == width else x.reshape(len(x), -1, width).sum(axis=1, dtype=np.uint32) for x in (a, b))
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64)
+
 def _prefixes(k: int, percent: int, shared, cells: int):
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
@@ -133,8 +160,7 @@ def _prefixes(k: int, percent: int, shared, cells: int):
                 c = count[(s >> shift).astype(np.int64)]
                 order = np.lexsort((s, c))[:p]
                 pre.append(s[order].tobytes())
-                r = np.bincount((s >> np.uint64(3) & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
-                ranges.append(r.astype(np.uint32).tobytes())
+                ranges.append(range_counts(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(pre, pa.binary()), pa.array(ranges, pa.binary())],
                 names=["doc_id", "n", "prefix", "ranges"])
@@ -235,21 +261,123 @@ def _plausible(percent: int):
             & (F.least("place", "place2") + after >= least))
 
 
+def _possible(ra: list[bytes], rb: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs' range counts allow the intersection that the threshold needs."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(ra, rb)], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), dtype=bool)
+    for x, y in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == x) & (sizes[:, 1] == y))
+        step = max(1, PAIR_BYTES // int(x + y))
+        for i in range(0, len(at), step):
+            own = at[i:i + step]
+            a, b = _table([ra[k] for k in own]), _table([rb[k] for k in own])
+            most = _most(a, b)
+            out[own] = 100 * most >= percent * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - most)
+    return out
+
+
 def _suffix(percent: int):
     """Keeps pairs whose range counts allow the intersection that the threshold needs."""
     def run(batches):
+        for b in batches:
+            if b.num_rows:
+                ok = _possible(b.column("ra").to_pylist(), b.column("rb").to_pylist(), percent)
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+    return run
+
+
+# --- 4. pairs of blocks -------------------------------------------------------------------
+
+def _pairs(group: np.ndarray):
+    """Places ``i < j`` of equal values of a sorted array, about ``PAIRS`` at a time."""
+    n = len(group)
+    ends = np.searchsorted(group, group, side="right")
+    more = ends - np.arange(n) - 1
+    done = np.cumsum(more)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, to), more[at:to])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:to]) - more[at:to], more[at:to])
+        at = to
+
+
+def _meet(rows: pa.Table, block: np.ndarray, percent: int):
+    """Pairs of rows of one block, in different components, that share a shingle and pass all filters."""
+    doc, n, c, x, y, side = (np.asarray(rows.column(k)) for k in ("doc", "n", "c", "x", "y", "side"))
+    held = rows.column("held").combine_chunks()
+    own = np.repeat(np.arange(len(doc)), np.asarray(pc.list_value_length(held)))
+    gram, place = (np.asarray(held.flatten().field(k)) for k in ("gram", "place"))
+    order = np.lexsort((gram, block[own]))
+    own, gram, place = own[order], gram[order], place[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (block[own][1:] != block[own][:-1])
+    ranges, seen = rows.column("ranges").to_pylist(), np.zeros(len(doc) ** 2, dtype=bool)
+    wide = np.array([len(r) for r in ranges])
+    tables, row = {}, np.zeros(len(doc), dtype=np.int64)
+    for w in np.unique(wide):
+        at = np.flatnonzero(wide == w)
+        tables[w], row[at] = _table([ranges[k] for k in at]), np.arange(len(at))
+    for i, j in _pairs(np.cumsum(new)):
+        p, q = own[i], own[j]
+        n1, n2 = n[p].astype(np.int64), n[q].astype(np.int64)
+        p1, p2 = place[i].astype(np.int64), place[j].astype(np.int64)
+        need = -(-(n1 + n2) * percent // (100 + percent))
+        ok = (c[p] != c[q]) & (doc[p] != doc[q]) & ((x[p] == y[p]) | (side[p] != side[q]))
+        ok &= np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
+        ok &= np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= need
+        p, q = p[ok], q[ok]
+        codes = np.unique(np.minimum(p, q) * len(doc) + np.maximum(p, q))
+        codes = codes[~seen[codes]]
+        seen[codes] = True
+        p, q = codes // len(doc), codes % len(doc)
+        for w, v in np.unique(np.stack([wide[p], wide[q]], axis=1), axis=0):
+            at = np.flatnonzero((wide[p] == w) & (wide[q] == v))
+            step = max(1, PAIR_BYTES // int(w + v))
+            for k in range(0, len(at), step):
+                a, b = p[at[k:k + step]], q[at[k:k + step]]
+                most = _most(tables[w][row[a]], tables[v][row[b]])
+                both = 100 * most >= percent * (n[a].astype(np.int64) + n[b] - most)
+                if both.any():
+                    a, b = doc[a[both]], doc[b[both]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _compare(percent: int):
+    """Pairs of the blocks that a partition holds, whole blocks of a few thousand rows at a time."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+
+        def flush():
+            rows = pa.Table.from_batches(held)
+            key = np.stack([np.asarray(rows.column(k)) for k in ("lead", "x", "y")])
+            block = np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            return _meet(rows, block, percent)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            a = np.frombuffer(b"".join(b.column("ra").to_pylist()), dtype=np.uint32).reshape(-1, RANGES).astype(np.int64)
-            c = np.frombuffer(b"".join(b.column("rb").to_pylist()), dtype=np.uint32).reshape(-1, RANGES).astype(np.int64)
-            most = np.minimum(a, c).sum(axis=1)
-            ok = 100 * most >= percent * (a.sum(axis=1) + c.sum(axis=1) - most)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            key = np.stack([np.asarray(b.column(k)) for k in ("lead", "x", "y")])
+            first = tuple(key[:, 0])
+            edges = [0] if first != last else []
+            edges += list(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
+            at = 0
+            for e in edges:
+                if size + e - at >= BLOCK[1]:
+                    held += [b.slice(at, e - at)] if e > at else []
+                    yield from flush()
+                    held, size, at = [], 0, e
+            if b.num_rows > at:
+                held.append(b.slice(at))
+                size += b.num_rows - at
+            last = tuple(key[:, -1])
+        if held:
+            yield from flush()
     return run
 
 
-# --- 4. verification ----------------------------------------------------------------------
+# --- 5. verification ----------------------------------------------------------------------
 
 def _place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
@@ -269,6 +397,16 @@ def _bit_table(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _known(shared):
+    """The rows whose id falls on a place of the bit table."""
+    def run(batches):
+        on = np.unpackbits(shared.value).view(bool)
+        for b in batches:
+            ids = np.asarray(b.column("doc_id")).astype(np.int64)
+            yield b.filter(pa.array(on[_place(ids, len(on))]))
+    return run
+
+
 def _sets(k: int, shared, bits: int):
     """The sets of the texts whose id falls on a place of the bit table."""
     def run(batches):
@@ -300,15 +438,48 @@ class _Join:
         self.docs, self.k, self.percent = docs, k, percent
         self.bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (8 * n_docs).bit_length()))
 
-    def verified(self, pairs: DataFrame, ranges: DataFrame) -> DataFrame:
-        """Links among distinct candidate pairs ``a, b``: suffix filter, then the whole sets, once per pair."""
+    def ranges_of(self, ids: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The range counts of these documents, and of few others, so that joins shuffle little else."""
+        shared = ranges.sparkSession.sparkContext.broadcast(_bit_table(ids, self.bits))
+        out = stored(ranges.mapInArrow(_known(shared), "doc_id long, n long, ranges binary"), "ranges")
+        shared.destroy()
+        return out
+
+    def filtered(self, pairs: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The distinct pairs ``a, b`` that the suffix filter leaves."""
+        with temporary(self.docs.sparkSession):
+            some = stored(pairs.distinct(), "pairs")
+            own = self.ranges_of(some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct(), ranges)
+            r = own.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra"))
+            r2 = own.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
+            return stored(some.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs", keep=True)
+
+    def residue(self, e: DataFrame, ranges: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` of different components that share a shingle of ``e`` and pass all filters."""
+        lead = e.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(STARS), "doc").alias("draw"), "doc")).alias("lead"))
+        lead = stored(lead.select("gram", F.col("lead.doc").alias("lead")), "lead")
+        held = e.join(lead, "gram").groupBy("lead", "doc", "n", "c").agg(F.collect_list(F.struct("gram", "place")).alias("held"))
+        held = stored(held, "held")
+        own = self.ranges_of(held.select("doc").distinct(), ranges)
+        own = own.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "ranges").distinct()
+        members = stored(held.join(own, ["doc", "n"]), "members")
+        size = max(BLOCK[0], min(BLOCK[1], members.count() // BLOCKS))
+        # large ones only: their number is bounded by that of the blocks, or a two thousandth of the rows
+        large = members.groupBy("lead").count().where(F.col("count") > size).select("lead", F.ceil(F.col("count") / size).alias("parts"))
+        dealt = members.join(F.broadcast(large), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc", "n", "ranges"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+        dealt = dealt.select("lead", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "n", "c",
+                             "ranges", "held")
+        by = ["lead", "x", "y"]
+        return dealt.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_compare(self.percent), "a long, b long")
+
+    def verified(self, make) -> DataFrame:
+        """Links among the candidate pairs ``a, b`` that ``make`` returns, by the whole sets, once per pair."""
         spark = self.docs.sparkSession
         with temporary(spark, shuffles=True):
             with temporary(spark):
-                some = stored(pairs.distinct(), "pairs")
-                r = ranges.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra"))
-                r2 = ranges.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
-                some = stored(some.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs", keep=True)
+                some = stored(make().distinct(), "pairs", keep=True)
             ids = stored(some.select(F.col("a").alias("doc_id")).unionByName(some.select(F.col("b").alias("doc_id"))).distinct(), "ids")
             shared = spark.sparkContext.broadcast(_bit_table(ids, self.bits))
             sets = self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary")
@@ -352,7 +523,7 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
 
     pre = rows.mapInArrow(_prefixes(k, percent, shared, cells), "doc_id long, n long, prefix binary, ranges binary")
     pre = stored(pre.join(reps, "doc_id", "left_semi"), "prefixes")
-    ranges = pre.select("doc_id", "ranges")
+    ranges = pre.select("doc_id", "n", "ranges")
     total = pre.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(8, -(-total // SHARE_BYTES))
     packed = pre.select("doc_id", "n", "prefix").mapInArrow(_deal(buckets), _PACKED)
@@ -369,14 +540,13 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
         star = star.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"), "n", "place",
                            F.col("lead.n").alias("n2"), F.col("lead.place").alias("place2"))
         star = star.where(_plausible(percent)).select("a", "b")
-        new = join.verified(star if links is None else star.join(links, ["a", "b"], "left_anti"), ranges)
+        star = star if links is None else star.join(links, ["a", "b"], "left_anti")
+        new = join.verified(lambda: join.filtered(star, ranges))
         links = new if links is None else links.unionByName(new)
         e = _labelled(links, entries if i == 0 else e)
 
     # what the stars have not proposed matters between different components only
-    f = e.select("gram", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
-    rest = (e.withColumnRenamed("doc", "a").join(f, "gram").where("a < b and c <> c2").where(_plausible(percent)).select("a", "b"))
-    links = links.unionByName(join.verified(rest, ranges))
+    links = links.unionByName(join.verified(lambda: join.residue(e, ranges)))
     # the rows of an id that occurs with several texts are tied: the id stands for each of their sets
     several = sized.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
