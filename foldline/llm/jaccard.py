@@ -147,11 +147,12 @@ def _most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = (x if x.shape[1] == width else x.reshape(len(x), -1, width).sum(axis=1, dtype=np.uint32) for x in (a, b))
     return np.minimum(a, b).sum(axis=1, dtype=np.int64)
 
-def _prefixes(k: int, percent: int, shared, cells: int):
+def _prefixes(k: int, percent: int, shared, cells: int, copies):
+    """Prefixes and range counts of texts with an id and words; ``sure`` tells that the id is none of the copies."""
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def run(batches):
-        count = shared.value
+        count, on = shared.value, np.unpackbits(copies.value).view(bool)
         for b in slices(batches, "text"):
             pre, ranges, size = [], [], []
             for s in shingle_sets(b, k):
@@ -161,9 +162,11 @@ def _prefixes(k: int, percent: int, shared, cells: int):
                 order = np.lexsort((s, c))[:p]
                 pre.append(s[order].tobytes())
                 ranges.append(range_counts(s))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(pre, pa.binary()), pa.array(ranges, pa.binary())],
-                names=["doc_id", "n", "prefix", "ranges"])
+            ids = np.asarray(pc.fill_null(b.column("doc_id"), 0)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(pre, pa.binary()), pa.array(ranges, pa.binary()),
+                 pa.array(~on[_place(ids, len(on))])], names=["doc_id", "n", "prefix", "ranges", "sure"])
+            yield out.filter(pc.and_(b.column("doc_id").is_valid(), pa.array(np.array(size) > 0)))
     return run
 
 
@@ -521,8 +524,14 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
     folded = stored(sized.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "folded")
     reps = folded.select(F.col("rep").alias("doc_id")).distinct()
 
-    pre = rows.mapInArrow(_prefixes(k, percent, shared, cells), "doc_id long, n long, prefix binary, ranges binary")
-    pre = stored(pre.join(reps, "doc_id", "left_semi"), "prefixes")
+    join = _Join(rows, k, percent, sized.count())
+    # one document stands for each set: only rows that may be copies are matched with those documents
+    copies = sized.where("n > 0 and doc_id is not null").select("doc_id").distinct().join(reps, "doc_id", "left_anti")
+    marks = spark.sparkContext.broadcast(_bit_table(copies, join.bits))
+    pre = rows.mapInArrow(_prefixes(k, percent, shared, cells, marks), "doc_id long, n long, prefix binary, ranges binary, sure boolean")
+    pre = stored(pre, "prefixes")
+    marks.destroy()
+    pre = pre.where("sure").unionByName(stored(pre.where("not sure").join(reps, "doc_id", "left_semi"), "unsure")).drop("sure")
     ranges = pre.select("doc_id", "n", "ranges")
     total = pre.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(8, -(-total // SHARE_BYTES))
@@ -531,7 +540,6 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
                .mapInArrow(_shared, "gram long, doc long, n int, place int").distinct())
     entries = stored(entries, "entries")
 
-    join = _Join(rows, k, percent, sized.count())
     links, e = None, entries.withColumn("c", F.col("doc"))
     for i in range(STARS):
         first_of = F.min(F.struct(F.xxhash64(F.lit(i), "doc").alias("draw"), "doc", "n", "place", "c"))
