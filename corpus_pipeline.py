@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldline.llm.common import collected, released, stored, table
-from foldline.llm.jaccard import jaccard_join
+from foldline.llm.jaccard import jaccard_join, rows_of
 from foldline.llm.mixing import mix_sizes, WORD
 from foldline.llm.packing import pack_documents
 from foldline.llm.secrets import find_secrets
@@ -75,7 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     comp = comp.select(F.col("doc_id").alias("row"), "component_id")
     who = stored(d.select("row", "doc_id").join(comp, "row"), "members")
     keep = who.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    return d.join(keep.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    return rows_of(d, "row", stored(keep.select(F.col("first.row").alias("row")), "kept"), who.select("row")).select(*COLUMNS)
 
 
 @_stage

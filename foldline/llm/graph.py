@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foldline.llm.common import stored, temporary
 
 SALTS = 16
+LINKS = 1 << 18          # links of a block that a task contracts at a time
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,9 +35,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches):
+    """A forest of every ``LINKS`` links or so."""
+    def flush(held):
+        u, v = forest(*(np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held, size = [], 0
     for b in batches:
-        u, v = forest(np.asarray(b.column(0)), np.asarray(b.column(1)))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        held.append(b)
+        size += b.num_rows
+        if size >= LINKS:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _done(e: DataFrame) -> bool:
+    """Whether links ``u > v`` are stars: every ``u`` has one ``v``, and none is a ``u`` itself."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def _salted_join(links: DataFrame, low: DataFrame) -> DataFrame:
@@ -62,19 +82,16 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links (u, v)``.
 
     Alternating large-star and small-star steps; each is one map-side combined minimum and one salted
-    join, stored, so no component is ever held by one task or the driver. Batches are first
-    contracted to forests. Goes on until a round changes nothing (a handful of rounds for
+    join, stored, so no component is ever held by one task or the driver. Blocks of ``LINKS`` links
+    are first contracted to forests. Goes on until all components are stars (a handful of rounds for
     the shapes met here; logarithmic in general); a round's tables are deleted when it ends."""
     spark = links.sparkSession
-    e = stored(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-               .where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
-    mark = None
-    while True:
+    e = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
+    e = stored(e.mapInArrow(_contract, "u long, v long"), "links")
+    # few links of very many partitions are contracted once more, in as many blocks as they fill
+    e = stored(e.coalesce(-(-e.count() // LINKS) or 1).mapInArrow(_contract, "u long, v long"), "links")
+    while not _done(e):
         with temporary(spark):
             e = _round(e)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (now["n"], now["h"]):
-            break
-        mark = (now["n"], now["h"])
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

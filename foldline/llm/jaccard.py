@@ -62,6 +62,8 @@ BLOCK = (64, 2048)       # documents of a block of the residue, least and most
 BLOCKS = 512             # of which there are about so many
 PAIRS = 1 << 20          # pairs compared at a time
 PAIR_BYTES = 32 << 20    # of their range counts
+SIDE = 1 << 21           # shingles of a block of the residue, about
+ALONE = 32               # entries of a shingle that are matched with each other to drop those without a partner
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int):
@@ -120,7 +122,7 @@ def counters(first: DataFrame, cells: int) -> np.ndarray:
     part = cells // SLICES
     rows = (first.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
             .mapInArrow(_add_counts, "slice long, counts binary"))
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(zstandard.decompress(r["counts"]), dtype=np.uint64)
     return np.minimum(out, 2 ** 32 - 1).astype(np.uint32)
 
@@ -221,8 +223,22 @@ def _deal(n_buckets: int):
     return run
 
 
-def _shared(batches):
-    """The entries of shingles that several documents hold, from the blocks of one bucket after the other."""
+def _partners(group: np.ndarray, doc: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of the shingles ``group`` (sorted) pass the length and positional filter with another document; all of those of
+    a shingle with more than ``ALONE`` entries."""
+    count = np.bincount(group)[group] if len(group) else group
+    out = count > ALONE
+    few = np.flatnonzero(~out)
+    for i, j in _pairs(group[few]):
+        i, j = few[i], few[j]
+        ok = (doc[i] != doc[j]) & _fits(n[i], place[i], n[j], place[j], percent)
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
+def _shared(percent: int):
+    """The entries of shingles that several documents hold, from the blocks of one bucket after the other, each with the document
+    that its shingle proposes. All entries of a shingle lie in one bucket."""
     def flush(rows):
         cols = [np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows])
                 for i, t in enumerate((np.uint64, np.int64, np.int32, np.int32))]
@@ -237,31 +253,51 @@ def _shared(batches):
         across[order] = twin
         keep = together.copy()
         keep[np.flatnonzero(~together)[across]] = True
-        at = np.flatnonzero(keep)
-        for i in range(0, len(at), 1 << 16):
-            o = at[i:i + (1 << 16)]
+        gram, doc, n, place = (c[keep] for c in cols)
+        order = np.lexsort((place, n, mix(doc.view(np.uint64)), gram))       # the first document of a shingle leads it
+        gram, doc, n, place = gram[order], doc[order], n[order], place[order]
+        once = np.ones(len(gram), dtype=bool)
+        once[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]) | (place[1:] != place[:-1])
+        gram, doc, n, place = gram[once], doc[once], n[once], place[once]
+        keep = _partners(np.cumsum(np.append(False, gram[1:] != gram[:-1])), doc, n, place, percent) if len(gram) else once
+        gram, doc, n, place = gram[keep], doc[keep], n[keep], place[keep]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
+        lead = np.repeat(first, np.diff(np.append(first, len(gram))))
+        for i in range(0, len(gram), 1 << 16):
+            o, own = slice(i, i + (1 << 16)), lead[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0][o].view(np.int64)), pa.array(cols[1][o]), pa.array(cols[2][o]), pa.array(cols[3][o])],
-                names=["gram", "doc", "n", "place"])
-    bucket, rows = None, []
-    for b in batches:
-        for r in zip(b.column("bucket").to_pylist(), b.column("grams").to_pylist(), b.column("docs").to_pylist(),
-                     b.column("sizes").to_pylist(), b.column("places").to_pylist(), b.column("together").to_pylist()):
-            if rows and r[0] != bucket:
-                yield from flush(rows)
-                rows = []
-            bucket = r[0]
-            rows.append(r[1:])
-    if rows:
-        yield from flush(rows)
+                [pa.array(gram[o].view(np.int64)), pa.array(doc[o]), pa.array(n[o]), pa.array(place[o]),
+                 pa.array(doc[own]), pa.array(n[own]), pa.array(place[own])],
+                names=["gram", "doc", "n", "place", "lead", "lead_n", "lead_place"])
+
+    def run(batches):
+        bucket, rows = None, []
+        for b in batches:
+            for r in zip(b.column("bucket").to_pylist(), b.column("grams").to_pylist(), b.column("docs").to_pylist(),
+                         b.column("sizes").to_pylist(), b.column("places").to_pylist(), b.column("together").to_pylist()):
+                if rows and r[0] != bucket:
+                    yield from flush(rows)
+                    rows = []
+                bucket = r[0]
+                rows.append(r[1:])
+        if rows:
+            yield from flush(rows)
+    return run
+
+
+def _fits(n1, p1, n2, p2, percent: int) -> np.ndarray:
+    """Length and positional filter of documents of ``n1`` and ``n2`` shingles that share the ones at places ``p1`` and ``p2``."""
+    n1, p1, n2, p2 = (x.astype(np.int64) for x in (n1, p1, n2, p2))
+    ok = np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
+    return ok & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= -(-(n1 + n2) * percent // (100 + percent)))
 
 
 def _plausible(percent: int):
-    """Length and positional filter of entries ``n, place`` and ``n2, place2`` of one shared shingle."""
-    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100.0 + percent) - 1e-9)
-    after = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    return ((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-            & (F.least("place", "place2") + after >= least))
+    """Length and positional filter of entries ``n, place`` and the leads of their shingles."""
+    least = F.ceil((F.col("n") + F.col("lead_n")) * percent / (100.0 + percent) - 1e-9)
+    after = F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place"))
+    return ((F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent)
+            & (F.least("place", "lead_place") + after >= least))
 
 
 def _possible(ra: list[bytes], rb: list[bytes], percent: int) -> np.ndarray:
@@ -306,7 +342,8 @@ def _pairs(group: np.ndarray):
 
 
 def _meet(rows: pa.Table, block: np.ndarray, percent: int):
-    """Pairs of rows of one block, in different components, that share a shingle and pass all filters."""
+    """Pairs of rows of one block, in different components, that share a shingle and pass all filters: a row for each document
+    that has any, with the documents behind it that it meets."""
     doc, n, c, x, y, side = (np.asarray(rows.column(k)) for k in ("doc", "n", "c", "x", "y", "side"))
     held = rows.column("held").combine_chunks()
     own = np.repeat(np.arange(len(doc)), np.asarray(pc.list_value_length(held)))
@@ -318,17 +355,19 @@ def _meet(rows: pa.Table, block: np.ndarray, percent: int):
     ranges, seen = rows.column("ranges").to_pylist(), np.zeros(len(doc) ** 2, dtype=bool)
     wide = np.array([len(r) for r in ranges])
     tables, row = {}, np.zeros(len(doc), dtype=np.int64)
+    met, named = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+
+    def out(at, others):
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks().take(pa.array(at)) for k in ("lead", "x", "y", "doc")), others],
+                                          names=["lead", "x", "y", "doc", "others"])
+
     for w in np.unique(wide):
         at = np.flatnonzero(wide == w)
         tables[w], row[at] = _table([ranges[k] for k in at]), np.arange(len(at))
     for i, j in _pairs(np.cumsum(new)):
         p, q = own[i], own[j]
-        n1, n2 = n[p].astype(np.int64), n[q].astype(np.int64)
-        p1, p2 = place[i].astype(np.int64), place[j].astype(np.int64)
-        need = -(-(n1 + n2) * percent // (100 + percent))
         ok = (c[p] != c[q]) & (doc[p] != doc[q]) & ((x[p] == y[p]) | (side[p] != side[q]))
-        ok &= np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
-        ok &= np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= need
+        ok &= _fits(n[p], place[i], n[q], place[j], percent)
         p, q = p[ok], q[ok]
         codes = np.unique(np.minimum(p, q) * len(doc) + np.maximum(p, q))
         codes = codes[~seen[codes]]
@@ -342,12 +381,17 @@ def _meet(rows: pa.Table, block: np.ndarray, percent: int):
                 most = _most(tables[w][row[a]], tables[v][row[b]])
                 both = 100 * most >= percent * (n[a].astype(np.int64) + n[b] - most)
                 if both.any():
-                    a, b = doc[a[both]], doc[b[both]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    a, b = a[both], b[both]                          # a is sorted
+                    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                    named[a[first]], met[b] = True, True
+                    yield out(a[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(doc[b])))
+    rest = np.flatnonzero(met & ~named)
+    if len(rest):
+        yield out(rest, pa.array([[]] * len(rest), pa.list_(pa.int64())))
 
 
 def _compare(percent: int):
-    """Pairs of the blocks that a partition holds, whole blocks of a few thousand rows at a time."""
+    """What meets in the blocks that a partition holds, whole blocks of a few thousand rows at a time."""
     def run(batches):
         held: list[pa.RecordBatch] = []
         size, last = 0, None
@@ -382,22 +426,32 @@ def _compare(percent: int):
 
 # --- 5. verification ----------------------------------------------------------------------
 
+_SLICE = 4096            # bytes of Spark's bitmaps
+
+
 def _place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _bits(n: int) -> int:
+    """Places of a bit table for ``n`` ids."""
+    return 1 << min(MAX_BITS.bit_length() - 1, max(16, (8 * n).bit_length()))
+
+
 def _bit_table(ids: DataFrame, bits: int) -> np.ndarray:
-    """Which of ``bits`` places the ids fall on: one table of at most that many bits per partition, added up."""
+    """Which of ``bits`` places the ids fall on: one table of at most that many bits per partition, added up slice by slice."""
     def run(batches):
         on = np.zeros(bits, dtype=bool)
         for b in batches:
             on[_place(np.asarray(b.column(0)).astype(np.int64), bits)] = True
-        if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(on).tobytes(), 1)], pa.binary())], names=["bits"])
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in ids.mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zstandard.decompress(r["bits"]), dtype=np.uint8)
-    return out
+        on = np.packbits(on).reshape(-1, _SLICE)
+        for at in np.array_split(np.flatnonzero(on.any(axis=1)), max(1, len(on) // 256)):
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in on[at]], pa.binary())], names=["slice", "bits"])
+    out = np.zeros((bits // 8 // _SLICE, _SLICE), dtype=np.uint8)
+    for r in ids.mapInArrow(run, "slice long, bits binary").groupBy("slice").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.reshape(-1)
 
 
 def _known(shared):
@@ -436,10 +490,70 @@ def _verify(percent: int):
     return run
 
 
+def _verify_blocks(percent: int):
+    """Links of the blocks of a partition by whole sets, a forest of them for each block: documents that it has linked already
+    aren't compared again."""
+    def links(rows):
+        own: dict[int, list[np.ndarray]] = {}
+        meets: dict[int, set[int]] = {}
+        for doc, others, blob in rows:
+            own.setdefault(doc, []).append(np.frombuffer(blob, dtype=np.uint64))
+            meets.setdefault(doc, set()).update(others)
+        up = {d: d for d in own}
+
+        def root(d):
+            while up[d] != d:
+                up[d] = d = up[up[d]]
+            return d
+
+        for a, others in meets.items():
+            todo = sorted(others)
+            while todo:
+                # few at a time, so that links spare comparisons and memory is bounded
+                some, size = [], 0
+                while todo and len(some) < 64 and size < SIDE:
+                    b = todo.pop()
+                    if root(a) != root(b):
+                        some += [(b, x) for x in own[b]]
+                        size += sum(map(len, own[b]))
+                if not some:
+                    continue
+                flat, sizes = np.concatenate([x for _, x in some]), np.array([len(x) for _, x in some])
+                for s in own[a]:
+                    hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+                    inter = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    for k in np.flatnonzero(100 * inter >= percent * (len(s) + sizes - inter)):
+                        b = some[k][0]
+                        x, y = root(a), root(b)
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            yield min(a, b), max(a, b)
+
+    def run(batches):
+        last, rows = None, []
+
+        def flush():
+            got = list(links(rows))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], names=["a", "b"])
+
+        for b in batches:
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in ("lead", "x", "y"))),
+                                zip(*(b.column(k).to_pylist() for k in ("doc", "others", "set")))):
+                if key != last and rows:
+                    yield from flush()
+                    rows = []
+                last = key
+                rows.append(row)
+        if rows:
+            yield from flush()
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int, n_docs: int):
         self.docs, self.k, self.percent = docs, k, percent
-        self.bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (8 * n_docs).bit_length()))
+        self.bits = _bits(n_docs)
 
     def ranges_of(self, ids: DataFrame, ranges: DataFrame) -> DataFrame:
         """The range counts of these documents, and of few others, so that joins shuffle little else."""
@@ -452,30 +566,51 @@ class _Join:
         """The distinct pairs ``a, b`` that the suffix filter leaves."""
         with temporary(self.docs.sparkSession):
             some = stored(pairs.distinct(), "pairs")
-            own = self.ranges_of(some.select("a").unionByName(some.select(F.col("b").alias("a"))).distinct(), ranges)
+            own = self.ranges_of(some.select("a").unionByName(some.select(F.col("b").alias("a"))), ranges)
             r = own.select(F.col("doc_id").alias("a"), F.col("ranges").alias("ra"))
             r2 = own.select(F.col("doc_id").alias("b"), F.col("ranges").alias("rb"))
             return stored(some.join(r, "a").join(r2, "b").mapInArrow(_suffix(self.percent), "a long, b long"), "pairs", keep=True)
 
     def residue(self, e: DataFrame, ranges: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` of different components that share a shingle of ``e`` and pass all filters."""
-        lead = e.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(STARS), "doc").alias("draw"), "doc")).alias("lead"))
-        lead = stored(lead.select("gram", F.col("lead.doc").alias("lead")), "lead")
-        held = e.join(lead, "gram").groupBy("lead", "doc", "n", "c").agg(F.collect_list(F.struct("gram", "place")).alias("held"))
+        """Pairs ``a, b`` of different components that share a shingle of ``e`` and pass all filters, one by one."""
+        met = self.meeting(_led(e, STARS), ranges).select("doc", F.explode("others").alias("other"))
+        return met.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
+
+    def meeting(self, e: DataFrame, ranges: DataFrame) -> DataFrame:
+        """Blocks ``lead, x, y`` of documents of different components that share a shingle of ``e`` and pass all filters: every
+        ``doc`` that has any with ``others``, so that a pair stands once in a block and rows grow as documents do."""
+        held = e.groupBy("lead", "doc", "n", "c").agg(F.collect_list(F.struct("gram", "place")).alias("held"))
         held = stored(held, "held")
-        own = self.ranges_of(held.select("doc").distinct(), ranges)
+        own = self.ranges_of(held.select("doc"), ranges)
         own = own.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "ranges").distinct()
         members = stored(held.join(own, ["doc", "n"]), "members")
         size = max(BLOCK[0], min(BLOCK[1], members.count() // BLOCKS))
         # large ones only: their number is bounded by that of the blocks, or a two thousandth of the rows
-        large = members.groupBy("lead").count().where(F.col("count") > size).select("lead", F.ceil(F.col("count") / size).alias("parts"))
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("n") / SIDE))
+        large = members.groupBy("lead").agg(parts.alias("parts")).where("parts > 1")
         dealt = members.join(F.broadcast(large), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc", "n", "ranges"), F.col("parts")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
         dealt = dealt.select("lead", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "n", "c",
                              "ranges", "held")
-        by = ["lead", "x", "y"]
-        return dealt.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_compare(self.percent), "a long, b long")
+        return _in_blocks(dealt).mapInArrow(_compare(self.percent), "lead long, x int, y int, doc long, others array<long>")
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """The sets of these documents, and of few others."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(_bit_table(ids, self.bits))
+        out = stored(self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary"), "sets")
+        shared.destroy()
+        return out
+
+    def verified_blocks(self, e: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The links of :meth:`meeting` by the whole sets, as a forest for each block: sets meet in blocks, not pair by pair."""
+        with temporary(self.docs.sparkSession, shuffles=True):
+            with temporary(self.docs.sparkSession):
+                met = stored(self.meeting(e, ranges), "met", keep=True)
+            sets = self.sets_of(met.select("doc"))
+            both = met.join(sets.select(F.col("doc_id").alias("doc"), "set").distinct(), "doc")
+            both = _in_blocks(both.select("lead", "x", "y", "doc", "others", "set"))
+            return stored(both.mapInArrow(_verify_blocks(self.percent), "a long, b long"), "verified", keep=True)
 
     def verified(self, make) -> DataFrame:
         """Links among the candidate pairs ``a, b`` that ``make`` returns, by the whole sets, once per pair."""
@@ -483,30 +618,39 @@ class _Join:
         with temporary(spark, shuffles=True):
             with temporary(spark):
                 some = stored(make().distinct(), "pairs", keep=True)
-            ids = stored(some.select(F.col("a").alias("doc_id")).unionByName(some.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-            shared = spark.sparkContext.broadcast(_bit_table(ids, self.bits))
-            sets = self.docs.mapInArrow(_sets(self.k, shared, self.bits), "doc_id long, set binary")
-            sets = stored(sets.join(ids, "doc_id", "left_semi"), "sets")
+            sets = self.sets_of(some.select("a").unionByName(some.select(F.col("b").alias("a"))))
             both = (some.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
                     .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b"))
             out = stored(both.mapInArrow(_verify(self.percent), "a long, b long").distinct(), "verified", keep=True)
-            shared.destroy()
         return out
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    by = ["lead", "x", "y"]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def _components(links: DataFrame) -> DataFrame:
     with temporary(links.sparkSession):
         return stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components", keep=True)
 
 
-def _labelled(links: DataFrame, entries: DataFrame) -> DataFrame:
+def _led(e: DataFrame, draw: int) -> DataFrame:
+    """The entries of shingles whose documents lie in several components, each with the document that its shingle proposes."""
+    first = F.min(F.struct(F.xxhash64(F.lit(draw), "doc").alias("draw"), "doc", "n", "place", "c")).alias("lead")
+    lead = stored(e.groupBy("gram").agg(first, F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(
+        "gram", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.place").alias("lead_place"),
+        F.col("lead.c").alias("lead_c")), "lead")
+    return e.select("gram", "doc", "n", "place", "c").join(lead, "gram")
+
+
+def _labelled(links: DataFrame, e: DataFrame, draw: int) -> DataFrame:
     """The entries of shingles whose documents lie in several components of the links, each with its document's component ``c``."""
     with temporary(links.sparkSession):
         comp = _components(links)
-        e = entries.drop("c").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+        e = e.select("gram", "doc", "n", "place").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
         e = stored(e.withColumn("c", F.coalesce("component", "doc")).drop("component"), "labelled")
-        mixed = e.groupBy("gram").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("gram")
-        return stored(e.join(stored(mixed, "mixed"), "gram", "left_semi"), "residue", keep=True)
+        return stored(_led(e, draw), "residue", keep=True)
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
@@ -521,10 +665,12 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
     first = stored(rows.mapInArrow(_first_pass(k, cells), "doc_id long, n long, digest binary, slice long, counts binary"), "first")
     shared = spark.sparkContext.broadcast(counters(first, cells))
     sized = first.where("slice is null").select("doc_id", "n", "digest")
-    folded = stored(sized.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "folded")
+    folded = stored(sized.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "folded")
     reps = folded.select(F.col("rep").alias("doc_id")).distinct()
 
-    join = _Join(rows, k, percent, sized.count())
+    n_docs = sized.count()
+    join = _Join(rows, k, percent, n_docs)
     # one document stands for each set: only rows that may be copies are matched with those documents
     copies = sized.where("n > 0 and doc_id is not null").select("doc_id").distinct().join(reps, "doc_id", "left_anti")
     marks = spark.sparkContext.broadcast(_bit_table(copies, join.bits))
@@ -537,39 +683,56 @@ def _jaccard_join(docs: DataFrame, k: int, percent: int, cells: int) -> DataFram
     buckets = max(8, -(-total // SHARE_BYTES))
     packed = pre.select("doc_id", "n", "prefix").mapInArrow(_deal(buckets), _PACKED)
     entries = (packed.repartition("bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_shared, "gram long, doc long, n int, place int").distinct())
+               .mapInArrow(_shared(percent), "gram long, doc long, n int, place int, lead long, lead_n int, lead_place int"))
     entries = stored(entries, "entries")
 
-    links, e = None, entries.withColumn("c", F.col("doc"))
+    links, e = None, entries
     for i in range(STARS):
-        first_of = F.min(F.struct(F.xxhash64(F.lit(i), "doc").alias("draw"), "doc", "n", "place", "c"))
-        lead = stored(e.groupBy("gram").agg(first_of.alias("lead")), "lead")
-        star = e.join(lead, "gram").where(F.col("c") != F.col("lead.c"))
-        star = star.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"), "n", "place",
-                           F.col("lead.n").alias("n2"), F.col("lead.place").alias("place2"))
-        star = star.where(_plausible(percent)).select("a", "b")
+        star = e.where(F.col("doc") != F.col("lead")) if links is None else e.where(F.col("c") != F.col("lead_c"))
+        star = star.where(_plausible(percent)).select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"))
         star = star if links is None else star.join(links, ["a", "b"], "left_anti")
         new = join.verified(lambda: join.filtered(star, ranges))
         links = new if links is None else links.unionByName(new)
-        e = _labelled(links, entries if i == 0 else e)
+        e = _labelled(links, e, i + 1)
 
     # what the stars have not proposed matters between different components only
-    links = links.unionByName(join.verified(lambda: join.residue(e, ranges)))
+    links = links.unionByName(join.verified_blocks(e, ranges))
     # the rows of an id that occurs with several texts are tied: the id stands for each of their sets
     several = sized.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     ties = sized.join(several, "doc_id").join(folded, ["n", "digest"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = _components(links.unionByName(ties))
 
-    classes = folded.join(comp, folded["rep"] == comp["node"], "left").select(
-        "n", "digest", F.coalesce("component", "rep").alias("component_id"))
-    salted = stored(classes, "classes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    out = (sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-           .join(salted, ["n", "digest", "salt"], "left"))
+    classes = stored(folded.join(comp, folded["rep"] == comp["node"], "left").select(
+        "n", "digest", "rows", F.coalesce("component", "rep").alias("component_id")), "classes")
+    # sets of very many rows, at most ``BLOCKS`` of them, are broadcast; the others' rows are few
+    many = F.col("rows") > max(1, n_docs // BLOCKS)
+    large = classes.where(many).select("n", "digest", F.col("component_id").alias("large"))
+    few = classes.where(~many).select("n", "digest", "component_id")
+    out = sized.join(F.broadcast(large), ["n", "digest"], "left")
+    out = out.where("large is not null").select("doc_id", "n", F.col("large").alias("component_id")).unionByName(
+        out.where("large is null").join(few, ["n", "digest"], "left").select("doc_id", "n", "component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return stored(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "result", keep=True)
 
 
+def rows_of(rows: DataFrame, key: str, keep: DataFrame, every: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key``, a long, is in ``keep``; ``every`` has the keys of all of them. Only rows that a bit table of the other keys holds
+    are shuffled."""
+    gone = stored(every.join(keep, key, "left_anti").select(key), "gone")
+    bits = _bits(gone.count())
+    shared = rows.sparkSession.sparkContext.broadcast(_bit_table(gone, bits))
+
+    @F.arrow_udf("boolean")
+    def unsure(ids: pa.Array) -> pa.Array:
+        at = _place(np.asarray(ids).astype(np.int64), bits)
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    marked = rows.withColumn("unsure", unsure(key))
+    return marked.where("not unsure").drop("unsure").unionByName(
+        marked.where("unsure").drop("unsure").join(keep, key, "left_semi").select(*rows.columns))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
