@@ -79,3 +79,15 @@ def test_pieces_of_several_batches_stay_known(name, blank):
             assert all(f"often{i}" in enc.index for i in range(1, 100)) and len(enc.index) < 150
         flat, _ = enc.encode(texts)
         assert flat.tolist() == enc.library(texts)[0]
+
+
+@pytest.mark.parametrize("name,blank", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_parts_that_are_pieces_themselves(name, blank):
+    import public_tokenizers
+    from foldline.llm.tokens import PieceEncoder
+
+    texts = ["Es.\nAnha.\nErsh Anha.\nErsh Ersh", "Anha.\nErsh", "Ersh,\nAnha.\n\nErsh.\nx Es.", "Anha.\n\nErsh. Es. ,\n,a"]
+    for order in (texts, texts[::-1], texts[1:] + texts[:1]):
+        enc = PieceEncoder(str(public_tokenizers.path(name)), blank)
+        flat, off = enc.encode(order)
+        assert [flat[a:b].tolist() for a, b in zip(off, off[1:])] == enc.library(order)
