@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from foldline.functions.hashing import compact
 from foldline.functions.ordered import lag_within, spread
-from foldline.operators.substrings import texts_with_tokens
+from foldline.operators.substrings import columns_with_tokens
 
 # Fixed values that must equal the reference's for the same decisions:
 # target-name candidates of the audit, in priority order.
@@ -227,7 +227,7 @@ def path_token_columns(df: DataFrame, target: str, cfg: AuditConfig = AuditConfi
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in path_cols])
     long = df.select(F.explode(entries).alias("_e")).select("_e.column_name", "_e.value").where(
         F.col("value").isNotNull())
-    return texts_with_tokens(long, tokens).select("column_name").distinct()
+    return columns_with_tokens(long, tokens)
 
 
 def path_token_findings(df: DataFrame, dataset: str, target: str, cfg: AuditConfig = AuditConfig()) -> DataFrame:

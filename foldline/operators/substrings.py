@@ -5,10 +5,15 @@ shorter than ``MAX_GRAM`` are met whole: a text emits its distinct grams of exac
 token meets texts that merely share a part of it. Longer tokens are posted under one of their ``MAX_GRAM``-grams, the one
 that the fewest tokens share, and each meeting is verified by ``contains``. At most ``MAX_GRAM`` rounds; the work grows with
 the characters of texts and tokens, not with their product. Only token lists of at most ``BROADCAST_TOKENS`` are broadcast.
+
+At most ``FEW_TOKENS`` tokens of ``FEW_CHARS`` characters in all need no grams: every text is searched for each of them as it is read.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +22,24 @@ from foldline.session import checkpoint_dir
 MAX_GRAM = 16
 SALTS = 4                      # copies of a long token list, so that a frequent gram of the texts is cut into several tasks
 BROADCAST_TOKENS = 100_000
+FEW_TOKENS = 64
+FEW_CHARS = 10_000
 
 
 def _grams(chars: Column, q: Column | int) -> Column:
-    """Distinct grams of ``q`` characters of an array of characters."""
-    n = F.size(chars) - q + 1
-    at = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(chars, i, q), "")))
+    """Distinct grams of ``q`` characters (at most ``MAX_GRAM``) of an array of characters, in a time that grows with its length:
+    the array is made once per row, as a lambda's argument, and a gram reads its own characters only."""
+    def joined(c: Column, i: Column) -> Column:
+        if isinstance(q, int):
+            return F.concat(*[F.get(c, i + j) for j in range(q)])
+        return F.concat_ws("", *[F.when(F.lit(j) < q, F.get(c, i + j)) for j in range(MAX_GRAM)])      # nulls are left out
+
+    def of(c: Column) -> Column:
+        n = F.size(c) - q + 1
+        at = F.when(n >= 1, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: joined(c, i))
+
+    return F.array_distinct(F.get(F.transform(F.array(chars), of), F.lit(0)))
 
 
 def _gram_length(n: Column) -> Column:
@@ -37,8 +53,7 @@ def _gram_length(n: Column) -> Column:
 
 def token_postings(tokens: DataFrame) -> DataFrame:
     """``tok, q, gram`` for every non-empty token of ``tokens(tok)``: its rarest gram among all tokens."""
-    t = tokens.select(F.col("tok").cast("string").alias("tok")).where("tok <> ''").distinct()
-    t = t.withColumn("q", _gram_length(F.length("tok")))
+    t = _distinct_tokens(tokens).withColumn("q", _gram_length(F.length("tok")))
     long = t.select("tok", "q", F.explode(_grams(F.split("tok", ""), F.col("q"))).alias("gram"))
     shared = long.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
     return long.join(shared, ["q", "gram"]).groupBy("tok", "q").agg(F.min(F.struct("n", "gram")).alias("best")).select(
@@ -56,13 +71,39 @@ def _met(long: DataFrame, posted: DataFrame, n_posted: int, n_texts: int, how: s
     return long.join(posted.hint("merge"), ["gram", "salt"], how)
 
 
+def _few(toks: DataFrame) -> list[str] | None:
+    """All of ``toks(tok)`` if they are few and short, else nothing."""
+    n, chars = toks.agg(F.count(F.lit(1)), F.sum(F.length("tok"))).first()
+    return sorted(r["tok"] for r in toks.select("tok").collect()) if n <= FEW_TOKENS and (chars or 0) <= FEW_CHARS else None
+
+
+def _with_any(texts: DataFrame, few: list[str]) -> DataFrame:
+    found = reduce(operator.or_, [F.contains(F.col("value"), F.lit(t)) for t in few], F.lit(False))
+    return texts.select("column_name", "value").where(found)
+
+
+def columns_with_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Distinct ``column_name`` of :func:`texts_with_tokens`; with few tokens, texts are neither stored nor shuffled for it."""
+    checkpoint_dir(texts.sparkSession)
+    toks = _distinct_tokens(tokens).checkpoint()
+    few = _few(toks)
+    hits = texts_with_tokens(texts, toks) if few is None else _with_any(texts, few)
+    return hits.select("column_name").distinct()
+
+
+def _distinct_tokens(tokens: DataFrame) -> DataFrame:
+    return tokens.select(F.col("tok").cast("string").alias("tok")).where("tok <> ''").distinct()
+
+
 def texts_with_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Distinct ``column_name, value`` of ``texts(column_name, value)`` whose value contains a token of ``tokens(tok)``.
 
     Grams travel with the number of their text, not with the text."""
     checkpoint_dir(texts.sparkSession)
-    toks = tokens.select(F.col("tok").cast("string").alias("tok")).where("tok <> ''").distinct().withColumn(
-        "q", F.least(F.length("tok"), F.lit(MAX_GRAM))).checkpoint()
+    toks = _distinct_tokens(tokens).withColumn("q", F.least(F.length("tok"), F.lit(MAX_GRAM))).checkpoint()
+    few = _few(toks)
+    if few is not None:
+        return _with_any(texts, few).distinct()
     rounds = sorted((r["q"], r["n"]) for r in toks.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect())   # up to MAX_GRAM rows
     out = texts.select("column_name", "value").limit(0)
     if not rounds:

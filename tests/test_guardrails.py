@@ -142,3 +142,27 @@ def test_numbers_meet_only_the_texts_that_hold_them(spark, monkeypatch):
         assert got == sorted({(c, v) for c, v in texts if any(t in v for t in tokens)})
         assert len(met) == 3                          # one round for each token length
         assert sum(m.count() for m in met) <= 50 + 300 + 5
+
+
+def test_long_texts_take_a_time_in_proportion(spark, monkeypatch):
+    """A text of 40,000 characters was split again for each of its grams."""
+    import random
+    import time
+
+    from foldline.operators import substrings as B
+    rng = random.Random(9)
+    tokens = ["ab", "\U0001f600x", "x" * 20] + [f"{i}-" for i in range(100, 200)]
+    body = "".join(rng.choice("abcd\u00e9\U0001f600 ") for _ in range(40_000)).replace("ab", "a ")
+    texts = [("a", body), ("a", body + "ab"), ("a", body + "\U0001f600x"), ("b", body + "x" * 19), ("b", body + "x" * 20), ("b", "150"), ("b", "150-")]
+    df = spark.createDataFrame(texts, "column_name string, value string")
+    want = sorted((c, v) for c, v in texts if any(t in v for t in tokens))
+    t0 = time.time()
+    got = sorted(tuple(r) for r in B.texts_with_tokens(df, spark.createDataFrame([(t,) for t in tokens], "tok string")).collect())
+    assert got == want and time.time() - t0 < 30
+    # a few tokens are looked for in the texts themselves, with the same result
+    monkeypatch.setattr(B, "_grams", None)
+    few = spark.createDataFrame([(t,) for t in [*tokens[:4], "", None]], "tok string")
+    want = {(c, v) for c, v in texts if any(t in v for t in tokens[:4])}
+    assert {tuple(r) for r in B.texts_with_tokens(df, few).collect()} == want
+    assert {r[0] for r in B.columns_with_tokens(df, few).collect()} == {c for c, _ in want}
+    assert B.columns_with_tokens(df, few.where("tok = ''")).count() == 0
