@@ -21,6 +21,7 @@ bounded by construction.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -100,52 +101,52 @@ def _order_fields(df: DataFrame, order: Sequence[Column]) -> list[tuple[Column,
     return fields
 
 
-def _literal(value, dtype: str) -> str:
-    if value is None:
-        return f"CAST(NULL AS {dtype})"
-    return f"CAST(CAST(X'{bytes(value).hex()}' AS STRING) AS {dtype})"
+def range_bounds(df: DataFrame, order: Sequence[Column], n_buckets: int, grow: bool = False) -> tuple[list[tuple], list]:
+    """Up to ``n_buckets - 1`` different bounds of the order columns as texts, ascending, and the order fields they are made of;
+    with ``grow``, of as many buckets as hold ``ROWS_PER_BUCKET`` rows each, if these are more.
 
-
-def range_bounds(df: DataFrame, order: Sequence[Column], n_buckets: int, grow: bool = False) -> list[str]:
-    """SQL struct literals of up to ``n_buckets - 1`` different bounds of the order columns, ascending; with ``grow``, of
-    as many buckets as hold ``ROWS_PER_BUCKET`` rows each, if these are more.
-
-    Counting prunes every column, and the order columns are computed for sampled rows only."""
+    Counting prunes every column, and the order columns are computed for sampled rows only. Bounds hold as many leading order
+    columns as tell them apart: the others matter only where many rows tie. They ascend as the values that their texts give."""
     fields = _order_fields(df, order)
     if n_buckets <= 1 or not fields:
-        return []
+        return [], []
     n = df.count()
     if grow:
         n_buckets = max(n_buckets, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
     want = SAMPLE_PER_BUCKET * n_buckets
     rows = df if n <= want else df.sample(fraction=want / n, seed=7)
-    texts = [c.cast("string").cast("binary").alias(f"_t{i}") for i, (c, _) in enumerate(fields)]
-    picked = rows.select(*[c.alias(f"_o{i}") for i, (c, _) in enumerate(fields)], *texts).orderBy(
-        *[f"_o{i}" for i in range(len(fields))]).select(*[f"_t{i}" for i in range(len(fields))]).collect()
-    bounds = [picked[len(picked) * i // n_buckets] for i in range(1, n_buckets)] if picked else []
-    made = ["named_struct(" + ", ".join(f"'o{i}', {_literal(r[i], t)}" for i, (_, t) in enumerate(fields)) + ")"
-            for r in bounds]
-    return list(dict.fromkeys(made))
+    texts = [F.make_valid_utf8(c.cast("string")).alias(f"_t{i}") for i, (c, _) in enumerate(fields)]
+    picked = rows.select(*texts).orderBy(*[F.col(f"_t{i}").cast(t) for i, (_, t) in enumerate(fields)]).collect()
+    made = list(dict.fromkeys(tuple(picked[len(picked) * i // n_buckets]) for i in range(1, n_buckets))) if picked else []
+    width = next((w for w in range(1, len(fields)) if len({m[:w] for m in made}) == len(made)), len(fields))
+    return [m[:width] for m in made], fields[:width]
 
 
 def with_bucket(df: DataFrame, order: Sequence[Column], n_buckets: int, grow: bool = False) -> tuple[DataFrame, int]:
     """Add ``_fl_bkt`` = number of bounds <= the row's order columns (nulls come first, as in the window).
 
-    The sorted bounds are searched in two levels, so a row meets about ``2 * sqrt(n_buckets)`` of them."""
-    bounds = range_bounds(df, order, n_buckets, grow)
+    The sorted bounds are searched in two levels, so a row meets about ``2 * sqrt(n_buckets)`` of them. They are one text in
+    the plan, which the optimizer turns into values once: an expression per bound fills the driver where there are many."""
+    bounds, fields = range_bounds(df, order, n_buckets, grow)
     if not bounds:
         return df.withColumn(_BKT, F.lit(0)), 1
-    fields = _order_fields(df, order)
     own = F.struct(*[c.cast(t).alias(f"o{i}") for i, (c, t) in enumerate(fields)])
     step = max(1, round(len(bounds) ** 0.5))
-    every = F.sort_array(F.expr(f"array({', '.join(bounds)})"))
-    heads = F.array(*[F.element_at(every, i + 1) for i in range(0, len(bounds), step)])
-    groups = F.array(*[F.slice(every, i + 1, step) for i in range(0, len(bounds), step)])
+    each = [{f"o{i}": x for i, x in enumerate(m)} for m in bounds]
+    text = json.dumps({"heads": each[::step], "groups": [each[i:i + step] for i in range(0, len(each), step)]})
+
+    def shape(types: list[str]) -> str:
+        one = "struct<" + ",".join(f"o{i}:{t}" for i, t in enumerate(types)) + ">"
+        return f"struct<heads:array<{one}>,groups:array<array<{one}>>>"
+
+    known = F.from_json(F.lit(text), shape(["string"] * len(fields))).cast(shape([t for _, t in fields]))
     b = df.withColumn("_fl_own", own).withColumn(
-        "_fl_head", F.size(F.filter(heads, lambda x: x <= F.col("_fl_own"))))
-    inside = F.size(F.filter(F.element_at(groups, F.col("_fl_head")), lambda x: x <= F.col("_fl_own")))
+        "_fl_head", F.size(F.filter(known["heads"], lambda x: x <= F.col("_fl_own"))))
+    inside = F.size(F.filter(F.element_at(known["groups"], F.col("_fl_head")), lambda x: x <= F.col("_fl_own")))
     bkt = F.when(F.col("_fl_head") == 0, F.lit(0)).otherwise((F.col("_fl_head") - 1) * step + inside)
-    return b.withColumn(_BKT, bkt).drop("_fl_own", "_fl_head"), len(bounds) + 1
+    # never null, and known as such: a join on a bucket that may be null filters it at the scan, where the order columns are
+    # computed again for every bound that a row meets
+    return b.withColumn(_BKT, F.coalesce(bkt, F.lit(0))).drop("_fl_own", "_fl_head"), len(bounds) + 1
 
 
 _COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|Distinct|Sort|MapInPandas|MapInArrow|FlatMap\w+)\b")

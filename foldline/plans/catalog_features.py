@@ -20,7 +20,8 @@ _LI_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _LI_TIE = ["l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
 
-def _li_folds(spark, sf_dir):
+def _li_folds(spark, sf_dir, columns=None):
+    """All columns of lineitem, or ``columns``, with the fold."""
     from foldline.functions.hashing import h15
     from foldline.functions.ordered import rank_within, spread
     li = spread(_t(spark, sf_dir, "lineitem"))
@@ -28,6 +29,8 @@ def _li_folds(spark, sf_dir):
     d = li.withColumn("_h", h15(F.lit(42), *[F.col(c) for c in _LI_ID]))
     r = rank_within(d, [], F.col("_h"), tiebreak=_LI_ID + _LI_TIE, out="_rk")
     folds = r.withColumn("fold", (F.col("_rk") % K).cast("int")).drop("_h", "_rk")
+    if columns is not None:
+        folds = folds.select(*columns, "fold")
     # every fold statistic reads the assignment several times: materialise it once in the
     # shared checkpoint folder (cuts the lineage; survives executor loss)
     from foldline.session import checkpoint_dir
@@ -94,7 +97,7 @@ b AS (SELECT f.fold,
 SELECT fold, CAST(bin_quantile AS INTEGER) AS bin_quantile, CAST(bin_uniform AS INTEGER) AS bin_uniform, count(*) AS n FROM b GROUP BY ALL""")
 def fea_kbins_lineitem(spark, sf_dir):
     """FEA-06/07: quantile and uniform 5-bin discretisation with training-fold edges (ordinal codes)."""
-    f = _li_folds(spark, sf_dir)
+    f = _li_folds(spark, sf_dir, ["l_extendedprice"])
     qe = FE.quantile_edges(f, "fold", "l_extendedprice", K, 5)
     ue = FE.uniform_edges(f, "fold", "l_extendedprice", K, 5)
     a = FE.apply_bins(f, "fold", "l_extendedprice", qe, "bin_quantile")

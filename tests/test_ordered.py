@@ -115,3 +115,27 @@ def test_one_large_file_is_spread_by_its_size(spark, monkeypatch, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(got) > 10 and max(got) < 40_000 and sum(got) == 200_000
+
+
+def test_many_bounds_stay_small_in_the_plan(spark, monkeypatch):
+    """An expression per bound and order column, repeated for both levels of the search, filled the driver."""
+    df = spark.range(6000).select(F.xxhash64("id").alias("h"), (F.col("id") % 2).alias("two"), "id").checkpoint()
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 30)
+    b, n = O.with_bucket(df, [F.col("h"), F.col("two"), F.col("id")], 4, grow=True)
+    assert n == 200 and len(b._jdf.queryExecution().analyzed().toJSON()) < 100_000
+    sizes = [r["count"] for r in b.groupBy("_fl_bkt").count().collect()]
+    assert len(sizes) == 200 and max(sizes) < 150
+    # ties of the leading column need the next ones
+    b, n = O.with_bucket(df, [F.col("two"), F.col("h")], 4, grow=True)
+    assert n == 200 and b.groupBy("_fl_bkt").count().agg(F.max("count")).first()[0] < 150
+    assert not b.schema["_fl_bkt"].nullable            # else a join on it filters by it, at the scan
+
+
+def test_bounds_of_any_text(spark):
+    odd = ["'", '"', "\\", "\n", "\x00", "\u007f", "é", "😀", "퟿", "", "{}", "null", " "]
+    df = spark.createDataFrame([(i, a + b) for i, (a, b) in enumerate((a, b) for a in odd for b in odd)], "id long, w string")
+    broken = spark.range(40).selectExpr("1000 + id AS id", "cast(unhex(concat('FF', hex(id), 'C3')) AS string) AS w")
+    df = df.unionByName(broken).checkpoint()
+    a = O.rank_within(df, [], F.col("w"), tiebreak=["id"], n_buckets=60).select("id", "rank")
+    b = O.rank_within(df, [], F.col("w"), tiebreak=["id"], n_buckets=1).select("id", "rank")
+    assert a.exceptAll(b).count() == 0 and a.count() == len(odd) ** 2 + 40
