@@ -47,7 +47,7 @@ def _train_join(cols: str) -> str:
     f"round(avg({c}), 6) AS mean FROM {_train_join(c)} t GROUP BY fold" for c in NUM))
 def fea_impute_stats_lineitem(spark, sf_dir):
     """FEA-01: exact median and mean of each fold's training rows (imputation statistics)."""
-    f = _li_folds(spark, sf_dir)
+    f = _li_folds(spark, sf_dir, NUM)
     med = FE.training_medians(f, "fold", NUM, K)
     mom = FE.training_moments(f, "fold", NUM, K).select("fold", "column_name", "mean")
     return med.join(mom, ["fold", "column_name"])

@@ -150,3 +150,13 @@ def test_tfidf_moves_texts_and_no_term_rows(spark):
     assert {r["doc"] for r in got.collect()} == {1, 2, 4}
     norms = got.groupBy("doc").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert all(abs(r["n"] - 1) < 1e-12 for r in norms)
+
+
+def test_imputation_folds_hold_the_fitted_columns_only(spark, sf_dir, monkeypatch):
+    from foldline.plans import catalog_features as CF
+    made, folds = [], CF._li_folds
+    monkeypatch.setattr(CF, "_li_folds", lambda *a: made.append(folds(*a)) or made[-1])
+    assert CF.fea_impute_stats_lineitem(spark, sf_dir).count() == 15
+    assert made[0].columns == [*CF.NUM, "fold"]
+    whole = folds(spark, sf_dir).select(*made[0].columns)
+    assert made[0].exceptAll(whole).count() == 0 and whole.count() == made[0].count()
