@@ -221,3 +221,25 @@ def test_holdout_runner_skip_rule_and_written_config(spark, tmp_path):
     fill = TR.run_experiment(two, lambda: TR.default_estimator("classification", 2, "tree"),
                              TR.ExperimentConfig(name="raw", seeds=(1,), k=2, skip_preprocessing=True)).folds.collect()
     assert len(fill) == 2 and all(f["accuracy"] > 0.95 for f in fill)
+
+
+def test_kernel_map_reads_batches_as_arrays(spark):
+    """The map's rows went through Python objects both ways, most of its time."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.util import PythonEvalType
+    rows = spark.range(500).select("id", array_to_vector(F.array(F.sin("id"), F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(
+        F.cos("id")), F.lit(0.0))).alias("features")).repartition(3, "id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        model = KernelMap(size=20, seed=5).fit(rows)
+        out = model.transform(rows)
+        got = out.select(vector_to_array("features").alias("x"), vector_to_array("kernel_features").alias("z")).collect()
+        assert model.transform(rows.where("id < 0")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    w, b = model.draws()
+    x, z = np.array([r["x"] for r in got]), np.array([r["z"] for r in got])
+    assert z.shape == (500, 20) and np.allclose(z, np.sqrt(2 / 20) * np.cos(np.nan_to_num(x) @ w.T + b), rtol=0, atol=1e-12)
+    kinds = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+    assert kinds and all(line.rstrip().endswith(str(PythonEvalType.SQL_SCALAR_ARROW_UDF)) for line in kinds)
